@@ -114,7 +114,8 @@ def html_text(df: DataFrame, html_col: str, source_path: Column, keep: list[str]
     for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(ch))
     lines = df.select(*keep, source_path.alias("_path"), F.explode(F.split(c, "\n")).alias("_line"))
-    return _as_record(lines, list(keep), F.trim("_line"), F.lit("text"), F.col("_path"), False)
+    bare = F.regexp_replace("_line", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
+    return _as_record(lines, list(keep), bare, F.lit("text"), F.col("_path"), False)
 
 
 def email_fields(df: DataFrame, raw_col: str, source_path: Column, keep: list[str] = ()) -> DataFrame:
@@ -130,7 +131,7 @@ def email_fields(df: DataFrame, raw_col: str, source_path: Column, keep: list[st
     whole = F.array(F.struct(F.lit("body").alias("_name"), F.lit(":body").alias("_suffix"), body.alias("_text")))
     pieces = F.filter(F.split(body, F.concat(F.lit(r"(?m)^--\Q"), boundary, F.lit(r"\E(?:--)?[ \t]*\n?"))),
                       lambda p: F.trim(p) != "")
-    text_pieces = F.filter(pieces, lambda p: ~p.rlike(r"(?is)\A(?:(?!\n\n).)*?content-type:\s*(?!text/)"))
+    text_pieces = F.filter(pieces, lambda p: ~p.rlike(r"(?is)\A(?:(?!\n\n).)*?content-type:[ \t]*+(?!text/)"))
     multi = F.transform(text_pieces, lambda p: F.struct(
         F.lit("body_part").alias("_name"), F.lit(":body").alias("_suffix"),
         F.regexp_replace(p, r"(?s)\A(?:[^\n]+\n)*\n", "").alias("_text")))

@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -111,16 +110,27 @@ def window_counts(rows: DataFrame, length: str = DEFAULT_WINDOW, event_time: str
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """Transition log of state events (`scan_run_id`, `status`, `at`) with whether each step is allowed.
+    """Every requested step (`scan_run_id`, `seq`, `status`, `at`) with the state it met and whether it was allowed.
 
-    The state before a step is the state of the event before it; one scan has a handful of events.
+    A refused step leaves the state as it was. A scan leaves `pending` with the first step allowed there, and `running`
+    with the first allowed one after that, so the state at any step follows from two minimums per scan.
     """
-    before = F.lag("status").over(W.partitionBy("scan_run_id").orderBy("at", "seq"))
+    place = F.struct("at", "seq")
+    first = events.filter(F.col("status").isin(TRANSITIONS["pending"])).groupBy("scan_run_id").agg(
+        F.min(F.struct(place.alias("place"), F.col("status").alias("to"))).alias("_first"))
+    met = events.join(first, "scan_run_id", "left")
+    second = met.filter(
+        (F.col("_first.to") == "running") & (place > F.col("_first.place"))
+        & F.col("status").isin(TRANSITIONS["running"])).groupBy("scan_run_id").agg(
+        F.min(F.struct(place.alias("place"), F.col("status").alias("to"))).alias("_second"))
+    state = (
+        F.when(place > F.col("_second.place"), F.col("_second.to")).when(place > F.col("_first.place"), F.col("_first.to"))
+        .otherwise("pending"))
     allowed = F.lit(False)
     for old, following in TRANSITIONS.items():
         if following:
             allowed = allowed | ((F.col("from_status") == old) & F.col("status").isin(following))
-    return events.withColumn("from_status", before).filter("from_status IS NOT NULL").select(
+    return met.join(second, "scan_run_id", "left").withColumn("from_status", state).select(
         "scan_run_id", "seq", "from_status", F.col("status").alias("to_status"), allowed.alias("allowed"))
 
 
