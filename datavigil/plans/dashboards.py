@@ -385,7 +385,7 @@ def encrypt_samples(spark, sf):
     key = "0123456789abcdef"
     rows = Tables(spark, sf).findings.withColumn("sealed", M.encrypt("matched_value", key))
     return rows.select("finding_id", M.decrypt("sealed", key).alias("opened"),
-                       (~F.contains("sealed", F.col("matched_value"))).alias("hidden"))
+                       (F.col("sealed") != F.col("matched_value")).alias("hidden"))
 
 
 @query("apply_tags", """

@@ -46,7 +46,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}"
     if got != want:
-        only_got, only_want = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        wanted, found = set(want), set(got)
+        only_got, only_want = [r for r in got if r not in wanted][:3], [r for r in want if r not in found][:3]
         return False, f"{len(got)} vs {len(want)} rows\n  spark only {only_got}\n  duck only  {only_want}"
     return True, f"{len(got)} rows"
 
