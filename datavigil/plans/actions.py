@@ -585,13 +585,13 @@ def _run(spark, df, name):
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-_CHAT = "(SELECT text AS value, 'message' AS field_name, 'chat://' || conv_id || '/' || turn AS source_path FROM conversations)"
+_TEXTS = "(SELECT text AS value, 'text' AS field_name, 'docs/' || doc_id AS source_path FROM documents)"
 
 
-@query("stream_detect", f"SELECT source_path, pattern_name, sha256(matched_value) AS value_hash, score FROM ({findings_sql(P.BUILTIN, _CHAT)}) f")
+@query("stream_detect", f"SELECT source_path, pattern_name, sha256(matched_value) AS value_hash, score FROM ({findings_sql(P.BUILTIN, _TEXTS)}) f")
 def stream_detect(spark, sf):
-    records = _file_stream(spark, sf, "conversations").selectExpr(
-        "text AS value", "'message' AS field_name", "'chat://' || conv_id || '/' || turn AS source_path")
+    records = _file_stream(spark, sf, "documents").selectExpr(
+        "text AS value", "'text' AS field_name", "'docs/' || doc_id AS source_path")
     return _run(spark, W.detect_stream(records), "detect").select("source_path", "pattern_name", "value_hash", "score")
 
 

@@ -83,7 +83,7 @@ IDENTITY_TEXT = " || ' | ' || ".join([
     f"'born ' || {_pad(f'{_K} % 35', 2)} || '/' || {_pad(f'{_K} % 14', 2)} || '/' || "
     f"CAST(1950 + {_K} % 60 AS VARCHAR(40))",
     f"'uan ' || {_pad(f'({_K} * 982451653) % 1000000000000', 12)}",
-    f"'esic ' || {_pad(f'({_K} * 472882027) % 10000000000', 17)}",
+    f"'esic 31' || {_pad(f'({_K} * 472882027) % 10000000000', 10)} || {_pad(f'({_K} * 7919) % 100000', 5)}",
     f"'Blood Group: ' || CASE {_K} % 4 WHEN 0 THEN 'A+' WHEN 1 THEN 'B-' WHEN 2 THEN 'O+' ELSE 'AB+' END",
     f"'ICD-10 code' || CAST({_K} % 90 AS VARCHAR(40))",
     f"'call +1 (' || CAST(200 + {_K} % 700 AS VARCHAR(40)) || ') ' || {_pad(f'{_K} % 1000', 3)} || '-' || "
