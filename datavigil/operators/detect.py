@@ -164,23 +164,29 @@ def _scored(records, chosen, keep):
     carry = [*keep, "source_path", "field_name", "value"]
     if "row_context" in records.columns:
         carry.append("row_context")
+    # The score is generated, not projected and then filtered: a filter would be pushed below the projection and the
+    # score computed twice. Entropy, the only part outside generated code, is kept in a step of its own.
+    types = {p.pii_type for p in chosen}
+    hits = _hits(records, chosen, carry)
+    if types - set(V.STRICT):
+        heuristic = ~F.col("pii_type").isin(list(V.STRICT))
+        hits = hits.withColumn("_entropy", F.explode(F.array(F.when(heuristic, T.shannon_entropy("matched_value")))))
+    base = _base_score(F.col("matched_value"), F.col("pii_type"), types, F.col("_entropy"))
+    scored = hits.withColumn("_base", F.explode(F.when(base >= MIN_SCORE, F.array(base))))
     base = F.col("_base")
-    hits = _hits(records, chosen, carry).withColumn("_base", _base_score(
-        F.col("matched_value"), F.col("pii_type"), {p.pii_type for p in chosen}))
     score = base
     gated = [p for p in chosen if p.context_keywords and not p.custom]
     if gated:
         where = F.lower(F.concat(F.coalesce("field_name", F.lit("")), F.lit(" "),
                                  F.coalesce("source_path", F.lit(""))))
         for p in gated:
-            miss = (F.col("pattern_name") == p.name) & ~_mentions(where, p.context_keywords)
-            score = score - F.when(miss & (base >= MIN_SCORE), 40).otherwise(0)
+            score = score - F.when((F.col("pattern_name") == p.name) & ~_mentions(where, p.context_keywords), 40).otherwise(0)
     for p in chosen:
         if p.custom and (p.context_keywords or p.negative_keywords):
             mine = _keyword_effects(base, F.col("pii_type"), context, p.context_keywords, p.negative_keywords)
             score = F.when(F.col("pattern_name") == p.name, mine).otherwise(score)
     return (
-        hits.withColumn("score", score.cast("int"))
+        scored.withColumn("score", score.cast("int"))
         .filter(F.col("score") >= MIN_SCORE)
         .select(
             *keep, "pii_type", "pattern_name", "matched_value", T.value_hash("matched_value").alias("value_hash"),
@@ -218,12 +224,15 @@ def _hits(records: DataFrame, chosen: list[P.Pattern], carry: list[str]) -> Data
     )
 
 
-def _base_score(value: Column, pii_type: Column, types=None) -> Column:
+def _base_score(value: Column, pii_type: Column, types=None, entropy: Column | None = None) -> Column:
     valid = V.validate_strict(pii_type, value, types)
+    entropy = T.shannon_entropy(value) if entropy is None else entropy
     heuristic = F.when(F.lower(value).rlike("|".join(TEST_WORDS)), 0).otherwise(
-        F.lit(50) + F.when(T.shannon_entropy(value) > 3.0, 20).otherwise(0))
+        F.lit(50) + F.when(entropy > 3.0, 20).otherwise(0))
     if types is not None and not types & set(V.STRICT):
         return heuristic
+    if types is not None and not types - set(V.STRICT):
+        return F.when(valid, 100).otherwise(0)
     return F.when(pii_type.isin(list(V.STRICT)), F.when(valid, 100).otherwise(0)).otherwise(heuristic)
 
 

@@ -110,7 +110,7 @@ for _name, _regex, _repl in M.SCRUB_RULES:
 
 @query("scrub_texts", f"SELECT doc_id, md5({_SCRUB_SQL}) AS scrubbed, length({_SCRUB_SQL}) AS n FROM documents")
 def scrub_texts(spark, sf):
-    d = Tables(spark, sf).raw("documents").select("doc_id", M.scrub("text").alias("t"))
+    d = X.spread_small(Tables(spark, sf).raw("documents").select("doc_id", "text")).select("doc_id", M.scrub("text").alias("t"))
     return d.select("doc_id", F.md5("t").alias("scrubbed"), F.length("t").alias("n"))
 
 
@@ -458,7 +458,7 @@ _HTML_RECORDS = f"(SELECT regexp_replace(unnest(string_split({_HTML}, chr(10))),
 def detect_in_html(spark, sf):
     from datavigil.operators import detect as D
 
-    return D.detect(X.html_text(Tables(spark, sf).raw("pages"), "html", F.col("url"))).select(
+    return D.detect(X.html_text(X.spread_small(Tables(spark, sf).raw("pages")), "html", F.col("url"))).select(
         "source_path", "pattern_name", "value_hash", "score")
 
 

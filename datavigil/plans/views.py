@@ -204,7 +204,9 @@ class Tables:
 
     @cached_property
     def records(self) -> DataFrame:
-        docs = self.raw("documents").selectExpr(
+        from datavigil.sources.records import spread_small
+
+        docs = spread_small(self.raw("documents")).selectExpr(
             "text AS value", "'text' AS field_name", "'public.documents.' || doc_id AS source_path")
         chat = self.raw("conversations").selectExpr(
             "text AS value", "'message' AS field_name", "'chat://' || conv_id || '/' || turn AS source_path")
@@ -214,7 +216,9 @@ class Tables:
 
     @cached_property
     def identity(self) -> DataFrame:
-        return self.raw("customer").selectExpr("c_custkey", f"{IDENTITY_TEXT} AS text")
+        from datavigil.sources.records import spread_small
+
+        return spread_small(self.raw("customer").select("c_custkey")).selectExpr("c_custkey", f"{IDENTITY_TEXT} AS text")
 
     @cached_property
     def tenants(self) -> DataFrame:

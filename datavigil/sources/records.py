@@ -27,6 +27,19 @@ SYSTEM_SCHEMAS = {
 }
 
 
+SPREAD_BELOW = 1 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Even out an input that the optimizer sizes below one GiB, which may be one file with a single row group.
+
+    Detection costs far more than reading, so small inputs gain from a round of shuffling; larger ones already come in
+    many splits and are left where they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BELOW else df
+
+
 def _as_record(df: DataFrame, keep, value, field, path, structured: bool, context=None, metadata=None) -> DataFrame:
     none_map = F.lit(None).cast("map<string,string>")
     return df.select(
