@@ -101,7 +101,7 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def chain_heads(chain: DataFrame) -> DataFrame:
     """Last hash and length of every segment."""
     return chain.groupBy("tenant_id", "segment").agg(
-        F.max_by("entry_hash", "seq").alias("entry_hash"), F.max("seq").alias("entries"))
+        F.max_by("entry_hash", "seq").alias("entry_hash"), F.count("*").alias("entries"))
 
 
 def seal_chain(chain: DataFrame) -> DataFrame:

@@ -229,10 +229,10 @@ def _base_score(value: Column, pii_type: Column, types=None, entropy: Column | N
     entropy = T.shannon_entropy(value) if entropy is None else entropy
     heuristic = F.when(F.lower(value).rlike("|".join(TEST_WORDS)), 0).otherwise(
         F.lit(50) + F.when(entropy > 3.0, 20).otherwise(0))
-    if types is not None and not types & set(V.STRICT):
-        return heuristic
     if types is not None and not types - set(V.STRICT):
         return F.when(valid, 100).otherwise(0)
+    if types is not None and not types & set(V.STRICT):
+        return heuristic
     return F.when(pii_type.isin(list(V.STRICT)), F.when(valid, 100).otherwise(0)).otherwise(heuristic)
 
 

@@ -93,11 +93,13 @@ def fp_match(findings: DataFrame, learned: DataFrame) -> DataFrame:
                         [*LEARNED_KEYS, "_shape"], "learned_id")
     pattern = cells.withColumn("_shape", shape).join(shapes, [*LEARNED_KEYS, "_shape"]).select(
         *cells.columns, "learned_id", F.lit(Y.SAME_PATTERN).alias("similarity"), F.lit("pattern").alias("match_type"))
-    fuzzy = _similar_pairs(cells, known).select(
+    settled = exact.unionByName(pattern)
+    # Exact and pattern matches outrank fuzzy ones, so only the cells they leave over are compared by edits.
+    fuzzy = _similar_pairs(cells.join(settled, cells.columns, "left_anti"), known).select(
         *cells.columns, "learned_id", "similarity", F.lit("fuzzy").alias("match_type"))
 
     stage = F.when(F.col("match_type") == "exact", 2).when(F.col("match_type") == "pattern", 1).otherwise(0)
-    ranked = exact.unionByName(pattern).unionByName(fuzzy).withColumn("_stage", stage)
+    ranked = settled.unionByName(fuzzy).withColumn("_stage", stage)
     best = pick_latest(ranked, cells.columns, "_stage", "similarity", "learned_id").drop("_stage")
     return findings.select("finding_id", *cells.columns).join(best, cells.columns).select(
         "finding_id", "learned_id", "similarity", "match_type")
