@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from datavigil.operators.grouping import page, share_of_total
+from datavigil.operators.grouping import exact_avg, page, share_of_total
 
 # Sort names a list accepts | column.
 SORT_COLUMNS = {
@@ -165,7 +165,7 @@ def scan_pii_summary(findings: DataFrame, classifications: DataFrame, scan_run_i
     return rows.select("finding_id", "scan_run_id").join(
         classifications.select("finding_id", "sub_category", "confidence_score"), "finding_id"
     ).groupBy("scan_run_id", F.col("sub_category").alias("pii_type")).agg(
-        F.count("*").alias("findings"), F.avg("confidence_score").alias("avg_confidence"))
+        F.count("*").alias("findings"), exact_avg("confidence_score").alias("avg_confidence"))
 
 
 def scan_delta(scans: DataFrame, findings: DataFrame, classifications: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def classification_summary(findings, classifications, reviews) -> DataFrame:
                          *[v.alias(k) for k, v in cols.items()])
 
     by_type = share_of_total(
-        pii.groupBy("classification_type").agg(F.count("*").alias("count"), F.avg("confidence_score").alias("avg")),
+        pii.groupBy("classification_type").agg(F.count("*").alias("count"), exact_avg("confidence_score").alias("avg")),
         "count", "pct")
     by_severity = without_non_pii(findings, classifications).groupBy("severity").agg(F.count("*").alias("count"))
     marks = reviews.groupBy("status").agg(F.count("*").alias("count"))

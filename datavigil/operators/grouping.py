@@ -64,3 +64,8 @@ def share_of_total(df: DataFrame, count_col: str, name: str) -> DataFrame:
     """Percentage of the summed count, over an already aggregated (small) frame."""
     total = df.select(F.sum(count_col).alias("t")).scalar()
     return df.withColumn(name, F.col(count_col) / total * 100)
+
+
+def exact_avg(col: str) -> Column:
+    """Mean of a score to nine decimals, added up as decimals: partitions may be summed in any order."""
+    return F.sum(F.col(col).cast("decimal(18,9)")).cast("double") / F.count(col)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from datavigil.operators.grouping import page
+from datavigil.operators.grouping import exact_avg, page
 from datavigil.session import cut
 
 MIN_CONFIDENCE = 0.45
@@ -38,7 +38,7 @@ def _at(t: str):
 def category_risk(pii_type, confidence):
     """Risk level of a type, one step down below 0.65 confidence and one step up above 0.85.
 
-    The mean is rounded first, as its last digits depend on the order in which partitions were added up.
+    The mean is rounded first, so that one computed elsewhere from doubles does not tip over a threshold.
     """
     base = F.lit(1)
     for name, risk in BASE_RISK.items():
@@ -55,7 +55,7 @@ def exposure_aggregate(findings: DataFrame, classifications: DataFrame) -> DataF
         (F.col("_c.confidence_score") >= MIN_CONFIDENCE) & (F.col("_c.sub_category") != ""))
     rows = findings.select("finding_id", "asset_id", "pattern_name", "severity").join(first, "finding_id")
     agg = rows.groupBy("asset_id", F.col("_c.sub_category").alias("pii_type")).agg(
-        F.count("*").alias("finding_count"), F.avg("_c.confidence_score").alias("avg_confidence"),
+        F.count("*").alias("finding_count"), exact_avg("_c.confidence_score").alias("avg_confidence"),
         F.max("_c.confidence_score").alias("max_confidence"),
         F.count_distinct("pattern_name").alias("pattern_diversity"),
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES])

@@ -158,7 +158,7 @@ def scan_list(spark, sf):
 
 
 @query("scan_pii_summary", """
-SELECT f.scan_run_id, c.sub_category AS pii_type, count(*) AS findings, round(avg(c.confidence_score), 6) AS avg_confidence
+SELECT f.scan_run_id, c.sub_category AS pii_type, count(*) AS findings, round(CAST(sum(CAST(c.confidence_score AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS avg_confidence
 FROM findings f JOIN classifications c USING (finding_id) GROUP BY ALL""")
 def scan_pii_summary(spark, sf):
     t = Tables(spark, sf)
@@ -181,7 +181,7 @@ def scan_delta(spark, sf):
 
 @query("classification_summary", f"""
 WITH pii AS (SELECT * FROM classifications WHERE classification_type <> 'Non-PII'), kept AS (SELECT * FROM findings f WHERE {_KEEP})
-SELECT 'type' AS section, classification_type AS name, count(*) AS count, round(avg(confidence_score), 6) AS average,
+SELECT 'type' AS section, classification_type AS name, count(*) AS count, round(CAST(sum(CAST(confidence_score AS DECIMAL(18,9))) AS DOUBLE) / count(*), 6) AS average,
        round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM pii), 6) AS percent FROM pii GROUP BY classification_type
 UNION ALL SELECT 'severity', severity, count(*), NULL, NULL FROM kept GROUP BY severity
 UNION ALL SELECT 'review', status, count(*), NULL, NULL FROM review_states GROUP BY status

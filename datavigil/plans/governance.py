@@ -630,7 +630,7 @@ def audit_chain_verify(spark, sf):
 # --- lineage --------------------------------------------------------------------------------------------------------
 
 _EXPOSURE = """
-  SELECT f.asset_id, c.sub_category AS pii_type, count(*) AS finding_count, avg(c.confidence_score) AS avg_confidence, max(c.confidence_score) AS max_confidence,
+  SELECT f.asset_id, c.sub_category AS pii_type, count(*) AS finding_count, CAST(sum(CAST(c.confidence_score AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS avg_confidence, max(c.confidence_score) AS max_confidence,
     count(DISTINCT f.pattern_name) AS pattern_diversity, count(*) FILTER (f.severity = 'Critical') AS critical, count(*) FILTER (f.severity = 'High') AS high,
     count(*) FILTER (f.severity = 'Medium') AS medium, count(*) FILTER (f.severity = 'Low') AS low
   FROM findings f JOIN classifications c USING (finding_id) WHERE c.confidence_score >= 0.45 GROUP BY ALL"""
