@@ -87,21 +87,22 @@ def fp_match(findings: DataFrame, learned: DataFrame) -> DataFrame:
                        [*LEARNED_KEYS, "field_path", "matched_value"], "learned_id")
     shape = Y.value_pattern("matched_value", "pii_type")
 
-    exact = cells.join(known, [*LEARNED_KEYS, "field_path", "matched_value"]).select(
-        *cells.columns, "learned_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"))
+    spot = [*LEARNED_KEYS, "field_path", "matched_value"]
+    same = known.withColumnRenamed("learned_id", "_same")
     shapes = pick_first(known.withColumn("_shape", shape).select("learned_id", *LEARNED_KEYS, "_shape"),
-                        [*LEARNED_KEYS, "_shape"], "learned_id")
-    pattern = cells.withColumn("_shape", shape).join(shapes, [*LEARNED_KEYS, "_shape"]).select(
-        *cells.columns, "learned_id", F.lit(Y.SAME_PATTERN).alias("similarity"), F.lit("pattern").alias("match_type"))
-    settled = exact.unionByName(pattern)
+                        [*LEARNED_KEYS, "_shape"], "learned_id").withColumnRenamed("learned_id", "_alike")
+    looked_up = cells.join(same, spot, "left").withColumn("_shape", shape).join(shapes, [*LEARNED_KEYS, "_shape"], "left")
+    exact = F.col("_same").isNotNull()
+    settled = looked_up.filter(exact | F.col("_alike").isNotNull()).select(
+        *spot, F.coalesce("_same", "_alike").alias("learned_id"),
+        F.when(exact, 1.0).otherwise(Y.SAME_PATTERN).alias("similarity"),
+        F.when(exact, "exact").otherwise("pattern").alias("match_type"))
     # Exact and pattern matches outrank fuzzy ones, so only the cells they leave over are compared by edits.
-    fuzzy = _similar_pairs(cells.join(settled, cells.columns, "left_anti"), known).select(
-        *cells.columns, "learned_id", "similarity", F.lit("fuzzy").alias("match_type"))
-
-    stage = F.when(F.col("match_type") == "exact", 2).when(F.col("match_type") == "pattern", 1).otherwise(0)
-    ranked = settled.unionByName(fuzzy).withColumn("_stage", stage)
-    best = pick_latest(ranked, cells.columns, "_stage", "similarity", "learned_id").drop("_stage")
-    return findings.select("finding_id", *cells.columns).join(best, cells.columns).select(
+    rest = looked_up.filter(~exact & F.col("_alike").isNull()).select(*spot)
+    fuzzy = pick_latest(_similar_pairs(rest, known).select(*spot, "learned_id", "similarity"), spot,
+                        "similarity", "learned_id").withColumn("match_type", F.lit("fuzzy"))
+    best = settled.unionByName(fuzzy)
+    return findings.select("finding_id", *spot).join(best, spot).select(
         "finding_id", "learned_id", "similarity", "match_type")
 
 
