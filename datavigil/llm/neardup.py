@@ -9,10 +9,11 @@
 3. Every key links its members to its least member (a star, so a bucket makes no more pairs than rows). Pairs whose
    signatures differ in more than 47 of 100 symbols go (at similarity 0.75 the mean is 25, the deviation 4.3), the
    others are confirmed on the full sets. Confirmed links give components.
-4. What a star may have missed lies in buckets that still hold several components. There all pairs of members of
-   different components are compared by their signatures inside the task and only close ones leave it. A bucket above
-   `bucket_rows` is first split by keys of the second 50 symbols (the same guarantee again), and what is still larger
-   is compared tile by tile, so no task holds more than two tiles and nothing is capped.
+4. What a star may have missed lies in buckets that still hold several components. There the members of different
+   components are compared by their signatures inside the task; members with a close partner get their full sets, and a
+   second task confirms their links. No pairs leave the tasks, only rows and links. A bucket above `bucket_rows` is
+   first split by keys of the second 50 symbols (the same guarantee again), and what is still larger is compared tile by
+   tile, so no task holds more than two parts of a bucket and nothing is capped.
 """
 
 from __future__ import annotations
@@ -128,67 +129,138 @@ def _close_star(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     return wide.mapInArrow(run, "a bigint, b bigint")
 
 
-def _bucket_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Close pairs of different components among rows of one (bucket, tile), each from the first bucket they share."""
-
-    def pairs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-        found_a, found_b = [], []
-        n = len(t["bucket"])
-        live, step = np.arange(n), 0
-        while True:
-            step += 1
-            live = live[live + step < n]
-            live = live[(t["bucket"][live] == t["bucket"][live + step]) & (t["tile"][live] == t["tile"][live + step])]
-            if not len(live):
-                break
-            for some in np.array_split(live, len(live) // 100_000 + 1):
-                other = some + step
-                keep = t["comp"][some] != t["comp"][other]
-                keep &= (t["across"][some] == 0) | (t["part"][some] != t["part"][other])
-                low, high = np.minimum(t["n"][some], t["n"][other]), np.maximum(t["n"][some], t["n"][other])
-                keep &= low * den >= high * num
-                i, j = some[keep], other[keep]
-                equal = t["sig"][i] == t["sig"][j]
-                near = SYMBOLS - equal.sum(axis=1) <= FAR
-                i, j, equal = i[near], j[near], equal[near]
-                own = _first_key(equal[:, :BLOCK]) == t["no"][i]
-                own &= (t["sub"][i] < 0) | (_first_key(equal[:, BLOCK:]) == t["sub"][i])
-                found_a.append(np.minimum(t["vid"][i[own]], t["vid"][j[own]]))
-                found_b.append(np.maximum(t["vid"][i[own]], t["vid"][j[own]]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Close pairs (i, j) of rows of one (bucket, tile) and of different components, each in the first bucket that its
+    signatures share, and in how many symbols they differ."""
+    found = [np.empty((0, 3), np.int64)]
+    n = len(t["bucket"])
+    live, step = np.arange(n), 0
+    while True:
+        step += 1
+        live = live[live + step < n]
+        live = live[(t["bucket"][live] == t["bucket"][live + step]) & (t["tile"][live] == t["tile"][live + step])]
+        if not len(live):
+            return tuple(np.concatenate(found).T)
+        for i in np.array_split(live, len(live) // 100_000 + 1):
+            j = i + step
+            keep = t["comp"][i] != t["comp"][j]
+            keep &= (t["across"][i] == 0) | (t["part"][i] != t["part"][j])
+            keep &= np.minimum(t["n"][i], t["n"][j]) * den >= np.maximum(t["n"][i], t["n"][j]) * num
+            i, j = i[keep], j[keep]
+            equal = t["sig"][i] == t["sig"][j]
+            apart = SYMBOLS - equal.sum(axis=1)
+            near = apart <= FAR
+            i, j, equal, apart = i[near], j[near], equal[near], apart[near]
+            own = _first_key(equal[:, :BLOCK]) == t["no"][i]
+            own &= (t["sub"][i] < 0) | (_first_key(equal[:, BLOCK:]) == t["sub"][i])
+            found.append(np.stack((i[own], j[own], apart[own]), axis=1))
+
+
+def _tile_links(t: dict[str, np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Of the pairs of one tile, nearest first, those whose sets reach the threshold and that join two components."""
+    i, j, apart = _tile_pairs(t, num, den)
+    order = np.argsort(apart, kind="stable")
+    i, j = i[order], j[order]
+    used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+    values = [np.frombuffer(t["shingles"][k], "<u8") for k in used]
+    _, codes = np.unique(np.concatenate(values), return_inverse=True) if values else (None, np.empty(0, np.int64))
+    sizes = np.array([len(v) for v in values], np.int64)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 0, dtype=bool)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x] = root.get(root[x], root[x])
+        return x
+
+    links, shared = [], {}
+    many = np.bincount(place, minlength=len(used)) if len(place) else np.empty(0, int)
+    for x, y in zip(place[:len(i)], place[len(i):], strict=True):
+        cx, cy = find(int(t["comp"][used[x]])), find(int(t["comp"][used[y]]))
+        if cx == cy:
+            continue
+        if many[y] > many[x]:
+            x, y = y, x
+        if many[x] > 16:  # against all of the tile at once
+            if x not in shared:
+                mark[codes[bounds[x]:bounds[x + 1]]] = True
+                shared[x] = np.add.reduceat(mark[codes].astype(np.int32), bounds[:-1])
+                mark[codes[bounds[x]:bounds[x + 1]]] = False
+            both = int(shared[x][y])
+        else:
+            both = len(np.intersect1d(values[x], values[y], assume_unique=True))
+        if den * both >= num * (sizes[x] + sizes[y] - both):
+            root[cx] = cy
+            links.append((int(t["vid"][used[x]]), int(t["vid"][used[y]])))
+    return links
+
+
+def _by_tile(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(whole tiles as arrays) -> a record batch, over rows brought together by (bucket, tile)."""
 
     def run(batches):
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name != "sig"}
-            t["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+            t = {}
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                if name == "sig":
+                    t[name] = np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS)
+                else:
+                    t[name] = column.to_numpy(zero_copy_only=False)
             if rest is not None:
                 t = {k: np.concatenate((rest[k], t[k])) for k in t}
             last = np.flatnonzero((t["bucket"] != t["bucket"][-1]) | (t["tile"] != t["tile"][-1]))
             end = int(last[-1]) + 1 if len(last) else 0
-            rest = {k: v[end:] for k, v in t.items()}  # the last bucket may go on in the next batch
-            yield pairs({k: v[:end] for k, v in t.items()})
+            rest = {k: v[end:] for k, v in t.items()}  # the last tile may go on in the next batch
+            if end:
+                yield work({k: v[:end] for k, v in t.items()})
         if rest is not None:
-            yield pairs(rest)
+            yield work(rest)
 
-    columns = ["bucket", "tile", "across", "part", "no", "sub", "vid", "comp", "n", "sig"]
-    return (members.select(*columns).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "vid")
-            .mapInArrow(run, "a bigint, b bigint"))
+    return rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "vid").mapInArrow(run, schema)
+
+
+def _in_close_pairs(tiled: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows that have a close partner of another component in their tile."""
+
+    def work(t):
+        i, j, _ = _tile_pairs(t, num, den)
+        live = np.unique(np.concatenate((i, j)))
+        return pa.RecordBatch.from_arrays([
+            pa.array([row.tobytes() for row in v[live]], pa.binary()) if k == "sig" else pa.array(v[live]) for k, v in t.items()
+        ], names=list(t))
+
+    return _by_tile(tiled, work, tiled.schema)
+
+
+def _tile_confirm(live: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the rows of each tile, checked on full sets inside the task; only links leave it."""
+
+    def work(t):
+        edges = np.unique(np.stack((t["bucket"], t["tile"])), axis=1, return_index=True)[1]
+        edges = np.append(np.sort(edges), len(t["bucket"]))
+        links = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            links += _tile_links({k: v[a:b] for k, v in t.items()}, num, den)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_tile(live, work, "a bigint, b bigint")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component, with the bucket's size."""
-    sizes = (rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-             .where("low < high").select("bucket", "size"))
+    """Rows of the buckets that hold more than one component, with the number of rows and shingles of the bucket."""
+    sizes = (rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"),
+                                        F.sum("n").alias("weight"))
+             .where("low < high").select("bucket", "size", "weight"))
     return rows.join(sizes, "bucket")
 
 
 def _tiles(rows: DataFrame, bucket_rows: int) -> DataFrame:
     """Every row once for each pair of parts of its bucket that it belongs to; one part if the bucket is small."""
-    parts = F.ceil(F.col("size") / bucket_rows).cast("int")
+    parts = F.ceil(F.greatest(F.col("size") / bucket_rows, F.col("weight") / (1000 * bucket_rows))).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
     met = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("met")
     # tile (i, i): pairs inside part i; tile (i, j): pairs across
@@ -198,13 +270,17 @@ def _tiles(rows: DataFrame, bucket_rows: int) -> DataFrame:
                                         "vid", "comp", "n", "sig")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(classes.select("vid", "fp", "head"), "vid")
-    wanted = cut(wanted)
+def _sets_of(vids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(vid) -> (vid, shingles), read again from the text of one document of each class."""
+    wanted = cut(vids.distinct().join(classes.select("vid", "fp", "head"), "vid"))
     heads = wanted.select(F.col("head").alias("want")).distinct()
     texts = docs.join(heads, docs["doc_id"].eqNullSafe(heads["want"]), "left_semi")
-    sets = cut(shingle_sets(texts, words).join(wanted.select("fp", "vid"), "fp").select("vid", "shingles"))
+    found = shingle_sets(texts, words).join(wanted.select("fp", "vid"), "fp").select("vid", "shingles")
+    return cut(found)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets reach the threshold."""
     one, two = (sets.select(F.col("vid").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
 
     def run(batches):
@@ -240,22 +316,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = keys.groupBy("bucket").agg(F.min("vid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     star = keys.join(heads, "bucket").where("vid > a").select("a", F.col("vid").alias("b")).distinct()
     star = cut(_close_star(star, classes, num, den))
-    links = _confirm(star, classes, docs, words, num, den)
+    ends = star.select(F.explode(F.array("a", "b")).alias("vid"))
+    links = _confirm(star, _sets_of(ends, classes, docs, words), num, den)
     labels = components(links)
 
     known = classes.join(labels.withColumnRenamed("v", "vid"), "vid", "left").select(
         "vid", "n", "sig", F.coalesce("label", "vid").alias("comp"))
-    light = known.select("vid", "comp", F.posexplode(_keys(0)).alias("no", "bucket"))
-    mixed = cut(_mixed(light).join(known.select("vid", "n", "sig"), "vid").withColumn("sub", F.lit(-1)))
+    light = known.select("vid", "comp", "n", F.posexplode(_keys(0)).alias("no", "bucket"))
+    mixed = cut(_mixed(light).join(known.select("vid", "sig"), "vid").withColumn("sub", F.lit(-1)))
     hot = mixed.where(F.col("size") > bucket_rows)
-    split = hot.select("vid", "n", "sig", "comp", "no", F.posexplode(_keys(1, F.col("bucket"))).alias("sub", "bucket"))
-    split = _mixed(split)
-    names = ["bucket", "size", "no", "sub", "vid", "comp", "n", "sig"]
+    split = _mixed(hot.select("vid", "n", "sig", "comp", "no", F.posexplode(_keys(1, F.col("bucket"))).alias("sub", "bucket")))
+    names = ["bucket", "size", "weight", "no", "sub", "vid", "comp", "n", "sig"]
     small = mixed.where(F.col("size") <= bucket_rows).select(*names)
-    more = _bucket_pairs(_tiles(small.union(split.select(*names)), bucket_rows), num, den)
-    more = cut(more.join(star, ["a", "b"], "left_anti").distinct())
-    if not more.isEmpty():
-        links = links.union(_confirm(more, classes, docs, words, num, den))
+    live = cut(_in_close_pairs(_tiles(small.union(split.select(*names)), bucket_rows), num, den))
+    if not live.isEmpty():
+        sets = _sets_of(live.select("vid"), classes, docs, words)
+        links = links.union(cut(_tile_confirm(live.join(sets, "vid"), num, den)))
         labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("v", "vid"), "vid", "left").select(
