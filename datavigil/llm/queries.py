@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from datavigil.llm import neardup
+from datavigil.llm import bpe, neardup, pretokens, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranks() -> dict[bytes, int]:
+    return pretokens.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op1_byte_bpe(spark, sf_dir):
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks(), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, ranks())).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_edit_aware_token_counts(spark, sf_dir):
+    edited = token_counts.redactions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.count_tokens(edited, ranks(), public_tokenizers.PATTERN)
+
+
 @query
 def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
