@@ -37,6 +37,9 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(_SPACES)] = True
+#: White space and ASCII punctuation, for words that punctuation does not change.
+PUNCTUATION = _IS_SPACE.copy()
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -79,15 +82,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, and where each text's words begin."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, A-Z lower-cased, and where each text's words begin. A word is a run of bytes that do not
+    stand between words; as set here [^\\x20\\x09-\\x0D]+."""
     first = int(offsets[0])
     chars = data[first:int(offsets[-1])]
     bounds = offsets - first
     n = len(chars)
     if n == 0:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _IS_SPACE[chars]
+    space = between[chars]
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True
     starts = np.flatnonzero(~space & (edge[:-1] | np.concatenate(([True], space[:-1]))))

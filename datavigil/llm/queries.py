@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datavigil.llm import bpe, neardup, pretokens, token_counts
+from datavigil.llm import bpe, neardup, pretokens, sharding, token_counts, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,12 +34,43 @@ def op1_byte_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_stratified_shards(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    cut = sharding.interleave(docs, 8, F.col("source"), [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op5_url_vocabulary(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).drop("url")
+
+
+ORACLE["op5_url_vocabulary"] = urls.judge_sql(URL_RULES)
+
+
 @query
 def op6_edit_aware_token_counts(spark, sf_dir):
     edited = token_counts.redactions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_counts.count_tokens(edited, ranks(), public_tokenizers.PATTERN)
 
 
+@query
+def op8_warc_derivatives(spark, sf_dir):
+    found = warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.derivatives(found).drop("block", "content_type")
+
+
+ORACLE["op8_warc_derivatives"] = warc.derivatives_sql()
+
+
 @query
 def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
