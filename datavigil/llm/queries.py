@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datavigil.llm import bpe, neardup, pretokens, sharding, token_counts, urls, warc
+from datavigil.llm import ann, bpe, decontam, langid, neardup, pretokens, quality, sharding, token_counts, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op1_byte_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_kmeans_tree_search(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_stratified_shards(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
@@ -44,6 +49,12 @@ def op3_stratified_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+@query
+def op4_cotrained_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "quality_score", "quality_kept")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -62,6 +73,13 @@ def op6_edit_aware_token_counts(spark, sf_dir):
     return token_counts.count_tokens(edited, ranks(), public_tokenizers.PATTERN)
 
 
+@query
+def op7_string_kernel_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query
 def op8_warc_derivatives(spark, sf_dir):
     found = warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -71,6 +89,11 @@ def op8_warc_derivatives(spark, sf_dir):
 ORACLE["op8_warc_derivatives"] = warc.derivatives_sql()
 
 
+@query
+def op9_seeded_alignment(spark, sf_dir):
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
