@@ -1,6 +1,6 @@
 """Operator 1: byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Each task cuts its texts into pre-tokens, block by block (a block is about 16 million characters), and numbers the
+1. Each task cuts its texts into pre-tokens, block by block (a block is about 4 million characters), and numbers the
    distinct ones of a block by frequency. A text becomes the list of these numbers: its words by position.
 2. The words of a block go out once each, packed by hash bucket, and are shuffled by bucket. All blocks' copies of a word
    meet in one task, which merges it once and sends the ids back to every block that asked. A word that stands in every
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from datavigil.llm import arrays as A
 from datavigil.llm import pretokens as P
 
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 22
 BUCKETS = 256
 MAX_TABLE_BYTES = 1 << 26
 
@@ -166,13 +166,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     return result.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], F.col("ids").alias(ids_col))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """encoded and the bytes that its ids stand for. Null ids give null, none give no bytes; an id without a token fails."""
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded",
+           digest_col: str = "ids_sha256") -> DataFrame:
+    """encoded, the bytes that its ids stand for, and the SHA-256 (lowercase hex) of the ids as little-endian unsigned 32-bit
+    integers. Null ids give nulls, none give no bytes; an id without a token fails. Columns with these names are replaced."""
     spread = _spread(encoded.sparkSession, ranks)
-    others = [c for c in encoded.columns if c != bytes_col]
+    others = [c for c in encoded.columns if c not in (bytes_col, digest_col)]
     place = others.index(ids_col)
     safe = encoded.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    schema = T.StructType([*safe.schema.fields, T.StructField("decoded", T.BinaryType())])
+    schema = T.StructType([*safe.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("digest", T.StringType())])
 
     def run(batches):
         table = spread.value
@@ -186,29 +188,20 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", by
         blob = np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
             column = batch.column(place)
-            done = []
+            done, sums = [], []
             for row in column:
                 if not row.is_valid:
                     done.append(None)
+                    sums.append(None)
                     continue
                 ids = row.values.to_numpy(zero_copy_only=False)
                 if len(ids) and (ids.min() < 0 or ids.max() >= size or length[ids].min() < 0):
                     raise ValueError("an id has no token")
                 done.append(blob[A.ragged(first[ids], length[ids])].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], [*batch.schema.names, "decoded"])
+                sums.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary()), pa.array(sums, pa.string())],
+                                             [*batch.schema.names, "decoded", "digest"])
 
     out = safe.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], F.col("decoded").alias(bytes_col))
-
-
-def digests(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """encoded with ids_sha256: SHA-256 of the ids as little-endian unsigned 32-bit integers, lowercase hex."""
-    return encoded.withColumn("ids_sha256", _ids_sha256(F.col(ids_col)))
-
-
-@F.arrow_udf(T.StringType())
-def _ids_sha256(ids: pa.Array) -> pa.Array:
-    values = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).astype("<u4")
-    offsets = ids.offsets.to_numpy()
-    view = memoryview(values).cast("B")
-    return pa.array([hashlib.sha256(view[4 * a:4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], F.col("decoded").alias(bytes_col),
+                      F.col("digest").alias(digest_col))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -106,7 +107,7 @@ class Block:
     def close(self) -> tuple[list[str], list[np.ndarray]]:
         """The distinct pre-tokens, most frequent first, and each text as their numbers."""
         number = self.words.__getitem__
-        flat, lengths = [], []
+        flat, lengths = array("i"), array("q")
         for cut in self.cuts:
             found = self.find(" " + cut)
             lengths.append(len(found))
@@ -115,9 +116,7 @@ class Block:
         starts = np.cumsum(lengths) - lengths
         out = [np.concatenate((plain, flat[A.ragged(starts[cuts], lengths[cuts])])) for plain, cuts in self.texts]
         words = list(self.words)
-        counts = np.zeros(len(words), np.int64)
-        for numbers in out:
-            np.add.at(counts, numbers, 1) if len(numbers) < 1000 else counts.__iadd__(np.bincount(numbers, minlength=len(words)))
+        counts = np.bincount(np.concatenate(out), minlength=len(words)) if out else np.empty(0, np.int64)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)

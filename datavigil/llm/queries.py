@@ -30,7 +30,7 @@ def ranks() -> dict[bytes, int]:
 @query
 def op1_byte_bpe(spark, sf_dir):
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks(), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks())).select(
+    return bpe.decode(encoded, ranks()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
