@@ -73,7 +73,7 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
                             parts.append(words[start:end].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["item_id", "words"])
 
-    picked = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    picked = items.select(F.col(id_col).cast("long").alias("item_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     return picked.mapInArrow(run, "item_id bigint, words binary")
 
 
@@ -181,7 +181,7 @@ def _blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, te
     passages = item_words(items, item_col, item_text)
     total = passages.agg(F.sum(F.length("words"))).first()[0] or 0
     parts = max(1, -(-total // (8 * block_words)))
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.lower(F.col(text_col).cast("string")).alias("text"))
     for part in range(parts):
         rows = passages.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "words").collect()
         block = _collect(rows)
@@ -193,11 +193,11 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                    item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score): documents that hold an item whole or edited, score from threshold to 1.
 
-    Words are lower-cased (A-Z) and cut at white space and ASCII punctuation. Items of fewer than three words, null or empty
+    Words are lower-cased and cut at white space and ASCII punctuation. Items of fewer than three words, null or empty
     ones match nothing, as do null or empty texts; a null item id is given as -1. Equal items each give a row, equal documents
     too. An item longer than 256 words counts by its best passage. No items or no documents give no rows.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     schema = "doc_id bigint, item_id bigint, score double"
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in _blocks(docs, items, item_col, item_text, text_col, block_words):
@@ -222,8 +222,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
           threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item; see contaminations."""
     names = docs.columns
-    place = names.index(text_col)
-    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    place = len(names)
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+                      F.lower(F.col(f"`{text_col}`").cast("string")).alias("low"))
     for shared in _blocks(docs, items, item_col, item_text, text_col, block_words):
         def run(batches, shared=shared):
             for batch in batches:

@@ -92,8 +92,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = F.xxhash64(F.lit(seed), "doc_id")
     langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
     narrow = usable.select("doc_id", "lang").join(F.broadcast(langs), "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    picked = narrow.withColumn("rank", rank).where(F.col("rank") <= rows_per_lang)  # cut in each task before the shuffle
+    # first within parts of a language, then among the parts' best, so that no task gets all rows of a language
+    picked = narrow.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, "doc_id"))
+        picked = picked.withColumn("rank", rank).where(F.col("rank") <= rows_per_lang)
     sample = usable.join(F.broadcast(picked.select("doc_id", "rank").dropDuplicates(["doc_id"])), "doc_id")
 
     def vectors(batches):
