@@ -6,8 +6,9 @@ whichever level it hangs on. How many leaves a query visits is calibrated: a bou
 against all vectors, the place of the true neighbours' leaves in the queue's order is noted, and visits are widened
 until the wanted share of true neighbours is met.
 
-Queries meet leaves by a shuffle on (leaf, vector part, query part): a large leaf, such as one of many equal vectors, is
-dealt over as many parts as its rows need, and so are the queries that visit it; no task holds more than one part of each.
+Queries meet vectors by a shuffle on (cell, vector part, query part). A cell is a run of neighbouring leaves of about 4,096
+rows, so a query has one answer per cell, not per leaf. A larger leaf, such as one of many equal vectors, is dealt over as
+many parts as its rows need, and so are the queries that visit a cell; no task holds more than one part of each.
 """
 
 from __future__ import annotations
@@ -40,6 +41,21 @@ class Tree:
     def leaves(self) -> int:
         return int((self.leaf_of >= 0).sum())
 
+    def cells(self, sizes: dict[int, int], cell_rows: int) -> tuple[np.ndarray, dict[int, int]]:
+        """Neighbouring leaves put together until a cell has cell_rows rows: the cell of each leaf, and the cells' rows."""
+        cell, rows, todo = np.zeros(self.leaves, np.int64), {0: 0}, [0]
+        while todo:
+            node = todo.pop()
+            todo += self.children[node]
+            if (leaf := self.leaf_of[node]) >= 0:
+                last = len(rows) - 1
+                if rows[last] and rows[last] + sizes.get(int(leaf), 0) > cell_rows:
+                    last += 1
+                    rows[last] = 0
+                cell[leaf] = last
+                rows[last] += sizes.get(int(leaf), 0)
+        return cell, rows
+
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector: down the tree to the nearest centre."""
         node = np.zeros(len(vectors), np.int64)
@@ -112,26 +128,36 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.add.reduce(queries * vectors, axis=-1)
 
 
-def _best(q_ids: np.ndarray, queries: np.ndarray, v_ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, vec_id, score) of the k best per query, other rows than the query's own; ties to the smaller vec_id."""
-    rough = queries @ vectors.T
-    rough[q_ids[:, None] == v_ids[None, :]] = -np.inf
-    out = []
-    for i, row in enumerate(rough):
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            near = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else row > -np.inf)
-        else:
-            near = np.flatnonzero(row > -np.inf)
-        exact = _scores(queries[i][None, :], vectors[near])
-        for j in np.lexsort((v_ids[near], -exact))[:k]:
-            out.append((int(q_ids[i]), int(v_ids[near[j]]), float(exact[j])))
-    return out
-
-
-def _batch(rows: list[tuple]) -> pa.Table:
+def _best(q_ids: np.ndarray, queries: np.ndarray, v_ids: np.ndarray, vectors: np.ndarray, k: int,
+          visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k best per query among the rows that it visits, other than the query's own; ties to
+    the smaller vec_id. A matrix product finds those that can be among the best, the exact measure orders them."""
+    parts = []
+    for start in range(0, len(q_ids), 256):
+        own = slice(start, start + 256)
+        rough = queries[own] @ vectors.T
+        rough[q_ids[own][:, None] == v_ids[None, :]] = -np.inf
+        if visited is not None:
+            rough[~visited[own]] = -np.inf
+        near = rough > -np.inf
+        if rough.shape[1] > k:
+            least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+            near &= rough >= np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)[:, None]
+        q, v = np.nonzero(near)
+        score = np.concatenate([_scores(queries[start + q[i:i + 65536]], vectors[v[i:i + 65536]])
+                                for i in range(0, len(q), 65536)] or [np.empty(0)])
+        order = np.lexsort((v_ids[v], -score, q))
+        q, v, score = q[order], v[order], score[order]
+        first = np.searchsorted(q, q, side="left")
+        best = np.arange(len(q)) - first < k
+        parts.append((q_ids[start + q[best]], v_ids[v[best]], score[best]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (
+        np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _batch(rows: tuple) -> pa.Table:
     kinds = (pa.int64(), pa.int64(), pa.float64())
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -187,7 +213,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sample = np.array([r["v"] for r in sample])
     tree = grow(sample, max(8, leaf_rows * len(sample) // total))
     visits = calibrate(good, tree, is_query, k, recall, calibration)
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
         for batch in batches:
@@ -195,35 +222,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.assign(_matrix(batch.column(1))))],
                                                  ["vec_id", "v", "leaf"])
 
+    index = good.mapInArrow(place, "vec_id bigint, v array<double>, leaf bigint")
+    # a row per leaf, so at most as many as the sample has rows
+    sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    cell_of, rows = tree.cells(sizes, part_rows)
+    cells = spark.sparkContext.broadcast(cell_of)
+
     def route(batches):
         for batch in batches:
-            if batch.num_rows:
-                walks = [shared.value.walk(q, visits) for q in _matrix(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(walks, pa.list_(pa.int64()))],
-                                                 ["query_id", "q", "leaf"])
-
-    index = good.mapInArrow(place, "vec_id bigint, v array<double>, leaf bigint")
-    queries = good.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(route, "query_id bigint, q array<double>, leaf array<bigint>")
-    probes = queries.select("query_id", "q", F.explode("leaf").alias("leaf"))
-    # one row per leaf, so at most as many as the sample has rows
-    sizes = index.groupBy("leaf").agg(F.count("*").alias("rows"))
-    asked = probes.groupBy("leaf").agg(F.count("*").alias("asks"))
-    parts = F.broadcast(sizes.join(asked, "leaf").select(
-        "leaf", F.ceil(F.col("rows") / part_rows).cast("int").alias("v_parts"), F.ceil(F.col("asks") / part_rows).cast("int").alias("q_parts")))
-    index = index.join(parts, "leaf").select(
-        "leaf", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("v_parts")).cast("int").alias("v_part"),
+            ids, places, cell, leaves = batch.column(0), [], [], []
+            for i, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
+                walk = np.array(shared.value.walk(q, visits))
+                own = cells.value[walk]
+                for c in np.unique(own):
+                    places.append(i)
+                    cell.append(c)
+                    leaves.append(walk[own == c])
+            at = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(cell, pa.int64()),
+                                              pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "q", "cell", "leaves"])
+
+    probes = (good.where(is_query).dropDuplicates(["vec_id"])
+              .mapInArrow(route, "query_id bigint, q array<double>, cell bigint, leaves array<bigint>"))
+    asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}  # a row per cell
+    parts = F.broadcast(spark.createDataFrame(
+        [(c, -(-n // part_rows), -(-asked[c] // part_rows)) for c, n in rows.items() if c in asked and n] or [(-1, 1, 1)],
+        "cell bigint, v_parts int, q_parts int"))
+    leaf_cells = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(cell_of)], "leaf bigint, cell bigint"))
+    index = index.join(leaf_cells, "leaf").join(parts, "cell").select(
+        "cell", "leaf", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("v_parts")).cast("int").alias("v_part"),
         F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"))
-    probes = probes.join(parts, "leaf").select(
-        "leaf", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int").alias("q_part"),
+    probes = probes.join(parts, "cell").select(
+        "cell", "leaves", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int").alias("q_part"),
         F.explode(F.sequence(F.lit(0), F.col("v_parts") - 1)).alias("v_part"))
 
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
-            return _batch([])
+            return _batch(([], [], []))
         q, v = queries.combine_chunks(), rows.combine_chunks()
-        return _batch(_best(q.column("query_id").to_numpy(), _matrix(q.column("q").combine_chunks()),
-                            v.column("vec_id").to_numpy(), _matrix(v.column("v").combine_chunks()), k))
+        used, leaf = np.unique(v.column("leaf").to_numpy(), return_inverse=True)
+        visits = np.array([np.isin(used, walk) for walk in q.column("leaves").to_pylist()])
+        return _batch(_best(q.column("query_id").to_numpy(), _matrix(q.column("q").combine_chunks()), v.column("vec_id").to_numpy(),
+                            _matrix(v.column("v").combine_chunks()), k, visits[:, leaf]))
 
-    keys = ["leaf", "v_part", "q_part"]
+    keys = ["cell", "v_part", "q_part"]
     found = probes.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
