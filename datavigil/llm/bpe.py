@@ -42,7 +42,7 @@ def _blocks(batches, pattern: str, block_chars: int):
     """(block id, block, rows of the block as batches without the text, which is the last column)."""
     part = TaskContext.get().partitionId()
     block, rows, serial = P.Block(pattern), [], 0
-    for batch in batches:
+    for batch in A.pieces(batches):
         start = 0
         for i, text in enumerate(batch.column(batch.num_columns - 1)):
             block.add(text.as_py())
@@ -186,7 +186,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", by
         length[list(table.values())] = [len(t) for t in table]
         first = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
         blob = np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
+        for batch in A.pieces(batches):
             column = batch.column(place)
             done, sums = [], []
             for row in column:

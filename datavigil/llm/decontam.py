@@ -58,7 +58,7 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     """(item_id, words): the hashed words of each passage of each item; shorter than three words, none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             data, offsets = A.byte_view(batch.column(1))
             ids, parts = [], []
             for i, j in A.slices(offsets):
@@ -106,7 +106,7 @@ def _document_counts(texts: DataFrame, grams: np.ndarray) -> dict[int, int]:
     def run(batches):
         wanted = shared.value
         total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
+        for batch in A.pieces(batches):
             data, offsets = A.byte_view(batch.column(0))
             for i, j in A.slices(offsets):
                 words, bounds = A.word_hashes(data, offsets[i:j + 1], A.PUNCTUATION)
@@ -202,7 +202,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in _blocks(docs, items, item_col, item_text, text_col, block_words):
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in A.pieces(batches):
                 data, offsets = A.byte_view(batch.column(1))
                 ids, rows = [], []
                 for i, j in A.slices(offsets):
@@ -227,7 +227,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                       F.lower(F.col(f"`{text_col}`").cast("string")).alias("low"))
     for shared in _blocks(docs, items, item_col, item_text, text_col, block_words):
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in A.pieces(batches):
                 data, offsets = A.byte_view(batch.column(place))
                 keep = np.ones(batch.num_rows, bool)
                 for i, j in A.slices(offsets):

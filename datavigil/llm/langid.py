@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datavigil.llm import arrays as A
+
 
 #: Hash places of the n-grams of each length.
 PLACES = (1 << 9, 1 << 12, 1 << 13)
@@ -100,7 +102,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = usable.join(F.broadcast(picked.select("doc_id", "rank").dropDuplicates(["doc_id"])), "doc_id")
 
     def vectors(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             texts = batch.column("text").to_pylist()
             for i, j in _slices(texts):
                 own = batch.slice(i, j - i)
@@ -148,7 +150,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in A.pieces(batches):
             texts = batch.column(place).to_pylist()
             langs, scores = [], []
             for i, j in _slices(texts):

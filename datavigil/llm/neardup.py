@@ -33,7 +33,7 @@ from datavigil.session import cut
 CHUNKS, WIDTH, BLOCK = 10, 5, 50
 SYMBOLS = 2 * BLOCK
 FAR = 47
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 1000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -65,7 +65,7 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, fp, sig); no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             for ids, values, bounds in _sets(batch, words):
                 sig = _signatures(values, bounds)
                 yield pa.RecordBatch.from_arrays([
@@ -79,7 +79,7 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, text) -> (fp, shingles): sorted 64-bit hashes of the whole set as binary."""
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             for _, values, bounds in _sets(batch, words):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(_fingerprints(values, bounds), pa.binary()), A.binary_array(values, bounds)], ["fp", "shingles"])
@@ -132,7 +132,7 @@ def _close_star(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
 def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Close pairs (i, j) of rows of one (bucket, tile) and of different components, each in the first bucket that its
     signatures share, and in how many symbols they differ."""
-    found = [np.empty((0, 3), np.int64)]
+    found = [np.empty((0, 3), np.int32)]
     n = len(t["bucket"])
     live, step = np.arange(n), 0
     while True:
@@ -153,7 +153,7 @@ def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarra
             i, j, equal, apart = i[near], j[near], equal[near], apart[near]
             own = _first_key(equal[:, :BLOCK]) == t["no"][i]
             own &= (t["sub"][i] < 0) | (_first_key(equal[:, BLOCK:]) == t["sub"][i])
-            found.append(np.stack((i[own], j[own], apart[own]), axis=1))
+            found.append(np.stack((i[own], j[own], apart[own]), axis=1).astype(np.int32))
 
 
 def _tile_links(t: dict[str, np.ndarray], num: int, den: int) -> list[tuple[int, int]]:

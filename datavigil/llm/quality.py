@@ -140,7 +140,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, n_chars, label, text) -> doc_id, label, text measures, metadata measures."""
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             data, offsets = A.byte_view(batch.column("text"))
             for i, j in A.slices(offsets):
                 rows = batch.slice(i, j - i)
@@ -177,12 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
               .distinct().orderBy(order, "doc_id").limit(max_pool).withColumn("label", F.lit(-1)))
     sample = picked.union(others)  # at most max_labelled + max_pool narrow rows
     rows = _measured(docs.join(F.broadcast(sample), "doc_id")).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    x, m = (np.array(list(rows[c]), float).reshape(len(rows), -1) for c in ("x", "m"))
     label, ids = rows["label"].to_numpy(int), rows["doc_id"].to_numpy(np.int64)
     apart = A.mix(ids.astype(np.uint64) + np.uint64(seed)) % np.uint64(10) < 3
     learn, check, pool = np.flatnonzero((label >= 0) & ~apart), np.flatnonzero((label >= 0) & apart), np.flatnonzero(label < 0)
     if any(len(np.unique(label[part])) < 2 for part in (learn, check)):
         return Model(None, None, None, None, 0.0, float(label[label >= 0].mean()) if (label >= 0).any() else 0.5)
+    x, m = (np.array(list(rows[c]), float) for c in ("x", "m"))
     views, inputs = [None, None], (x, m)
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view has got from the other
     for _ in range(max(rounds, 0) + 1):
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in A.pieces(batches):
             def column(name, kind, batch=batch):
                 return batch.column(place[name]).cast(kind) if name in place else pa.nulls(batch.num_rows, kind)
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datavigil.llm import arrays as A
 from datavigil.llm import pretokens as P
 from datavigil.llm.bpe import _spread
 
@@ -132,7 +133,7 @@ def redactions(docs: DataFrame, text_col: str = "text", edits_col: str = "edits"
     pattern = regex.compile(r"(?P<mail>[\w.%+-]++@[\w-]+(?:\.[\w-]+)+)|(?P<number>[0-9]{4,}+)")
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             column = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 column.append([{"start": m.start(), "stop": m.end(), "new": f"<{m.lastgroup}>"} for m in pattern.finditer(text or "")])
@@ -189,7 +190,7 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
                                               ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_encoded_again"])
 
-        for batch in batches:
+        for batch in A.pieces(batches):
             ids, edits, block = [], [], P.Block(pattern)
             for doc, own, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 ids.append(doc.as_py())
