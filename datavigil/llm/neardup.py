@@ -129,10 +129,9 @@ def _close_star(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     return wide.mapInArrow(run, "a bigint, b bigint")
 
 
-def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Close pairs (i, j) of rows of one (bucket, tile) and of different components, each in the first bucket that its
-    signatures share, and in how many symbols they differ."""
-    found = [np.empty((0, 3), np.int32)]
+    signatures share, and in how many symbols they differ; at most 100,000 at a time."""
     n = len(t["bucket"])
     live, step = np.arange(n), 0
     while True:
@@ -140,7 +139,7 @@ def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarra
         live = live[live + step < n]
         live = live[(t["bucket"][live] == t["bucket"][live + step]) & (t["tile"][live] == t["tile"][live + step])]
         if not len(live):
-            return tuple(np.concatenate(found).T)
+            return
         for i in np.array_split(live, len(live) // 100_000 + 1):
             j = i + step
             keep = t["comp"][i] != t["comp"][j]
@@ -153,12 +152,17 @@ def _tile_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarra
             i, j, equal, apart = i[near], j[near], equal[near], apart[near]
             own = _first_key(equal[:, :BLOCK]) == t["no"][i]
             own &= (t["sub"][i] < 0) | (_first_key(equal[:, BLOCK:]) == t["sub"][i])
-            found.append(np.stack((i[own], j[own], apart[own]), axis=1).astype(np.int32))
+            if own.any():
+                yield i[own].astype(np.int32), j[own].astype(np.int32), apart[own].astype(np.int8)
 
 
 def _tile_links(t: dict[str, np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Of the pairs of one tile, nearest first, those whose sets reach the threshold and that join two components."""
-    i, j, apart = _tile_pairs(t, num, den)
+    found = list(_tile_pairs(t, num, den))
+    if not found:
+        return []
+    i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     order = np.argsort(apart, kind="stable")
     i, j = i[order], j[order]
     used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
@@ -227,8 +231,10 @@ def _in_close_pairs(tiled: DataFrame, num: int, den: int) -> DataFrame:
     """The rows that have a close partner of another component in their tile."""
 
     def work(t):
-        i, j, _ = _tile_pairs(t, num, den)
-        live = np.unique(np.concatenate((i, j)))
+        close = np.zeros(len(t["bucket"]), dtype=bool)
+        for i, j, _ in _tile_pairs(t, num, den):  # a tile may hold very many pairs, only their rows are kept
+            close[i] = close[j] = True
+        live = np.flatnonzero(close)
         return pa.RecordBatch.from_arrays([
             pa.array([row.tobytes() for row in v[live]], pa.binary()) if k == "sig" else pa.array(v[live]) for k, v in t.items()
         ], names=list(t))
