@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datavigil.operators.grouping import page
@@ -59,23 +59,28 @@ def entry_text(previous):
     return F.concat_ws("|", previous, *fields, F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
-def build_chain(events: DataFrame, segment: str = "day", heads: DataFrame | None = None) -> DataFrame:
+def build_chain(events: DataFrame, segment: str = "day", heads: DataFrame | None = None, batch: str = "batch") -> DataFrame:
     """Hash chain of each tenant's events, one chain per segment of time.
 
     Each hash needs the one before it, so a chain can only be computed in order. Cutting it by `segment` (a `date_trunc`
     unit) lets segments run side by side; `seal_chain` then ties the segments together. Rows are streamed in order
-    through a task with the last hash as its only state, so a segment of any length takes constant memory.
+    through a task with the last hash as its only state, so a segment of any length takes constant memory; a tenant with
+    very long days takes a finer unit.
 
-    `heads` (`tenant_id`, `entry_hash`) continues the chains of an earlier batch instead: the batch is then one segment,
-    and the result is the single chain of the tenant, appended to batch by batch.
+    `heads` (`tenant_heads` of the chain so far) continues the chains of an earlier batch instead: the batch is then one
+    segment named `batch`, and the result is the single chain of the tenant, appended to batch by batch. Names of batches
+    must grow in order of text. Places go on from `last_seq`; without that column they start at 1 and `verify_chain`
+    cannot tie the batch to the one before.
     """
-    cut = F.lit("batch") if heads is not None else F.date_format(F.date_trunc(segment, "event_time"), "yyyy-MM-dd HH:mm")
+    cut = F.lit(batch) if heads is not None else F.date_format(F.date_trunc(segment, "event_time"), "yyyy-MM-dd HH:mm")
     rows = events.withColumns({"segment": cut, "_text": entry_text(F.lit(""))})
     if heads is not None:
-        rows = rows.join(heads.select("tenant_id", F.col("entry_hash").alias("_head")), "tenant_id", "left")
+        last = F.col("last_seq") if "last_seq" in heads.columns else F.lit(0)
+        rows = rows.join(heads.select("tenant_id", F.col("entry_hash").alias("_head"), last.cast("long").alias("_from")),
+                         "tenant_id", "left").withColumn("_from", F.coalesce("_from", F.lit(0)))
     else:
-        rows = rows.withColumn("_head", F.lit(None).cast("string"))
-    ordered = rows.select("tenant_id", "segment", "event_id", "event_time", "_text", "_head").repartition(
+        rows = rows.withColumns({"_head": F.lit(None).cast("string"), "_from": F.lit(0).cast("long")})
+    ordered = rows.select("tenant_id", "segment", "event_id", "event_time", "_text", "_head", "_from").repartition(
         "tenant_id", "segment").sortWithinPartitions("tenant_id", "segment", "event_time", "event_id")
     chained = ordered.mapInPandas(
         _link, "tenant_id long, segment string, event_id long, seq long, previous_hash string, entry_hash string")
@@ -86,9 +91,10 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, last, seq = None, GENESIS, 0
     for batch in batches:
         before, after, places = [], [], []
-        for tenant, segment, text, head in zip(batch["tenant_id"], batch["segment"], batch["_text"], batch["_head"]):
+        for tenant, segment, text, head, start in zip(batch["tenant_id"], batch["segment"], batch["_text"], batch["_head"],
+                                                      batch["_from"]):
             if (tenant, segment) != key:
-                key, last, seq = (tenant, segment), head if isinstance(head, str) else GENESIS, 0
+                key, last, seq = (tenant, segment), head if isinstance(head, str) else GENESIS, int(start)
             before.append(last)
             last = hashlib.sha256((last + text).encode()).hexdigest()
             seq += 1
@@ -104,6 +110,14 @@ def chain_heads(chain: DataFrame) -> DataFrame:
         F.max_by("entry_hash", "seq").alias("entry_hash"), F.count("*").alias("entries"))
 
 
+def tenant_heads(chain: DataFrame) -> DataFrame:
+    """Last hash and place of every tenant's chain: what the next batch is appended to."""
+    ends = chain.groupBy("tenant_id", "segment").agg(
+        F.max_by("entry_hash", "seq").alias("entry_hash"), F.max("seq").alias("last_seq"))
+    return ends.groupBy("tenant_id").agg(F.max_by("entry_hash", "segment").alias("entry_hash"),
+                                         F.max_by("last_seq", "segment").alias("last_seq"))
+
+
 def seal_chain(chain: DataFrame) -> DataFrame:
     """One digest per tenant over its segment heads in order; segments are as many as there are days or hours."""
     heads = chain_heads(chain)
@@ -116,9 +130,18 @@ def seal_chain(chain: DataFrame) -> DataFrame:
 def verify_chain(chain: DataFrame, events: DataFrame) -> DataFrame:
     """Each entry checked on its own: its hash is recomputed and its link compared with the entry before it.
 
-    Both joins are on keys of one row each, so verification runs in parallel whatever the length of a chain.
+    The entry before the first of an appended batch is the last one of the tenant's segment before, so a lost or misplaced
+    batch breaks a link. Both joins are on keys of one row each, and only segment ends are put in order, so verification
+    runs in parallel whatever the length of a chain.
     """
-    before = chain.select("tenant_id", "segment", (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_linked"))
+    inside = chain.select("tenant_id", "segment", (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_linked"))
+    in_order = Window.partitionBy("tenant_id").orderBy("segment")
+    ends = chain.groupBy("tenant_id", "segment").agg(
+        F.min("seq").alias("seq"), F.max("seq").alias("_last"), F.max_by("entry_hash", "seq").alias("_hash"))
+    across = ends.select("tenant_id", "segment", "seq", F.lag("_hash").over(in_order).alias("_linked"),
+                         F.lag("_last").over(in_order).alias("_before"))
+    across = across.filter((F.col("seq") > 1) & (F.col("_before") + 1 == F.col("seq"))).drop("_before")
+    before = inside.unionByName(across)
     rows = chain.join(events.select("tenant_id", "event_id", *CHAIN_FIELDS), ["tenant_id", "event_id"], "left").join(
         before, ["tenant_id", "segment", "seq"], "left")
     return rows.select(

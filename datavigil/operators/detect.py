@@ -6,8 +6,9 @@ from collections import Counter
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from datavigil.functions import patterns as P
 from datavigil.functions import text as T
@@ -18,7 +19,6 @@ from datavigil.operators.grouping import pick_first
 TEST_WORDS = ["test", "example", "sample", "dummy", "placeholder", "12345", "00000"]
 
 MIN_SCORE = 50
-CUSTOM_CHUNK = 100
 RECOGNIZER_MIN_LENGTH = 10
 
 FINDING_COLUMNS = [
@@ -37,7 +37,9 @@ def detect(
 
     `pii_types` None runs all built-ins and an empty list runs none; custom patterns always run. `keep` carries
     record columns to the findings. Narrow apart from one case: if a custom pattern shares its type with another
-    pattern, equal hits of one record are merged, which shuffles the hits (not the texts).
+    pattern, equal hits of one record are merged, which shuffles the hits (not the texts) by the whole record, the kept
+    columns included; keep the row key of a source with many equal records, so that they do not meet in one task.
+    Keywords look at `row_context`, or where that is null at 100 characters around the hit.
     """
     builtin = P.select_patterns(pii_types)
     if isinstance(custom, DataFrame):
@@ -129,41 +131,41 @@ def evaluate(labelled: DataFrame, findings: DataFrame, gate: float = 0.90) -> Da
 
 
 def _detect_with_table(records, builtin, table, keep):
-    """Custom patterns from a table: compiled in chunks, one pass over the records per chunk, so any number works."""
+    """Custom patterns from a table of the user's patterns, compiled into the one pass over the records."""
     rows = [
         P.custom_pattern(r["name"], r["pii_type"], r["regex"], r["context_keywords"] or (),
                          r["negative_keywords"] or ())
         for r in table.select("name", "pii_type", "regex", "context_keywords", "negative_keywords").toLocalIterator()
     ]
-    if len(rows) <= CUSTOM_CHUNK:
-        return _run(records, builtin + rows, keep)
-    chunks = [builtin] + [rows[i:i + CUSTOM_CHUNK] for i in range(0, len(rows), CUSTOM_CHUNK)]
-    parts = [
-        _scored(records, chunk, keep).withColumn("_chunk", F.lit(i)) for i, chunk in enumerate(chunks) if chunk
-    ]
-    return _merge_equal_hits(reduce(DataFrame.unionByName, parts), keep, ["_chunk", "_rank"])
+    return _run(records, builtin + rows, keep)
 
 
 def _run(records, chosen, keep):
+    """All patterns in one pass over the records, whatever their number; equal hits of one record become one finding."""
     scored = _scored(records, chosen, keep)
     types = Counter(p.pii_type for p in chosen)
     if any(p.custom and types[p.pii_type] > 1 for p in chosen):
-        return _merge_equal_hits(scored, keep, ["_rank"])
+        return _merge_equal_hits(scored, keep)
     # Two built-ins of one type never match the same text, so nothing is left to merge.
     return scored.drop("_rank", "_record")
 
 
-def _merge_equal_hits(scored, keep, order):
-    keys = ["_record", "pii_type", "source_path", "value_hash"]
-    return pick_first(scored, keys, *order).select(*keep, *FINDING_COLUMNS)
+def _merge_equal_hits(scored, keep):
+    """The first pattern of each (record, type, value). Which one that is follows from the record alone, so records that
+    are equal in everything agree on it and each keeps its own finding."""
+    first = F.min("_rank").over(Window.partitionBy("_record", "pii_type", "value_hash"))
+    return scored.withColumn("_first", first).filter("_rank = _first").select(*keep, *FINDING_COLUMNS)
 
 
 def _scored(records, chosen, keep):
     """Kept hits with their score, plus `_rank` (pattern order) and `_record` (what makes a record itself)."""
-    context = F.col("row_context") if "row_context" in records.columns else T.excerpt("value", "matched_value", 100)
+    context = T.excerpt("value", "matched_value", 100)
+    if "row_context" in records.columns:  # readers of texts leave it null
+        context = F.coalesce("row_context", context)
     carry = [*keep, "source_path", "field_name", "value"]
     if "row_context" in records.columns:
         carry.append("row_context")
+    identity = [c for c in carry if not isinstance(records.schema[c].dataType, MapType)]  # maps cannot be hashed
     # The score is generated, not projected and then filtered: a filter would be pushed below the projection and the
     # score computed twice. Entropy, the only part outside generated code, is kept in a step of its own.
     types = {p.pii_type for p in chosen}
@@ -181,10 +183,13 @@ def _scored(records, chosen, keep):
                                  F.coalesce("source_path", F.lit(""))))
         for p in gated:
             score = score - F.when((F.col("pattern_name") == p.name) & ~_mentions(where, p.context_keywords), 40).otherwise(0)
-    for p in chosen:
+    # one flat choice: nested ones would be as deep as there are patterns
+    choice = F
+    for rank, p in enumerate(chosen):
         if p.custom and (p.context_keywords or p.negative_keywords):
             mine = _keyword_effects(base, F.col("pii_type"), context, p.context_keywords, p.negative_keywords)
-            score = F.when(F.col("pattern_name") == p.name, mine).otherwise(score)
+            choice = choice.when(F.col("_rank") == rank, mine)
+    score = score if choice is F else choice.otherwise(score)
     return (
         scored.withColumn("score", score.cast("int"))
         .filter(F.col("score") >= MIN_SCORE)
@@ -192,7 +197,7 @@ def _scored(records, chosen, keep):
             *keep, "pii_type", "pattern_name", "matched_value", T.value_hash("matched_value").alias("value_hash"),
             "score", F.when(F.col("pii_type").isin(list(V.STRICT)), "math").otherwise("regex").alias("detector_type"),
             "source_path", "field_name", T.excerpt("value", "matched_value").alias("context_excerpt"),
-            F.col("_rank"), F.xxhash64("source_path", "field_name", "value").alias("_record"),
+            F.col("_rank"), F.xxhash64(*identity).alias("_record"),
         )
     )
 

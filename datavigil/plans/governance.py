@@ -282,11 +282,11 @@ _ROLLUP = """
   SELECT a.asset_id, a.name, a.path, count(DISTINCT f.finding_id) AS finding_count, coalesce(bool_or(f.severity = 'Critical'), false) AS has_critical,
     coalesce(bool_or(c.requires_consent), false) AS requires_consent, max(CASE f.severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 END) AS worst,
     list_sort(list_distinct(list(c.sub_category) FILTER (c.sub_category IS NOT NULL))) AS types
-  FROM assets a LEFT JOIN (SELECT * FROM findings WHERE scan_run_id >= 199801) f USING (asset_id) LEFT JOIN classifications c USING (finding_id) GROUP BY ALL"""
+  FROM assets a LEFT JOIN findings f USING (asset_id) LEFT JOIN classifications c USING (finding_id) GROUP BY ALL"""
 
 
 def _rollup(t):
-    return C.asset_rollup(t.assets, t.findings.filter("scan_run_id >= 199801"), t.classifications)
+    return C.asset_rollup(t.assets, t.findings, t.classifications)
 
 
 @query("compliance_overview", f"""
@@ -627,6 +627,42 @@ def audit_chain_verify(spark, sf):
     return U.verify_chain(U.build_chain(events), altered).select("tenant_id", "event_id", "hash_ok", "link_ok")
 
 
+_BATCHES = {"2024-a": "event_time < TIMESTAMP '2024-01-16'", "2024-b": "event_time >= TIMESTAMP '2024-01-16'"}
+
+
+def _appended(events):
+    """One chain per tenant, written in two batches."""
+    chain = None
+    for name, when in _BATCHES.items():
+        heads = events.sparkSession.createDataFrame([], "tenant_id long, entry_hash string, last_seq long") if chain is None \
+            else U.tenant_heads(chain)
+        part = U.build_chain(events.filter(when), heads=heads, batch=name)
+        chain = part if chain is None else chain.unionByName(part)
+    return chain
+
+
+@query("audit_chain_appended", f"""
+WITH RECURSIVE e AS (SELECT tenant_id, CASE WHEN {_BATCHES['2024-a']} THEN '2024-a' ELSE '2024-b' END AS segment, event_id,
+    row_number() OVER (PARTITION BY tenant_id ORDER BY event_time, event_id) AS seq,
+    '|' || action || '|' || resource_type || '|' || resource_id || '|' || metadata || '|' || strftime(event_time, '%Y-%m-%dT%H:%M:%SZ') AS body FROM audit_events),
+c AS (SELECT tenant_id, segment, event_id, seq, 'genesis' AS previous_hash, sha256('genesis' || body) AS entry_hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.tenant_id, e.segment, e.event_id, e.seq, c.entry_hash, sha256(c.entry_hash || e.body) FROM c JOIN e ON e.tenant_id = c.tenant_id AND e.seq = c.seq + 1)
+SELECT tenant_id, segment, event_id, seq, previous_hash, entry_hash FROM c""")
+def audit_chain_appended(spark, sf):
+    return _appended(Tables(spark, sf).audit_events)
+
+
+@query("audit_chain_appended_verify", """
+SELECT tenant_id, event_id, event_id % 1000 <> 17 AS hash_ok, coalesce(before % 1000 <> 500, true) AS link_ok
+FROM (SELECT tenant_id, event_id, lag(event_id) OVER (PARTITION BY tenant_id ORDER BY event_time, event_id) AS before FROM audit_events)
+WHERE event_id % 1000 <> 500""")
+def audit_chain_appended_verify(spark, sf):
+    # Some events are altered and some entries dropped after the chain was built.
+    events = Tables(spark, sf).audit_events
+    altered = events.withColumn("action", F.when(F.col("event_id") % 1000 == 17, "forged").otherwise(F.col("action")))
+    return U.verify_chain(_appended(events).filter("event_id % 1000 <> 500"), altered).select("tenant_id", "event_id", "hash_ok", "link_ok")
+
+
 # --- lineage --------------------------------------------------------------------------------------------------------
 
 _EXPOSURE = """

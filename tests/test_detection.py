@@ -102,6 +102,25 @@ def test_many_custom_patterns_run_in_chunks(spark):
     assert {t for t, _, _ in _found(D.detect(rows, [], table))} == {"USR_7", "USR_123", "USR_250"}
 
 
+@pytest.mark.parametrize("others", [2, 120])
+def test_equal_records_keep_their_findings_with_any_number_of_patterns(spark, others):
+    cell = ("EMP-482913", "code", "hr.code", None)
+    df = spark.createDataFrame([cell, cell], "value string, field_name string, source_path string, row_context string")
+    one = [P.custom_pattern(f"emp{i}", "EMPLOYEE_ID", r"EMP-\d{6}") for i in range(2)]
+    rest = [P.custom_pattern(f"other{i}", f"OTHER_{i}", rf"ZZ{i}-\d{{6}}") for i in range(others)]
+    found = D.detect(df, [], custom=one + rest).collect()
+    assert [(r.pattern_name, r.matched_value) for r in found] == [("emp0", "EMP-482913")] * 2
+
+
+def test_keywords_look_around_the_hit_without_row_context(spark):
+    df = spark.createDataFrame([("employee EMP-482913", "line", "a.txt", None)],
+                               "value string, field_name string, source_path string, row_context string")
+    plain = P.custom_pattern("EmployeeID", "EMPLOYEE_ID", r"EMP-\d{6}")
+    wanted = P.custom_pattern("EmployeeID", "EMPLOYEE_ID", r"EMP-\d{6}", ["employee"])
+    base, more = (D.detect(df, [], custom=[p]).first().score for p in (plain, wanted))
+    assert more == base + 5
+
+
 def test_word_boundary_is_ascii(spark):
     rows = _records(spark, ("é4111111111111111", "f", "p"), ("x4111111111111111", "f", "q"))
     assert [r.source_path for r in D.detect(rows, ["CREDIT_CARD"]).collect()] == ["p"]

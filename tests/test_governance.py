@@ -108,6 +108,18 @@ def test_appended_batches_make_one_chain(spark):
     assert got == want
 
 
+def test_appended_batches_verify_and_a_lost_batch_shows(spark):
+    events = _events(spark)
+    chain = U.build_chain(events.filter("event_id < 60"))
+    for name, when in (("x1", "event_id >= 60 AND event_id < 90"), ("x2", "event_id >= 90")):
+        chain = chain.unionByName(U.build_chain(events.filter(when), heads=U.tenant_heads(chain), batch=name))
+    chain.persist()
+    assert chain.count() == events.count()
+    assert U.verify_chain(chain, events).filter("NOT hash_ok OR NOT link_ok").count() == 0
+    lost = U.verify_chain(chain.filter("segment <> 'x1'"), events).filter("NOT link_ok")
+    assert {r.segment for r in lost.collect()} == {"x2"}
+
+
 def test_exposure_window_closed_in_the_middle(spark):
     seen = spark.createDataFrame([(1, "T", s, f"2024-01-0{s} 00:00:00") for s in (1, 2, 4, 5)],
                                  "asset_id int, pii_type string, scan_run_id int, at string").withColumn(

@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from datavigil.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,4 +25,4 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
