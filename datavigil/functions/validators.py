@@ -6,28 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Verhoeff multiplication and permutation tables, one row per line.
-_VERHOEFF_D = """
-0123456789
-1234067895
-2340178956
-3401289567
-4012395678
-5987604321
-6598710432
-7659821043
-8765932104
-9876543210
-"""
-_VERHOEFF_P = """
-0123456789
-1576283094
-5803796142
-8916043527
-9453126870
-4286573901
-2793806415
-7046913258
-"""
+_VERHOEFF_D = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 2, 3, 4, 0, 6, 7, 8, 9, 5],
+    [2, 3, 4, 0, 1, 7, 8, 9, 5, 6],
+    [3, 4, 0, 1, 2, 8, 9, 5, 6, 7],
+    [4, 0, 1, 2, 3, 9, 5, 6, 7, 8],
+    [5, 9, 8, 7, 6, 0, 4, 3, 2, 1],
+    [6, 5, 9, 8, 7, 1, 0, 4, 3, 2],
+    [7, 6, 5, 9, 8, 2, 1, 0, 4, 3],
+    [8, 7, 6, 5, 9, 3, 2, 1, 0, 4],
+    [9, 8, 7, 6, 5, 4, 3, 2, 1, 0],
+]
+_VERHOEFF_P = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 5, 7, 6, 2, 8, 3, 0, 9, 4],
+    [5, 8, 0, 3, 7, 9, 6, 1, 4, 2],
+    [8, 9, 1, 6, 0, 4, 3, 5, 2, 7],
+    [9, 4, 5, 3, 1, 2, 6, 8, 7, 0],
+    [4, 2, 8, 6, 5, 7, 3, 9, 0, 1],
+    [2, 7, 9, 3, 8, 0, 6, 4, 1, 5],
+    [7, 0, 4, 6, 9, 1, 3, 2, 5, 8],
+]
 
 # PAN entity letters, test mail words, UPI handles, licence state codes.
 PAN_ENTITIES = list("PCHFATBLJG")
@@ -58,8 +58,8 @@ def _digits_of(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def _table(text: str) -> Column:
-    return F.array(*[F.lit(int(d)) for row in text.split() for d in row])
+def _table(rows: list[list[int]]) -> Column:
+    return F.array(*[F.lit(d) for row in rows for d in row])
 
 
 def verhoeff(digits: Column, length: int = 12) -> Column:

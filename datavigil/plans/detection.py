@@ -27,8 +27,8 @@ def _sql_list(values) -> str:
     return "(" + ", ".join(_q(v) for v in values) + ")"
 
 
-_D_ROWS = "[" + ",".join("[" + ",".join(r) + "]" for r in V._VERHOEFF_D.split()) + "]"
-_P_ROWS = "[" + ",".join("[" + ",".join(r) + "]" for r in V._VERHOEFF_P.split()) + "]"
+_D_ROWS = str(V._VERHOEFF_D)
+_P_ROWS = str(V._VERHOEFF_P)
 
 
 def verhoeff_sql(v):
