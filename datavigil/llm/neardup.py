@@ -11,9 +11,10 @@
    others are confirmed on the full sets. Confirmed links give components.
 4. What a star may have missed lies in buckets that still hold several components. There the members of different
    components are compared by their signatures inside the task; members with a close partner get their full sets, and a
-   second task confirms their links. No pairs leave the tasks, only rows and links. A bucket above `bucket_rows` is
-   first split by keys of the second 50 symbols (the same guarantee again), and what is still larger is compared tile by
-   tile, so no task holds more than two parts of a bucket and nothing is capped.
+   second task confirms their links. No pairs leave the tasks, only rows and links. A bucket above `bucket_rows` is cut
+   into parts and compared tile by tile, a tile being two parts, so no task holds more than that and nothing is capped.
+   Rows of the largest component of a bucket meet only the others. Where tiles would still make more copies of the rows
+   than there are keys, the bucket is first split by keys of the second 50 symbols (the same guarantee again).
 """
 
 from __future__ import annotations
@@ -264,16 +265,55 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket")
 
 
-def _tiles(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Every row once for each pair of parts of its bucket that it belongs to; one part if the bucket is small."""
-    parts = F.ceil(F.greatest(F.col("size") / bucket_rows, F.col("weight") / (1000 * bucket_rows))).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
-    met = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("met")
+def _parts(size, weight, bucket_rows: int):
+    """Number of parts that rows of this number and sum of shingles are cut into; at least one."""
+    return F.greatest(F.lit(1), F.ceil(size / bucket_rows), F.ceil(weight / (1000 * bucket_rows))).cast("int")
+
+
+def _shaped(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows of large buckets with the largest component of the bucket (main), the numbers of parts that its rows (mains)
+    and all other rows (others) make, and the number of rows that tiles of these parts hold together (sent)."""
+    each = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    whole = each.groupBy("bucket").agg(F.max(F.struct("size", "weight", "comp")).alias("top"), F.sum("size").alias("size"),
+                                       F.sum("weight").alias("weight"))
+    rest = F.col("size") - F.col("top.size")
+    shape = whole.select(
+        "bucket", "size", F.col("top.comp").alias("main"), F.col("top.size").alias("main_size"), rest.alias("rest"),
+        _parts(F.col("top.size"), F.col("top.weight"), bucket_rows).alias("mains"),
+        _parts(rest, F.col("weight") - F.col("top.weight"), bucket_rows).alias("others"))
+    sent = F.col("main_size") * F.col("others") + F.col("rest") * (F.col("mains") + F.col("others"))
+    return rows.drop("size", "weight").join(shape.withColumn("sent", sent).drop("main_size", "rest"), "bucket")
+
+
+TILE = ["bucket", "tile", "across", "part", "no", "sub", "vid", "comp", "n", "sig"]
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Each bucket as one tile."""
+    zero = F.lit(0)
+    return rows.withColumns({"tile": zero, "across": zero, "part": zero}).select(*TILE)
+
+
+def _grid(shaped: DataFrame) -> DataFrame:
+    """Every row once for each tile, that is each pair of parts of its bucket, that it belongs to.
+
+    Rows of the main component are never compared with each other, so they meet the parts of the other rows only: a bucket
+    that one component fills sends each of its rows once, however large it is.
+    """
+    main = F.col("comp") == F.col("main")
+    rows = shaped.withColumn("part", F.when(main, F.col("others") + F.pmod(F.xxhash64("vid"), F.col("mains")))
+                             .otherwise(F.pmod(F.xxhash64("vid"), F.col("others"))).cast("int"))
+    parts = F.col("others") + F.col("mains")
+    met = F.explode(F.sequence(F.lit(0), F.when(main, F.col("others")).otherwise(parts) - 1)).alias("met")
     # tile (i, i): pairs inside part i; tile (i, j): pairs across
     low, high = F.least("part", "met"), F.greatest("part", "met")
-    tile = (low * F.col("parts") + high).cast("int").alias("tile")
-    return rows.select("*", met).select("bucket", tile, (low != high).cast("int").alias("across"), "part", "no", "sub",
-                                        "vid", "comp", "n", "sig")
+    return rows.select("*", met).withColumns({"tile": (low * parts + high).cast("int"), "across": (low != high).cast("int")}).select(*TILE)
+
+
+def _tiles(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Tiles of small and large buckets, where no bucket is split by more keys."""
+    many = _parts(F.col("size"), F.col("weight"), bucket_rows) > 1
+    return _whole(rows.where(~many)).union(_grid(_shaped(rows.where(many), bucket_rows)))
 
 
 def _sets_of(vids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -330,11 +370,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "vid", "n", "sig", F.coalesce("label", "vid").alias("comp"))
     light = known.select("vid", "comp", "n", F.posexplode(_keys(0)).alias("no", "bucket"))
     mixed = cut(_mixed(light).join(known.select("vid", "sig"), "vid").withColumn("sub", F.lit(-1)))
-    hot = mixed.where(F.col("size") > bucket_rows)
-    split = _mixed(hot.select("vid", "n", "sig", "comp", "no", F.posexplode(_keys(1, F.col("bucket"))).alias("sub", "bucket")))
-    names = ["bucket", "size", "weight", "no", "sub", "vid", "comp", "n", "sig"]
-    small = mixed.where(F.col("size") <= bucket_rows).select(*names)
-    live = cut(_in_close_pairs(_tiles(small.union(split.select(*names)), bucket_rows), num, den))
+    many = _parts(F.col("size"), F.col("weight"), bucket_rows) > 1
+    hot = cut(_shaped(mixed.where(many), bucket_rows))
+    crowded = F.col("sent") > BLOCK * F.col("size")  # tiles would hold more rows than the keys of the second block make
+    split = _mixed(hot.where(crowded).select("vid", "n", "sig", "comp", "no", F.posexplode(_keys(1, F.col("bucket"))).alias("sub", "bucket")))
+    tiles = _whole(mixed.where(~many)).union(_grid(hot.where(~crowded))).union(_tiles(split, bucket_rows))
+    live = cut(_in_close_pairs(tiles, num, den))
     if not live.isEmpty():
         sets = _sets_of(live.select("vid"), classes, docs, words)
         links = links.union(cut(_tile_confirm(live.join(sets, "vid"), num, den)))

@@ -328,7 +328,7 @@ def test_op10_hot_groups_and_splits(spark):
         texts[i] = "The same text here"
     docs = spark.createDataFrame([(i, t, "b", 1) for i, t in texts.items()], "doc_id bigint, text string, bucket string, sig int")
     wanted = near_brute(texts)
-    for size in (16, 1000):
+    for size in (1, 16, 1000):  # split by keys, cut into tiles, whole
         out = neardup.near_duplicates(docs, bucket_rows=size).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == wanted
 
