@@ -1,12 +1,14 @@
 """Operator 9: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-1. Test items are cut into passages of at most 256 words. They are read in blocks of a bounded number of words; the word
-   hashes of a block are collected and broadcast. However many items there are, each block is one pass over the documents.
+1. Longer test items are cut into passages of 256 words that overlap by half, the last one up to the item's end, so that
+   every run of 128 words lies whole in a passage. They are read in blocks of a bounded number of words; the word hashes of
+   a block are collected and broadcast. However many items there are, each block is one pass over the documents.
 2. A first pass counts in how many documents each 3-gram of the items stands. In every three neighbouring 3-grams of an
    item the rarest is a seed, so an item has seeds all along and a copy with some words changed keeps some of them.
 3. A second pass looks the 3-grams of every document up among the seeds. Around the seeds of one item that lie on nearby
    diagonals the document's words and the item's are aligned (match 2, mismatch -1, gap -1). The score is the best
-   alignment's value over that of a perfect copy; from `threshold` on the document is contaminated by the item.
+   alignment's value over that of a perfect copy; from `threshold` on the document is contaminated by the item, if the value
+   is also that of LEAST_WORDS words in a row or of the whole item.
 
 Documents are read where they are: no shuffle but of counts per seed.
 """
@@ -28,6 +30,8 @@ PASSAGE_WORDS = 256
 WINDOW = 3
 BLOCK_WORDS = 1 << 21
 THRESHOLD = 0.5
+#: A few common words in a row are no copy: shorter items must be there whole, others with the value of so many words.
+LEAST_WORDS = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -64,13 +68,12 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
             for i, j in A.slices(offsets):
                 words, bounds = A.word_hashes(data, offsets[i:j + 1], A.PUNCTUATION)
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    for start in range(a, b, PASSAGE_WORDS):
-                        end = min(start + PASSAGE_WORDS, b)
-                        if end - start < SEED_WORDS <= b - a:
-                            start = end - SEED_WORDS  # a short rest reaches back
-                        if end - start >= SEED_WORDS:
-                            ids.append(batch.column(0)[i + k].as_py())
-                            parts.append(words[start:end].tobytes())
+                    if b - a < SEED_WORDS:
+                        continue
+                    last = max(a, b - PASSAGE_WORDS)  # the last passage reaches back
+                    for start in [*range(a, last, PASSAGE_WORDS // 2), last]:
+                        ids.append(batch.column(0)[i + k].as_py())
+                        parts.append(words[start:min(start + PASSAGE_WORDS, b)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["item_id", "words"])
 
     picked = items.select(F.col(id_col).cast("long").alias("item_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
@@ -171,8 +174,9 @@ def _found(words: np.ndarray, bounds: np.ndarray, block: Passages, threshold: fl
         start = max(int(bounds[d]), int(diagonal[a]) - int(slack[a]))
         stop = min(int(bounds[d + 1]), int(diagonal[b]) + len(item) + int(slack[a]))
         for at in range(start, stop, 4 * PASSAGE_WORDS):  # a long run of seeds is aligned piece by piece, pieces overlap
-            score = align(item, words[at:min(stop, at + 4 * PASSAGE_WORDS + 2 * len(item))]) / perfect
-            best[key] = max(best.get(key, -1.0), score)
+            value = align(item, words[at:min(stop, at + 4 * PASSAGE_WORDS + 2 * len(item))])
+            if value >= MATCH * min(len(item), LEAST_WORDS):
+                best[key] = max(best.get(key, -1.0), value / perfect)
     return [(d, item, score) for (d, item), score in best.items() if score >= threshold]
 
 
@@ -195,7 +199,8 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
     Words are lower-cased and cut at white space and ASCII punctuation. Items of fewer than three words, null or empty
     ones match nothing, as do null or empty texts; a null item id is given as -1. Equal items each give a row, equal documents
-    too. An item longer than 256 words counts by its best passage. No items or no documents give no rows.
+    too. An item longer than 256 words counts by its best passage, so 128 of its words in a row are found wherever they are
+    cut out. Items of at most six words match as a whole only, edited ones of at most eleven with the value of six words in a row. No items or no documents give no rows.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     schema = "doc_id bigint, item_id bigint, score double"

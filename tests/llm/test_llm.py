@@ -278,6 +278,23 @@ def test_op9_exact_and_edited_copies(spark):
     assert decontam.contaminations(docs, items.limit(0)).count() == 0 and decontam.contaminations(docs.limit(0), items).count() == 0
 
 
+def test_op9_long_and_short_items(spark):
+    rnd = random.Random(19)
+
+    def some(n):
+        return ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+
+    long, rest, short, mid = some(700), some(257), some(5), some(9)
+    cuts = {100 + k: long[at:at + 128] for k, at in enumerate([0, 1, 127, 128, 129, 192, 255, 256, 400, 571, 572])}
+    texts = {**cuts, 1: rest[-3:], 2: rest[100:250], 3: short[:3], 4: short, 5: mid[:5], 6: [mid[0], "other", *mid[2:]], 7: long[300:400],
+             8: short[:4]}
+    docs = spark.createDataFrame([(i, " ".join(some(40) + t + some(40))) for i, t in texts.items()], "doc_id int, text string")
+    items = spark.createDataFrame([(10, " ".join(long)), (11, " ".join(rest)), (12, " ".join(short)), (13, " ".join(mid))], "item_id int, text string")
+    rows = decontam.contaminations(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == sorted([(2, 11), (4, 12), (6, 13), *((d, 10) for d in cuts)])
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, items).collect()) == [1, 3, 5, 7, 8]
+
+
 def test_op9_alignment_against_plain_recursion():
     rnd = random.Random(1)
     for _ in range(60):
