@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from datavigil.llm import bpe, decontam, langid, neardup, pretokens, quality
 from datavigil.session import checkpoint_dir
 
-#: A text that no language claims by more than this stays out; 0.5 is where a regression neither claims nor denies it, and a
-#: clean text of a few words may lie a little below.
-MIN_LANG_SCORE = 0.3
-
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
@@ -27,9 +23,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or that no language claims, go."""
+    """Documents without letters, or that lie further from the language that wins than its labelled rows do, go."""
     found = langid.predict(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_LANG_SCORE)).select(*docs.columns)
+    return found.where("lang_known").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

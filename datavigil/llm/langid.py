@@ -4,10 +4,15 @@ A text is the set of its character n-grams of lengths 1 to 3 (presence, hashed,
 texts is the mean over the lengths of shared n-grams divided by the geometric mean of the two set sizes. Nyström landmarks
 (a bounded number of training texts per language) turn it into features, one ridge regression per language against the
 rest is solved on them, and all texts are scored by products of batches with the landmarks.
+
+The regressions only tell the learnt languages from each other. Whether a text is of the language that wins is told by its
+kernel with that language's nearest landmark: a bound for each language and size of text, below which nearly no training
+row of the language lies. It does not depend on the other languages.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +32,12 @@ ROWS_PER_LANG = 1500
 MAX_LANGS = 64
 RIDGE = 1e-2
 SLICE_CHARS = 1 << 20
+#: Beginnings of training rows that the bounds of short texts are calibrated on: rows per language, and beginnings of each.
+BEGUN_ROWS, BEGINNINGS = 500, 2
+#: Share of a language's calibration rows that the bound may reject, the least number of them for a bound, and sizes per octave.
+LOST_OWN = 0.002
+LEAST_ROWS = 50
+STEPS, SIZES = 2, 28
 _STARTS = np.concatenate(([0], np.cumsum(PLACES)))
 
 
@@ -70,11 +81,43 @@ def _slices(texts: list):
 
 @dataclass
 class Model:
-    """Landmarks, one column of weights per language, and the languages. Without languages everything is `und`."""
+    """Landmarks in order of languages, one column of weights per language, the languages, the place of each one's first
+    landmark, and the least kernel of each with its texts by size. Without languages everything is `und`."""
 
     landmarks: np.ndarray
     weights: np.ndarray
     langs: list[str]
+    firsts: np.ndarray
+    bounds: np.ndarray
+
+
+def _beginnings(texts: list[str], ids: list[int], ranks: list[int]) -> list[tuple[int, str]]:
+    """(row, beginning) with lengths of 4 to 1,024 characters that follow from the id."""
+    out = []
+    for i, (text, own, rank) in enumerate(zip(texts, ids, ranks, strict=True)):
+        for k in range(BEGINNINGS if rank <= BEGUN_ROWS else 0):
+            cut = int(2 ** (2 + 8 * zlib.crc32(f"{own} {k}".encode()) / 2 ** 32))
+            if cut < len(text) and any(map(str.isalpha, text[:cut])):
+                out.append((i, text[:cut]))
+    return out
+
+
+def _size(rows: np.ndarray) -> np.ndarray:
+    """Step of the number of n-grams of each row."""
+    return np.minimum(np.log2(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)) * STEPS, SIZES - 1).astype(np.int64)
+
+
+def _bounds(kernel: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bound for each size from a language's calibration rows of that size and the one below, and of smaller ones (whose
+    kernels are smaller) if those are too few; 0, which rejects nothing, if all are too few."""
+    out = np.zeros(SIZES)
+    for k in range(SIZES):
+        for low in range(k - 1, -2, -1):
+            own = kernel[(size <= k) & (size >= low)]
+            if len(own) >= LEAST_ROWS:
+                out[k] = np.quantile(own, LOST_OWN, method="lower")
+                break
+    return out
 
 
 def held_out(id_col: Column) -> Column:
@@ -106,22 +149,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             texts = batch.column("text").to_pylist()
             for i, j in _slices(texts):
                 own = batch.slice(i, j - i)
-                rows = presence(texts[i:j])
                 letters = pa.array([any(map(str.isalpha, t)) for t in texts[i:j]])
+                begun: list[list[bytes]] = [[] for _ in range(i, j)]
+                cuts = _beginnings(texts[i:j], own.column("doc_id").to_pylist(), own.column("rank").to_pylist())
+                for start in range(0, len(cuts), 256):
+                    part = cuts[start:start + 256]
+                    for (at, _), row in zip(part, np.packbits(presence([t for _, t in part]), axis=1), strict=True):
+                        begun[at].append(row.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [own.column("doc_id"), own.column("lang"), own.column("rank"), letters,
-                     pa.array([r.tobytes() for r in np.packbits(rows, axis=1)], pa.binary())], ["doc_id", "lang", "rank", "letters", "bits"])
+                     pa.array([r.tobytes() for r in np.packbits(presence(texts[i:j]), axis=1)], pa.binary()),
+                     pa.array(begun, pa.list_(pa.binary()))], ["doc_id", "lang", "rank", "letters", "bits", "begun"])
 
-    found = sample.mapInArrow(vectors, "doc_id bigint, lang string, rank int, letters boolean, bits binary").where("letters")
+    found = sample.mapInArrow(vectors, "doc_id bigint, lang string, rank int, letters boolean, bits binary, begun array<binary>").where("letters")
     found = found.toPandas().sort_values(["lang", "rank", "doc_id"]).drop_duplicates("doc_id")
     names = sorted(found["lang"].unique())
     if not names:
-        return Model(np.zeros((0, int(_STARTS[-1])), np.float32), np.zeros((0, 0)), [])
+        return Model(np.zeros((0, int(_STARTS[-1])), np.float32), np.zeros((0, 0)), [], np.zeros(0, np.int64), np.zeros((0, SIZES)))
     bits = np.frombuffer(b"".join(found["bits"]), np.uint8).reshape(len(found), -1)
     first = found.groupby("lang").cumcount().to_numpy() < landmarks_per_lang
 
+    def unpacked(rows: np.ndarray) -> np.ndarray:
+        return np.unpackbits(rows, axis=1, count=int(_STARTS[-1]))
+
     def rows(which: np.ndarray) -> np.ndarray:
-        return normalized(np.unpackbits(bits[which], axis=1, count=int(_STARTS[-1])))
+        return normalized(unpacked(bits[which]))
 
     landmarks = rows(np.flatnonzero(first))
     kernel = np.concatenate([rows(part) @ landmarks.T for part in np.array_split(np.arange(len(found)), len(found) // 512 + 1)]).astype(float)
@@ -133,16 +185,38 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = 1 / np.array([(lang == name).sum() for name in lang])  # languages weigh alike
     solved = np.linalg.solve((z * share[:, None]).T @ z + RIDGE * np.diag([1.0] * root.shape[1] + [0.0]), (z * share[:, None]).T @ y)
     weights = np.vstack((root @ solved[:-1], solved[-1:]))
-    return Model(landmarks, weights, names)
+
+    # kernels of training rows and their beginnings with the other landmarks of their language
+    own_lang, place = lang[first], np.where(first, np.cumsum(first) - 1, -1)
+    firsts = np.searchsorted(own_lang, names)
+    bounds = []
+    for name, start, stop in zip(names, firsts, [*firsts[1:], len(own_lang)], strict=True):
+        kernels, sizes = [], []
+        members = np.flatnonzero(lang == name)
+        begun = [(i, b) for i in members for b in found["begun"].iat[i]]
+        owner = np.array([*members, *(i for i, _ in begun)])
+        packed = np.concatenate((bits[members], np.frombuffer(b"".join(b for _, b in begun), np.uint8).reshape(len(begun), -1)
+                                 if begun else bits[:0]))
+        for part in np.array_split(np.arange(len(owner)), len(owner) // 512 + 1):
+            marks = unpacked(packed[part])
+            near = normalized(marks) @ landmarks[start:stop].T
+            near[place[owner[part]][:, None] == np.arange(start, stop)[None, :]] = 0
+            kernels.append(near.max(axis=1))
+            sizes.append(_size(marks))
+        bounds.append(_bounds(np.concatenate(kernels), np.concatenate(sizes)))
+    return Model(landmarks, weights, names, firsts, np.array(bounds))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score (0 to 1: half of one plus the regression's value, cut to that range).
+    """docs with lang_pred, lang_score (0 to 1: half of one plus the regression's value, cut to that range) and lang_known.
+
+    lang_known is false where the text's kernel with the nearest landmark of lang_pred lies below the bound for texts of its
+    size, as in a language that was not learnt, and for `und`.
 
     Only the text is looked at. A text that is null or has no letter is `und` with score 0; so is everything if nothing was
     learnt. Of equal values the first language in order of text wins. Columns of docs with these names are replaced.
     """
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop("lang_pred", "lang_score", "lang_known")
     names = docs.columns
     place = names.index(text_col)
     safe = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
@@ -152,22 +226,28 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         model = shared.value
         for batch in A.pieces(batches):
             texts = batch.column(place).to_pylist()
-            langs, scores = [], []
+            langs, scores, known = [], [], []
             for i, j in _slices(texts):
                 own = [t or "" for t in texts[i:j]]
                 letters = [any(map(str.isalpha, t)) for t in own]
                 if not model.langs:
                     langs += ["und"] * len(own)
                     scores += [0.0] * len(own)
+                    known += [False] * len(own)
                     continue
-                values = (normalized(presence(own)) @ model.landmarks.T).astype(float) @ model.weights[:-1] + model.weights[-1]
+                marks = presence(own)
+                kernel = normalized(marks) @ model.landmarks.T
+                values = kernel.astype(float) @ model.weights[:-1] + model.weights[-1]
                 best = values.argmax(axis=1)
+                near = np.maximum.reduceat(kernel, model.firsts, axis=1)[np.arange(len(own)), best]
+                known += list((near >= model.bounds[best, _size(marks)]) & np.array(letters))
                 top = np.clip((values[np.arange(len(own)), best] + 1) / 2, 0, 1)
                 langs += [model.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
                 scores += [float(t) if ok else 0.0 for t, ok in zip(top, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                                              pa.array(known, pa.bool_())], [*batch.schema.names, "lang_pred", "lang_score", "lang_known"])
 
-    schema = T.StructType([*safe.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*safe.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()),
+                           T.StructField("lang_known", T.BooleanType())])
     out = safe.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "lang_score")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "lang_score", "lang_known")

@@ -239,6 +239,19 @@ def test_op7_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, nobody).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("learnt", [["en"], ["en", "de"], ["de", "en", "fr"]])
+def test_language_filter_rejects_unlearned_languages(spark, learnt):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.where(F.col("lang").isin(*learnt, "es")).withColumn("told", F.col("lang"))
+    docs = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    other = spark.createDataFrame([(10**6 + i, "Это русский текст о погоде в городе, номер " + str(i)) for i in range(20)], "doc_id bigint, text string")
+    docs = docs.unionByName(other.withColumn("told", F.lit("ru")), allowMissingColumns=True)
+    kept = {r["told"]: r["count"] for r in corpus_pipeline.language_filter(spark, docs, SF).groupBy("told").count().collect()}
+    whole = {r["told"]: r["count"] for r in docs.groupBy("told").count().collect()}
+    assert all(kept[name] >= 0.98 * whole[name] for name in learnt)
+    assert kept.get("es", 0) <= 0.2 * whole["es"] and "ru" not in kept
+
+
 def test_op8_records(spark):
     html = "<html><head><title> A &amp; B</title><script>x<p>y</script></head><body><p>One<br>two &lt;3</p><!-- no --><a href=\"/z\">z</a></body>"
     pages = spark.createDataFrame([(1, "http://h/", html, "m"), (2, None, None, "m"), (1, "http://h/", html, "m")],
