@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,8 @@ PLACES = (1 << 9, 1 << 12, 1 << 13)
 #: Bounds of the training sample.
 LANDMARKS_PER_LANG = 24
 ROWS_PER_LANG = 1500
-MAX_LANGS = 64
+#: Languages whose training rows are on the driver at a time.
+LANGS_AT_ONCE = 32
 RIDGE = 1e-2
 SLICE_CHARS = 1 << 20
 #: Beginnings of training rows that the bounds of short texts are calibrated on: rows per language, and beginnings of each.
@@ -126,17 +128,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          landmarks_per_lang: int = LANDMARKS_PER_LANG, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS,
-          seed: int = 7) -> Model:
-    """Learns from at most rows_per_lang rows of each of the max_langs most frequent languages, picked by a hash of the id.
+          landmarks_per_lang: int = LANDMARKS_PER_LANG, rows_per_lang: int = ROWS_PER_LANG,
+          langs_at_once: int = LANGS_AT_ONCE, seed: int = 7) -> Model:
+    """Learns every language, from at most rows_per_lang rows of each, picked by a hash of the id.
 
     Rows without an id, a text with a letter or a language, and held-out rows are not learnt from.
     """
     usable = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = usable.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit(seed), "doc_id")
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    narrow = usable.select("doc_id", "lang").join(F.broadcast(langs), "lang")
+    narrow = usable.select("doc_id", "lang")
     # first within parts of a language, then among the parts' best, so that no task gets all rows of a language
     picked = narrow.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(64)))
     for by in (["lang", "part"], ["lang"]):
@@ -161,49 +162,67 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                      pa.array([r.tobytes() for r in np.packbits(presence(texts[i:j]), axis=1)], pa.binary()),
                      pa.array(begun, pa.list_(pa.binary()))], ["doc_id", "lang", "rank", "letters", "bits", "begun"])
 
-    found = sample.mapInArrow(vectors, "doc_id bigint, lang string, rank int, letters boolean, bits binary, begun array<binary>").where("letters")
-    found = found.toPandas().sort_values(["lang", "rank", "doc_id"]).drop_duplicates("doc_id")
-    names = sorted(found["lang"].unique())
-    if not names:
-        return Model(np.zeros((0, int(_STARTS[-1])), np.float32), np.zeros((0, 0)), [], np.zeros(0, np.int64), np.zeros((0, SIZES)))
-    bits = np.frombuffer(b"".join(found["bits"]), np.uint8).reshape(len(found), -1)
-    first = found.groupby("lang").cumcount().to_numpy() < landmarks_per_lang
+    found = sample.mapInArrow(vectors, "doc_id bigint, lang string, rank int, letters boolean, bits binary, begun array<binary>")
+    found = found.where("letters").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _fit(found, landmarks_per_lang, langs_at_once)
+    finally:
+        found.unpersist()
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1, count=int(_STARTS[-1]))
+
 
-    def unpacked(rows: np.ndarray) -> np.ndarray:
-        return np.unpackbits(rows, axis=1, count=int(_STARTS[-1]))
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
 
-    def rows(which: np.ndarray) -> np.ndarray:
-        return normalized(unpacked(bits[which]))
 
-    landmarks = rows(np.flatnonzero(first))
-    kernel = np.concatenate([rows(part) @ landmarks.T for part in np.array_split(np.arange(len(found)), len(found) // 512 + 1)]).astype(float)
+def _fit(found: DataFrame, landmarks_per_lang: int, langs_at_once: int) -> Model:
+    """The model of the training rows. The driver holds those of langs_at_once languages and sums over all of them."""
+    def ordered(rows: DataFrame):
+        return rows.toPandas().sort_values(["lang", "rank", "doc_id"]).drop_duplicates("doc_id")
+
+    listed = ordered(found.select("lang", "rank", "doc_id"))
+    names = sorted(listed["lang"].unique())
+    if not names:
+        return Model(np.zeros((0, int(_STARTS[-1])), np.float32), np.zeros((0, 0)), [], np.zeros(0, np.int64), np.zeros((0, SIZES)))
+    heads = listed.groupby("lang").head(landmarks_per_lang)
+    ids = found.sparkSession.createDataFrame([(int(i), x) for i, x in zip(heads["doc_id"], heads["lang"], strict=True)], "doc_id bigint, lang string")
+    heads = ordered(found.drop("begun").join(F.broadcast(ids), ["doc_id", "lang"]))
+    place_of = {i: k for k, i in enumerate(heads["doc_id"])}
+    landmarks = normalized(_unpacked(_matrix(list(heads["bits"]))))
+    firsts = np.searchsorted(heads["lang"].to_numpy(), names)
+    stops = [*firsts[1:], len(heads)]
     values, vectors_ = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     root = vectors_ / np.sqrt(np.maximum(values, 1e-6))  # features z = k(x, landmarks) root
-    z = np.column_stack((kernel @ root, np.ones(len(found))))
-    lang = found["lang"].to_numpy()
-    y = np.column_stack([np.where(lang == name, 1.0, -1.0) for name in names])
-    share = 1 / np.array([(lang == name).sum() for name in lang])  # languages weigh alike
-    solved = np.linalg.solve((z * share[:, None]).T @ z + RIDGE * np.diag([1.0] * root.shape[1] + [0.0]), (z * share[:, None]).T @ y)
+    squares, sums, bounds = np.zeros((len(heads) + 1, len(heads) + 1)), np.zeros((len(heads) + 1, len(names))), []
+    for at in range(0, len(names), langs_at_once):
+        group = ordered(found.where(F.col("lang").isin(names[at:at + langs_at_once])))
+        group = group[group["doc_id"].isin(listed["doc_id"])]
+        for k, name in enumerate(names[at:at + langs_at_once], at):
+            members = group[group["lang"] == name]
+            begun = [(i, b) for i, found_ in enumerate(members["begun"]) for b in found_]
+            owner = np.array([*range(len(members)), *(i for i, _ in begun)])
+            place = np.array([place_of.get(i, -1) for i in members["doc_id"]])[owner]
+            packed = _matrix([*members["bits"], *(b for _, b in begun)])
+            kernels, sizes = [], []
+            for part in np.array_split(np.arange(len(owner)), len(owner) // 512 + 1):
+                marks = _unpacked(packed[part])
+                kernel = normalized(marks) @ landmarks.T
+                whole = kernel[part < len(members)].astype(float)
+                z = np.column_stack((whole @ root, np.ones(len(whole))))
+                squares += z.T @ z / len(members)  # languages weigh alike
+                sums[:, k] += z.sum(axis=0) / len(members)
+                # the bound is of the kernels with the other landmarks of the language
+                near = kernel[:, firsts[k]:stops[k]]
+                near[place[part][:, None] == np.arange(firsts[k], stops[k])[None, :]] = 0
+                kernels.append(near.max(axis=1))
+                sizes.append(_size(marks))
+            bounds.append(_bounds(np.concatenate(kernels), np.concatenate(sizes)))
+    targets = 2 * sums - sums.sum(axis=1, keepdims=True)  # 1 for the rows of a language, -1 for all others
+    solved = np.linalg.solve(squares + RIDGE * np.diag([1.0] * root.shape[1] + [0.0]), targets)
     weights = np.vstack((root @ solved[:-1], solved[-1:]))
-
-    # kernels of training rows and their beginnings with the other landmarks of their language
-    own_lang, place = lang[first], np.where(first, np.cumsum(first) - 1, -1)
-    firsts = np.searchsorted(own_lang, names)
-    bounds = []
-    for name, start, stop in zip(names, firsts, [*firsts[1:], len(own_lang)], strict=True):
-        kernels, sizes = [], []
-        members = np.flatnonzero(lang == name)
-        begun = [(i, b) for i in members for b in found["begun"].iat[i]]
-        owner = np.array([*members, *(i for i, _ in begun)])
-        packed = np.concatenate((bits[members], np.frombuffer(b"".join(b for _, b in begun), np.uint8).reshape(len(begun), -1)
-                                 if begun else bits[:0]))
-        for part in np.array_split(np.arange(len(owner)), len(owner) // 512 + 1):
-            marks = unpacked(packed[part])
-            near = normalized(marks) @ landmarks[start:stop].T
-            near[place[owner[part]][:, None] == np.arange(start, stop)[None, :]] = 0
-            kernels.append(near.max(axis=1))
-            sizes.append(_size(marks))
-        bounds.append(_bounds(np.concatenate(kernels), np.concatenate(sizes)))
     return Model(landmarks, weights, names, firsts, np.array(bounds))
 
 

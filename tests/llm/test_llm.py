@@ -239,6 +239,19 @@ def test_op7_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, nobody).collect()} == {"und"}
 
 
+def test_op7_learns_every_language(spark):
+    rnd = random.Random(7)
+    alphabets = {f"l{k:02}": [chr(0x4E00 + 20 * k + i) for i in range(20)] for k in range(70)}
+    rows = [(100 * k + i, "".join(rnd.choice([*letters, " "]) for _ in range(60)), name)
+            for k, (name, letters) in enumerate(alphabets.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == list(alphabets)
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(docs, model).collect())
+    parted = langid.train(docs, langs_at_once=9)
+    assert np.allclose(model.weights, parted.weights, atol=1e-6) and np.array_equal(model.bounds, parted.bounds)
+
+
 @pytest.mark.parametrize("learnt", [["en"], ["en", "de"], ["de", "en", "fr"]])
 def test_language_filter_rejects_unlearned_languages(spark, learnt):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
