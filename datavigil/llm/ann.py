@@ -181,16 +181,23 @@ def exact(good: DataFrame, queries: list, k: int) -> DataFrame:
 
 def calibrate(good: DataFrame, tree: Tree, is_query: Column, k: int, recall: float, queries: int) -> int:
     """Leaf visits that reach the recall on a bounded sample of queries, answered exactly."""
-    sample = good.where(is_query).orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(queries).collect()
-    sample = list({r["vec_id"]: (r["vec_id"], r["v"]) for r in sample}.values())
+    sample = (good.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+              .orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(queries).collect())
+    sample = [(r["vec_id"], r["v"]) for r in sample]
     if not sample or tree.leaves < 2:
         return tree.leaves
-    truth = exact(good, sample, k).select("query_id", "vec_id")  # at most queries * k rows
-    neighbours = good.join(F.broadcast(truth), "vec_id").select("query_id", "v").collect()
+    truth = exact(good, sample, k).groupBy("query_id", "vec_id").agg(F.count("*").alias("n"))  # at most queries * k rows
+    asked = good.sparkSession.createDataFrame(sample, "query_id bigint, q array<double>")
+    # of the rows of an id the one nearest to the query, picked in the tasks before it is sent
+    product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+    neighbours = (good.join(F.broadcast(truth), "vec_id").join(F.broadcast(asked), "query_id").groupBy("query_id", "vec_id", "n")
+                  .agg(F.min_by("v", F.struct(-product, "v")).alias("v")).collect())
+    if not neighbours:
+        return tree.leaves
     leaf = tree.assign(np.array([r["v"] for r in neighbours]))
     places = {q: {leaf: i for i, leaf in enumerate(tree.walk(np.array(v), tree.leaves))} for q, v in sample}
-    at = np.sort([places[r["query_id"]][int(leaf[i])] for i, r in enumerate(neighbours)])
-    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1 if len(at) else tree.leaves
+    at = np.sort(np.repeat([places[r["query_id"]][int(leaf[i])] for i, r in enumerate(neighbours)], [r["n"] for r in neighbours]).astype(int))
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",

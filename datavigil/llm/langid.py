@@ -132,18 +132,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           langs_at_once: int = LANGS_AT_ONCE, seed: int = 7) -> Model:
     """Learns every language, from at most rows_per_lang rows of each, picked by a hash of the id.
 
-    Rows without an id, a text with a letter or a language, and held-out rows are not learnt from.
+    Rows without an id, a text with a letter or a language, and held-out rows are not learnt from. Of rows with the same id
+    one is learnt from, and rows are counted by distinct ids.
     """
     usable = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = usable.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit(seed), "doc_id")
-    narrow = usable.select("doc_id", "lang")
+    narrow = usable.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     # first within parts of a language, then among the parts' best, so that no task gets all rows of a language
     picked = narrow.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(64)))
     for by in (["lang", "part"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, "doc_id"))
         picked = picked.withColumn("rank", rank).where(F.col("rank") <= rows_per_lang)
-    sample = usable.join(F.broadcast(picked.select("doc_id", "rank").dropDuplicates(["doc_id"])), "doc_id")
+    sample = usable.join(F.broadcast(picked.select("doc_id", "lang", "rank")), ["doc_id", "lang"]).withColumn("key", F.xxhash64("text"))
 
     def vectors(batches):
         for batch in A.pieces(batches):
@@ -160,10 +161,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays(
                     [own.column("doc_id"), own.column("lang"), own.column("rank"), letters,
                      pa.array([r.tobytes() for r in np.packbits(presence(texts[i:j]), axis=1)], pa.binary()),
-                     pa.array(begun, pa.list_(pa.binary()))], ["doc_id", "lang", "rank", "letters", "bits", "begun"])
+                     pa.array(begun, pa.list_(pa.binary())), own.column("key")], ["doc_id", "lang", "rank", "letters", "bits", "begun", "key"])
 
-    found = sample.mapInArrow(vectors, "doc_id bigint, lang string, rank int, letters boolean, bits binary, begun array<binary>")
-    found = found.where("letters").persist(StorageLevel.DISK_ONLY)
+    found = sample.mapInArrow(vectors, "doc_id bigint, lang string, rank int, letters boolean, bits binary, begun array<binary>, key bigint")
+    # copies of an id are put together in their tasks before they are sent
+    one = F.min_by(F.struct("lang", "rank", "bits", "begun"), "key").alias("one")
+    found = found.where("letters").groupBy("doc_id").agg(one).select("doc_id", "one.*").persist(StorageLevel.DISK_ONLY)
     try:
         return _fit(found, landmarks_per_lang, langs_at_once)
     finally:
@@ -181,15 +184,15 @@ def _matrix(packed: list[bytes]) -> np.ndarray:
 def _fit(found: DataFrame, landmarks_per_lang: int, langs_at_once: int) -> Model:
     """The model of the training rows. The driver holds those of langs_at_once languages and sums over all of them."""
     def ordered(rows: DataFrame):
-        return rows.toPandas().sort_values(["lang", "rank", "doc_id"]).drop_duplicates("doc_id")
+        return rows.toPandas().sort_values(["lang", "rank", "doc_id"])
 
     listed = ordered(found.select("lang", "rank", "doc_id"))
     names = sorted(listed["lang"].unique())
     if not names:
         return Model(np.zeros((0, int(_STARTS[-1])), np.float32), np.zeros((0, 0)), [], np.zeros(0, np.int64), np.zeros((0, SIZES)))
     heads = listed.groupby("lang").head(landmarks_per_lang)
-    ids = found.sparkSession.createDataFrame([(int(i), x) for i, x in zip(heads["doc_id"], heads["lang"], strict=True)], "doc_id bigint, lang string")
-    heads = ordered(found.drop("begun").join(F.broadcast(ids), ["doc_id", "lang"]))
+    ids = found.sparkSession.createDataFrame([(int(i),) for i in heads["doc_id"]], "doc_id bigint")
+    heads = ordered(found.drop("begun").join(F.broadcast(ids), "doc_id"))
     place_of = {i: k for k, i in enumerate(heads["doc_id"])}
     landmarks = normalized(_unpacked(_matrix(list(heads["bits"]))))
     firsts = np.searchsorted(heads["lang"].to_numpy(), names)
@@ -199,7 +202,6 @@ def _fit(found: DataFrame, landmarks_per_lang: int, langs_at_once: int) -> Model
     squares, sums, bounds = np.zeros((len(heads) + 1, len(heads) + 1)), np.zeros((len(heads) + 1, len(names))), []
     for at in range(0, len(names), langs_at_once):
         group = ordered(found.where(F.col("lang").isin(names[at:at + langs_at_once])))
-        group = group[group["doc_id"].isin(listed["doc_id"])]
         for k, name in enumerate(names[at:at + langs_at_once], at):
             members = group[group["lang"] == name]
             begun = [(i, b) for i, found_ in enumerate(members["begun"]) for b in found_]

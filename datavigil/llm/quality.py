@@ -137,7 +137,8 @@ class Model:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_chars, label, text) -> doc_id, label, text measures, metadata measures."""
+    """(doc_id, lang, source, n_chars, label, text) -> doc_id, label, text measures, metadata measures; of rows with the same
+    doc_id one, by a hash of what is measured."""
 
     def run(batches):
         for batch in A.pieces(batches):
@@ -146,11 +147,13 @@ def _measured(docs: DataFrame) -> DataFrame:
                 rows = batch.slice(i, j - i)
                 x = text_measures(data, offsets[i:j + 1])
                 m = metadata_measures(*(rows.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(list(x)), pa.array(list(m))],
-                                                 ["doc_id", "label", "x", "m"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(list(x)), pa.array(list(m)),
+                                                  rows.column("key")], ["doc_id", "label", "x", "m", "key"])
 
-    return docs.select("doc_id", "lang", "source", "n_chars", "label", "text").mapInArrow(
-        run, "doc_id bigint, label int, x array<double>, m array<double>")
+    found = docs.select("doc_id", "lang", "source", "n_chars", "label", "text", F.xxhash64("text", "lang", "source", "n_chars").alias("key")).mapInArrow(
+        run, "doc_id bigint, label int, x array<double>, m array<double>, key bigint")
+    # copies of an id are put together in their tasks before they are sent
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("label", "x", "m"), "key").alias("one")).select("doc_id", "one.*")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -176,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
     others = (present.where("doc_id IS NOT NULL").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
               .distinct().orderBy(order, "doc_id").limit(max_pool).withColumn("label", F.lit(-1)))
     sample = picked.union(others)  # at most max_labelled + max_pool narrow rows
-    rows = _measured(docs.join(F.broadcast(sample), "doc_id")).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    rows = _measured(docs.join(F.broadcast(sample), "doc_id")).toPandas().sort_values("doc_id")
     label, ids = rows["label"].to_numpy(int), rows["doc_id"].to_numpy(np.int64)
     apart = A.mix(ids.astype(np.uint64) + np.uint64(seed)) % np.uint64(10) < 3
     learn, check, pool = np.flatnonzero((label >= 0) & ~apart), np.flatnonzero((label >= 0) & apart), np.flatnonzero(label < 0)

@@ -206,6 +206,32 @@ def test_op4_edges(spark):
     assert quality.score(edge_docs(spark, True), quality.train(edge_docs(spark, True), nothing)).count() == 0
 
 
+def test_samples_of_a_hot_id_reach_the_driver_once(spark, monkeypatch):
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL AND length(text) > 20")
+    hot = next(r["doc_id"] for r in texts.orderBy("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2)
+    docs = texts.union(texts.where(F.col("doc_id") == hot).crossJoin(spark.range(400)).drop("id")).cache()
+    ids = texts.select("doc_id").distinct().count()
+    labels = texts.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    rnd = np.random.default_rng(4)
+    points = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(400)]
+    vectors = spark.createDataFrame(points + [points[7]] * 400, "vec_id bigint, embedding array<double>")
+    sent, kind = [], type(docs)
+    whole, rows = kind.toPandas, kind.collect
+    monkeypatch.setattr(kind, "toPandas", lambda self: sent.append(len(out := whole(self))) or out)
+    quality.train(docs, labels)
+    plain, seen = langid.train(texts), len(sent)
+    again = langid.train(docs)
+    assert max(sent) <= ids and np.allclose(plain.weights, again.weights, atol=1e-6)
+    monkeypatch.setattr(kind, "toPandas", whole)
+    assert langid.train(docs, rows_per_lang=20).langs == plain.langs and seen
+    good = ann.usable(vectors, "vec_id", "embedding")
+    sent.clear()
+    tree = ann.grow(np.array([p[1] for p in points]), 8)
+    monkeypatch.setattr(kind, "collect", lambda self: sent.append(len(out := rows(self))) or out)
+    ann.calibrate(good, tree, F.col("vec_id") % 20 == 0, 20, 0.96, 200)
+    assert max(sent) <= 20 * 20
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no host/en/", "", "", None, "allow"),
     ("http://A.Example.NET/en/1?x", "a.example.net", "/en/1", "example.net/en/", "allow"),
