@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so that its powers have inverses modulo 2^64
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -72,6 +72,12 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
 
 
+def text_bytes(column: pa.Array) -> int:
+    """UTF-8 bytes of a string column."""
+    _, offsets = byte_view(column)
+    return int(offsets[-1] - offsets[0])
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a task holds and sends back stays small next to long texts."""
     for batch in batches:

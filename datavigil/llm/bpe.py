@@ -43,15 +43,19 @@ def _blocks(batches, pattern: str, block_chars: int):
     part = TaskContext.get().partitionId()
     block, rows, serial = P.Block(pattern), [], 0
     for batch in A.pieces(batches):
+        _, offsets = A.byte_view(batch.column(batch.num_columns - 1))
+        weight = offsets + 64 * np.arange(len(offsets))
         start = 0
-        for i, text in enumerate(batch.column(batch.num_columns - 1)):
-            block.add(text.as_py())
-            if block.chars >= block_chars:
-                rows.append(batch.slice(start, i + 1 - start))
+        while start < batch.num_rows:
+            # up to the row that fills the block
+            stop = min(int(np.searchsorted(weight, weight[start] + block_chars - block.size)), batch.num_rows)
+            stop = max(stop, start + 1)
+            rows.append(batch.slice(start, stop - start))
+            block.extend(rows[-1].column(batch.num_columns - 1))
+            start = stop
+            if block.size >= block_chars:
                 yield (part << 32) + serial, block, rows
-                block, rows, serial, start = P.Block(pattern), [], serial + 1, i + 1
-        if start < batch.num_rows:
-            rows.append(batch.slice(start))
+                block, rows, serial = P.Block(pattern), [], serial + 1
     if rows:
         yield (part << 32) + serial, block, rows
 

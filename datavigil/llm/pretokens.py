@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from datavigil.llm import arrays as A
 
-# A space after white space may belong to the run before it; a space after anything else always begins a pre-token.
-_RUN = re.compile(r"\s ")
 _SHORT = 96
 
 
@@ -71,56 +69,112 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Numbering(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
+#: Kinds of bytes: white space, letter, digit, other mark, apostrophe, and those that only the pattern can judge.
+_WHITE, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER = range(6)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _WHITE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[range(0x30, 0x3A)] = _DIGIT
+_KIND[0x27] = _QUOTE
+_KIND[[*range(0x1C, 0x20), *range(0x80, 0x100)]] = _OTHER
+# A pre-token surely ends between two bytes of these kinds. White space may belong to what follows, an apostrophe too.
+_ENDS = np.zeros((6, 6), bool)
+_ENDS[_LETTER, [_WHITE, _DIGIT, _MARK, _QUOTE]] = True
+_ENDS[_DIGIT, [_WHITE, _LETTER, _MARK, _QUOTE]] = True
+_ENDS[_MARK, [_WHITE, _LETTER, _DIGIT]] = True
+_ENDS[_QUOTE, _WHITE] = True
+_ENDS = _ENDS.ravel()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[range(0x41, 0x5B)] += 32
+
+
+def _ends_white(chars: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether the character that is not ASCII and ends before each stop is white space."""
+    one, two, three = (chars[np.maximum(stops - k, 0)] for k in (1, 2, 3))
+    short = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    general = (three == 0xE2) & (((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))) | ((two == 0x81) & (one == 0x9F)))
+    far = ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    return short | general | far | (one < 0x80)
+
+
+def segments(texts: pa.Array, lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct segments of the texts, each text's segments as their numbers one after the other, and where each text's
+    begin. A segment is one pre-token or a few; where only the pattern can tell, nothing is cut. With lower A-Z are lower-cased.
+
+    It holds for patterns in which runs of letters, digits and other marks are pre-tokens of their own, with the space before
+    them or without, and white space stays with what follows it.
+    """
+    data, offsets = A.byte_view(texts)
+    chars, bounds = data[int(offsets[0]):int(offsets[-1])], offsets - offsets[0]
+    n = len(chars)
+    if not n:
+        return [], np.empty(0, np.int32), np.zeros(len(bounds), np.int64)
+    kind = _KIND[chars]
+    cut = np.ones(n + 1, bool)
+    np.take(_ENDS, kind[:-1] * np.uint8(6) + kind[1:], out=cut[1:-1])
+    unsure = np.flatnonzero((kind[:-1] == _OTHER) & (kind[1:] == _WHITE)) + 1
+    if len(unsure):
+        cut[unsure] = ~_ends_white(chars, unsure)
+    cut[bounds] = True
+    starts = np.flatnonzero(cut).astype(np.int32)
+    chars = _LOWER[chars] if lower else np.ascontiguousarray(chars)
+    coded = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(chars)]).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.searchsorted(starts, bounds)
 
 
 class Block:
     """Texts as lists of numbers of distinct pre-tokens.
 
-    Texts are cut at spaces that surely begin a pre-token, and only distinct cuts meet the pattern. Texts in which white
-    space stands before a space meet it whole.
+    Texts are cut into segments, and only distinct segments meet `find`, which gives the pre-tokens of a segment. A pattern
+    given as text is used as such.
     """
 
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
-        self.cuts, self.words = _Numbering(), _Numbering()
-        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.chars = 0
+    def __init__(self, find: str | Callable[[str], list[str]], lower: bool = False):
+        self.find = regex.compile(find).findall if isinstance(find, str) else find
+        self.lower = lower
+        self.texts: list[pa.Array] = []
+        self.size = 0
 
     def add(self, text: str | None) -> None:
-        text = text or ""
-        self.chars += len(text) + 64
-        number = self.words.__getitem__
-        if _RUN.search(text):
-            plain, spaced = self.find(text), ()
-        else:
-            head, *spaced = text.split(" ")
-            plain = self.find(head)
-        self.texts.append((np.fromiter(map(number, plain), np.int32, len(plain)),
-                           np.fromiter(map(self.cuts.__getitem__, spaced), np.int32, len(spaced))))
+        self.extend(pa.array([text], pa.string()))
+
+    def extend(self, texts: pa.Array) -> None:
+        """A null counts as empty."""
+        self.texts.append(texts)
+        self.size += A.text_bytes(texts) + 64 * len(texts)
 
     def close(self) -> tuple[list[str], list[np.ndarray]]:
         """The distinct pre-tokens, most frequent first, and each text as their numbers."""
-        number = self.words.__getitem__
-        flat, lengths = array("i"), array("q")
-        for cut in self.cuts:
-            found = self.find(" " + cut)
-            lengths.append(len(found))
-            flat.extend(map(number, found))
+        words, numbers, bounds = self.numbered()
+        return words, [numbers[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def numbered(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The same, with the numbers of all texts one after the other and where each text's begin."""
+        if not self.texts:
+            return [], np.empty(0, np.int32), np.zeros(1, np.int64)
+        cuts, codes, bounds = segments(pa.concat_arrays(self.texts), self.lower)
+        number: dict[str, int] = {}
+        flat, lengths = array("i"), array("q", [1]) * len(cuts)
+        whole = self.find(" az") == [" az"] and self.find("az") == ["az"]  # letters, with a space or without, are one pre-token
+        for i, cut in enumerate(cuts):
+            if whole and cut.isascii() and (cut.isalpha() or cut[0] == " " and cut[1:].isalpha()):
+                flat.append(number.setdefault(cut, len(number)))
+                continue
+            found = self.find(cut)
+            lengths[i] = len(found)
+            for word in found:
+                flat.append(number.setdefault(word, len(number)))
         flat, lengths = np.array(flat, np.int32), np.array(lengths, np.int64)
-        starts = np.cumsum(lengths) - lengths
-        out = [np.concatenate((plain, flat[A.ragged(starts[cuts], lengths[cuts])])) for plain, cuts in self.texts]
-        words = list(self.words)
-        counts = np.bincount(np.concatenate(out), minlength=len(words)) if out else np.empty(0, np.int64)
+        words, weight = list(number), np.bincount(codes, minlength=len(cuts))
+        counts = np.bincount(flat, np.repeat(weight, lengths), minlength=len(words))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
-        return [words[i] for i in order], [rank[numbers] for numbers in out]
+        flat = rank[flat]
+        sizes = lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        starts = np.cumsum(lengths) - lengths
+        return [words[i] for i in order], flat[A.ragged(starts[codes], sizes)], ends[bounds]
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:

@@ -196,7 +196,7 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
                 ids.append(doc.as_py())
                 edits.append(own.as_py())
                 block.add(text.as_py())
-                if block.chars >= BLOCK_CHARS:
+                if block.size >= BLOCK_CHARS:
                     yield counted(ids, edits, block)
                     ids, edits, block = [], [], P.Block(pattern)
             if ids:
