@@ -37,13 +37,13 @@ FAR = 47
 BUCKET_ROWS = 1000
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Ids, distinct shingle hashes and their offsets, slice by slice."""
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, distinct shingle hashes and their offsets, slice by slice; the text is the second column."""
     data, offsets = A.byte_view(batch.column(1))
     for i, j in A.slices(offsets):
         hashes, starts = A.word_hashes(data, offsets[i:j + 1])
         values, bounds = A.distinct_sets(*A.shingle_hashes(hashes, starts, words))
-        yield batch.column(0).slice(i, j - i), values, bounds
+        yield batch.slice(i, j - i), values, bounds
 
 
 def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -63,17 +63,17 @@ def _fingerprints(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, fp, sig); no shuffle."""
+    """(doc_id, text, key) -> (doc_id, key, n_shingles, fp, sig); no shuffle."""
 
     def run(batches):
         for batch in A.pieces(batches):
-            for ids, values, bounds in _sets(batch, words):
+            for rows, values, bounds in _sets(batch, words):
                 sig = _signatures(values, bounds)
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(np.diff(bounds), pa.int64()), pa.array(_fingerprints(values, bounds), pa.binary()),
-                    pa.array([row.tobytes() for row in sig], pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+                    rows.column(0), rows.column(2), pa.array(np.diff(bounds), pa.int64()), pa.array(_fingerprints(values, bounds), pa.binary()),
+                    pa.array([row.tobytes() for row in sig], pa.binary())], ["doc_id", "key", "n_shingles", "fp", "sig"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp binary, sig binary")
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, fp binary, sig binary")
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -343,20 +343,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return cut(joined.mapInArrow(run, "a bigint, b bigint").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 75,
-                    den: int = 100, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of docs.
-
-    Documents are linked if den * |common shingles| >= num * |all shingles|; component_id is the smallest doc_id that
-    links reach. A null, empty or blank text has no shingles and stands alone. Equal rows are copies of each other, so
-    rows with the kept doc_id are all kept. A null doc_id never names a component unless all of the component are null;
-    then component_id is null and the rows are kept. An empty table gives no rows. Other columns are not read. The work
-    is for thresholds of about 0.75 and up; a lower one needs other chunks.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _linked(docs: DataFrame, words: int, num: int, den: int, bucket_rows: int) -> DataFrame:
+    """(doc_id, text, key) -> (doc_id, key, n_shingles, component_id, kept, first) per row; first marks the rows with the
+    smallest (doc_id, key) of each component, null ids last, and every row without shingles."""
     rows = cut(sketch(docs, words))
     classes = cut(rows.where("n_shingles > 0").groupBy("fp")
-                  .agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+                  .agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"),
+                       F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
                   .withColumn("vid", F.monotonically_increasing_id()))
     keys = classes.select("vid", F.explode(_keys(0)).alias("bucket"))
     heads = keys.groupBy("bucket").agg(F.min("vid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
@@ -382,11 +375,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
 
     named = classes.join(labels.withColumnRenamed("v", "vid"), "vid", "left").select(
-        "fp", "head", F.coalesce("label", "vid").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("head").alias("component_id"))
-    found = named.join(least, "comp").select("fp", "component_id")
+        "fp", "head", "first", F.coalesce("label", "vid").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("head").alias("component_id"), F.min("first").alias("first"))
+    found = named.drop("first").join(least, "comp").select("fp", "component_id", "first")
     empty = F.col("n_shingles") == 0
     out = rows.drop("sig").join(found, "fp", "left")
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), (empty | first).alias("first"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 75,
+                    den: int = 100, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of docs.
+
+    Documents are linked if den * |common shingles| >= num * |all shingles|; component_id is the smallest doc_id that
+    links reach. A null, empty or blank text has no shingles and stands alone. Equal rows are copies of each other, so
+    rows with the kept doc_id are all kept. A null doc_id never names a component unless all of the component are null;
+    then component_id is null and the rows are kept. An empty table gives no rows. Other columns are not read. The work
+    is for thresholds of about 0.75 and up; a lower one needs other chunks.
+    """
+    return _linked(_keyed(docs, id_col, text_col), words, num, den, bucket_rows).drop("key", "first")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 75, den: int = 100,
+                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of docs, with all its columns, of each group of near-duplicates, and every row without shingles.
+
+    It is the row with the smallest id (null ids last), of equal ids that with the smallest hash of the text. Rows equal in
+    both are copies; the one with the smallest hash of all columns stays. An empty table gives no rows. docs is read several
+    times and must hold the same rows each time.
+    """
+    linked = _linked(_keyed(docs, id_col, text_col), words, num, den, bucket_rows).where("first")
+    # copies of a row are counted on the map side; few rows have any
+    chosen = cut(linked.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")))
+    id_, key = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))
+
+    def of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("doc_id").alias("__want_id"), F.col("key").alias("__want_key"))
+        return docs.join(wanted, id_.eqNullSafe(F.col("__want_id")) & (key == F.col("__want_key")), "left_semi")
+
+    several = F.expr("n > 1 AND size > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = (of(chosen.where(several)).select(id_.alias("__id"), key.alias("__key"), row.alias("__row"))
+              .groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")))
+    return of(chosen.where(~several)).union(copies.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
