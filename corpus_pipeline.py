@@ -7,6 +7,7 @@ documents, the last the token ids.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,32 +16,59 @@ from pyspark.sql import functions as F
 from datavigil.llm import bpe, decontam, langid, neardup, pretokens, quality
 from datavigil.session import checkpoint_dir
 
+#: Columns of documents that the classifiers look at.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], mark: str) -> DataFrame:
+    """The rows that judge marks, with their own columns, also where these have names that judge adds."""
+    own = [c for c in docs.columns if c not in READ]
+    hidden = docs.withColumnsRenamed({c: f"__own{i}" for i, c in enumerate(own)})
+    return judge(hidden).where(mark).withColumnsRenamed({f"__own{i}": c for i, c in enumerate(own)}).select(*docs.columns)
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go.
+
+    Rows with nulls anywhere, empty and very long texts are scored like others; repeated rows share their fate; ties with the
+    threshold stay; an empty table, or one without both labels, keeps all its rows. Other columns are handed on unread.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("quality_kept").select(*docs.columns)
+    return _judged(docs, lambda rows: quality.score(rows, model), "quality_kept")
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or that lie further from the language that wins than its labelled rows do, go."""
-    found = langid.predict(docs, langid.train(docs))
-    return found.where("lang_known").select(*docs.columns)
+    """Documents without letters, or that lie further from the language that wins than its labelled rows do, go.
+
+    So do null and empty texts; of equal languages the first in order of text wins; repeated rows share their fate. An empty
+    table, or one without a known language, keeps nothing. Other columns are handed on unread.
+    """
+    model = langid.train(docs)
+    return _judged(docs, lambda rows: langid.predict(rows, model), "lang_known")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each group of near-duplicates stays: the one with the smallest doc_id, see representatives.
+
+    Rows without words (null, empty, blank) all stay; exact copies and repeated rows are near-duplicates too. An empty table
+    keeps nothing. Other columns are handed on.
+    """
+    return neardup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item, whole or edited, go."""
+    """Documents that hold a test item, whole or edited, go.
+
+    Null and empty texts hold none; repeated rows share their fate; without items all rows stay, an empty table keeps nothing.
+    Other columns are handed on.
+    """
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the token ids, their number, and whether they decode to the text."""
+    """doc_id, lang, source, the token ids, their number, and whether they decode to the text.
+
+    A null or empty text has no ids; repeated rows are encoded each; an empty table gives no rows.
+    """
     ranks = pretokens.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     picked = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     tokens = bpe.decode(bpe.encode(picked, ranks, public_tokenizers.PATTERN), ranks)
