@@ -38,10 +38,10 @@ def _spread(spark, ranks: dict[bytes, int]):
     return spark.sparkContext.broadcast(ranks)
 
 
-def _blocks(batches, pattern: str, block_chars: int):
+def _blocks(batches, make, block_chars: int):
     """(block id, block, rows of the block as batches without the text, which is the last column)."""
     part = TaskContext.get().partitionId()
-    block, rows, serial = P.Block(pattern), [], 0
+    block, rows, serial = make(), [], 0
     for batch in A.pieces(batches):
         _, offsets = A.byte_view(batch.column(batch.num_columns - 1))
         weight = offsets + 64 * np.arange(len(offsets))
@@ -55,7 +55,7 @@ def _blocks(batches, pattern: str, block_chars: int):
             start = stop
             if block.size >= block_chars:
                 yield (part << 32) + serial, block, rows
-                block, rows, serial = P.Block(pattern), [], serial + 1
+                block, rows, serial = make(), [], serial + 1
     if rows:
         yield (part << 32) + serial, block, rows
 
@@ -64,12 +64,12 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint16, len(words))
 
 
-def _distinct_words(docs: DataFrame, pattern: str, block_chars: int, buckets: int) -> DataFrame:
+def _distinct_words(docs: DataFrame, make, block_chars: int, buckets: int) -> DataFrame:
     """(block, bucket, lengths, words): the distinct words of each block, packed by bucket."""
 
     def run(batches):
-        for no, block, _ in _blocks(batches, pattern, block_chars):
-            words, _ = block.close()
+        for no, block, _ in _blocks(batches, make, block_chars):
+            words, _, _ = block.numbered()
             bucket = _bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
             used, starts = np.unique(bucket[order], return_index=True)
@@ -82,22 +82,20 @@ def _distinct_words(docs: DataFrame, pattern: str, block_chars: int, buckets: in
     return docs.mapInArrow(run, "block bigint, bucket int, lengths binary, words binary")
 
 
-def _word_ids(words: DataFrame, ranks) -> DataFrame:
-    """(block, bucket, lengths, ids): every distinct word is merged once, in the task of its bucket."""
+def _word_ids(words: DataFrame, encoder) -> DataFrame:
+    """(block, bucket, lengths, ids): every distinct word is encoded once, in the task of its bucket."""
 
     def run(batches):
-        known, of = {}, None
+        encode_words, known, of = encoder(), {}, None
         for batch in batches:
             rows = []
             for bucket, lengths, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if bucket != of:
                     known, of = {}, bucket
-                found = []
-                for word in P.unpack_lists(lengths, blob):
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = P.merge(word, ranks.value)
-                    found.append(ids)
+                asked = P.unpack_lists(lengths, blob)
+                fresh = [w for w in asked if w not in known]
+                known.update(zip(fresh, encode_words(fresh), strict=True))
+                found = [known[w] for w in asked]
                 rows.append((P.pack_numbers(np.fromiter(map(len, found), np.int64, len(found))),
                              P.pack_numbers(np.fromiter((x for ids in found for x in ids), np.int64))))
             yield pa.RecordBatch.from_arrays([
@@ -108,11 +106,11 @@ def _word_ids(words: DataFrame, ranks) -> DataFrame:
             .mapInArrow(run, "block bigint, bucket int, lengths binary, ids binary"))
 
 
-def _number_lists(docs: DataFrame, pattern: str, block_chars: int, buckets: int, schema: T.StructType) -> DataFrame:
+def _number_lists(docs: DataFrame, make, block_chars: int, buckets: int, schema: T.StructType) -> DataFrame:
     """Per text its words' numbers; the first row of a block also has the bucket of each of its words."""
 
     def run(batches):
-        for no, block, rows in _blocks(batches, pattern, block_chars):
+        for no, block, rows in _blocks(batches, make, block_chars):
             words, texts = block.close()
             kept = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             places = [_bucket_of(words, buckets).tobytes()] + [None] * (len(texts) - 1)
@@ -126,24 +124,19 @@ def _number_lists(docs: DataFrame, pattern: str, block_chars: int, buckets: int,
     return docs.mapInArrow(run, full)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids",
-           block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
-    """docs without the text, and the array of its token ids.
+def by_words(docs: DataFrame, make, encoder, finish, fields: list[T.StructField], block_chars: int = BLOCK_CHARS,
+             buckets: int = BUCKETS) -> DataFrame:
+    """Whole texts, the last column of docs, as the ids of their words, each distinct word encoded once.
 
-    Every match of pattern is encoded by itself, no special tokens. A null or empty text has no ids. Repeated rows are
-    encoded each, other columns are carried along under their own names (a column named like ids_col is replaced). An
-    empty table gives no rows. The rows of docs are read twice and must come in the same order each time, as those of a
-    table do; if they don't, the job fails instead of mixing words. A pre-token of any length is merged in n log n.
+    make() gives an empty pretokens.Block, encoder() (in the task) a function from words to their ids, and
+    finish(rows, ids, bounds) the result, with the given fields, of a block's rows: their other columns, the ids of all texts
+    one after the other, and where each text's begin. The rows of docs are read twice and must come in the same order each
+    time, as those of a table do; if they don't, the job fails instead of mixing words.
     """
-    spark = docs.sparkSession
-    spread = _spread(spark, ranks)
-    others = [c for c in docs.columns if c not in (text_col, ids_col)]
-    # their own names could clash with the columns used here
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([f for f in carried.schema.fields if f.name != "text"])
-    word_ids = _word_ids(_distinct_words(carried.select("text"), pattern, block_chars, buckets), spread)
-    lists = _number_lists(carried, pattern, block_chars, buckets, schema)
+    schema = T.StructType(docs.schema.fields[:-1])
     names = [f.name for f in schema.fields]
+    word_ids = _word_ids(_distinct_words(docs.select(docs.columns[-1]), make, block_chars, buckets), encoder)
+    lists = _number_lists(docs, make, block_chars, buckets, schema)
 
     def assemble(words: pa.Table, texts: pa.Table) -> pa.Table:
         places = [x for x in texts.column("bucket_of").to_pylist() if x is not None]
@@ -161,12 +154,33 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
         for packed in texts.column("numbers").to_pylist():
             numbers = P.unpack_numbers(packed)
             parts.append(flat[A.ragged(first[numbers], length[numbers])])
-        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-        return pa.Table.from_arrays([*(texts.column(n) for n in names), ids], names=[*names, "ids"])
+        return finish(texts.select(names), np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))))
 
     out = word_ids.groupBy("block").cogroup(lists.groupBy("block"))
-    result = out.applyInArrow(lambda a, b: assemble(a, b), T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return out.applyInArrow(lambda a, b: assemble(a, b), T.StructType(fields))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids",
+           block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
+    """docs without the text, and the array of its token ids.
+
+    Every match of pattern is encoded by itself, no special tokens. A null or empty text has no ids. Repeated rows are
+    encoded each, other columns are carried along under their own names (a column named like ids_col is replaced). An
+    empty table gives no rows. docs must come in the same order each time it is read, see by_words. A pre-token of any
+    length is merged in n log n.
+    """
+    spread = _spread(docs.sparkSession, ranks)
+    others = [c for c in docs.columns if c not in (text_col, ids_col)]
+    # their own names could clash with the columns used here
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").alias("text"))
+
+    def finish(rows: pa.Table, ids: np.ndarray, bounds: np.ndarray) -> pa.Table:
+        column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        return pa.Table.from_arrays([*rows.columns, column], names=[*rows.column_names, "ids"])
+
+    fields = [*carried.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    result = by_words(carried, lambda: P.Block(pattern), lambda: lambda words: [P.merge(w, spread.value) for w in words], finish,
+                      fields, block_chars, buckets)
     return result.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], F.col("ids").alias(ids_col))
 
 

@@ -115,6 +115,21 @@ def segments(texts: pa.Array, lower: bool = False) -> tuple[list[str], np.ndarra
     unsure = np.flatnonzero((kind[:-1] == _OTHER) & (kind[1:] == _WHITE)) + 1
     if len(unsure):
         cut[unsure] = ~_ends_white(chars, unsure)
+    return _coded(chars, cut, bounds, lower)
+
+
+def runs(texts: pa.Array, inside: np.ndarray, lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same for runs of bytes that are alike in `inside`, which must be alike for all bytes from 0x80 on."""
+    data, offsets = A.byte_view(texts)
+    chars, bounds = data[int(offsets[0]):int(offsets[-1])], offsets - offsets[0]
+    if not len(chars):
+        return [], np.empty(0, np.int32), np.zeros(len(bounds), np.int64)
+    own, cut = inside[chars], np.ones(len(chars) + 1, bool)
+    np.not_equal(own[1:], own[:-1], out=cut[1:-1])
+    return _coded(chars, cut, bounds, lower)
+
+
+def _coded(chars: np.ndarray, cut: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     cut[bounds] = True
     starts = np.flatnonzero(cut).astype(np.int32)
     chars = _LOWER[chars] if lower else np.ascontiguousarray(chars)

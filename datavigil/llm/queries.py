@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datavigil.llm import ann, bpe, decontam, langid, neardup, pretokens, quality, sharding, token_counts, urls, warc
+from datavigil.llm import ann, bpe, decontam, dualtree, langid, neardup, packing, pretokens, quality, sharding, token_counts, tries, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,26 @@ def op9_seeded_alignment(spark, sf_dir):
 @query
 def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_best_fit_packing(spark, sf_dir):
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op12_dual_tree_search(spark, sf_dir):
+    return dualtree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_dual_tree_search"] = dualtree.search_sql()
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return tries.prefix_nodes(tries.rebuilt(tries.turn_ids(conversations)), conversations.select("conv_id"))
+
+
+ORACLE["op13_prefix_trie"] = tries.rebuilt_nodes_sql()
