@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,30 +28,58 @@ class Pattern:
     group: int = 0
     guard: str | None = None
     fast_regex: str | None = None
+    fast_group: int | None = None
 
     def spark_regex(self) -> str:
         return self.fast_regex or java_regex(self.regex)
 
+    def spark_group(self) -> int:
+        return self.group if self.fast_group is None else self.fast_group
+
+    @property
+    def word(self) -> str | None:
+        """The body of a pattern that matches whole runs of word characters of fixed shape only, else None.
+
+        Such patterns share one scan of a text: it finds the runs, and the body tells on a run of a few characters whether it
+        is a match. Two matches of one pattern are never in the same run, so nothing is told apart wrongly.
+        """
+        body = self.regex.removeprefix(r"\b").removesuffix(r"\b")
+        if self.group or self.custom or len(body) != len(self.regex) - 4 or not _WHOLE_WORD.fullmatch(body):
+            return None
+        return body
+
+
+# A body of capitals, digits, counts and groups: nothing in it matches a character that is not a word character.
+_WHOLE_WORD = re.compile(r"(?:\[A-Z\]|\[0-9\]|\[0-9A-Z\]|\[A-Z0-9\]|\[[0-9]+-[0-9]+\]|\[[0-9]+\]|\\d|[0-9A-Z]|\{[0-9]+(?:,[0-9]+)?\}|\(\?:|[)?|])+")
+
+
+def words_regex(bodies: list[str]) -> str:
+    """All runs of word characters that one of the bodies matches."""
+    return f"(?=[0-9A-Z]){_STARTS}(?:{'|'.join(dict.fromkeys(bodies))}){_ENDS}"
+
 
 # Cheap tests that decide whether a text is worth a pattern's full regex. Each is computed once per text and shared
-# by all patterns that name it.
+# by all patterns that name it. `v` is the text, `low` its lower case; tests named in NEED_DIGIT are asked only of texts
+# that hold a digit.
 GUARDS = {
-    "at": lambda v: F.contains(v, F.lit("@")),
-    "groups_of_4": lambda v: v.rlike(r"[2-9][0-9]{3}[ \t\n\f\r-]?[0-9]{4}[ \t\n\f\r-]?[0-9]{4}"),
-    "digits9": lambda v: v.rlike("[0-9]{9}"),
-    "upper_digit": lambda v: v.rlike("[A-Z][- ]?[0-9]"),
-    "dotted": lambda v: v.rlike(r"[0-9]\.[0-9]"),
-    "colon": lambda v: F.contains(v, F.lit(":")),
-    "akia": lambda v: F.contains(v, F.lit("AKIA")),
-    "begin": lambda v: F.contains(v, F.lit("-----BEGIN ")),
-    "eyj": lambda v: F.contains(v, F.lit("eyJ")),
-    "api": lambda v: F.contains(F.lower(v), F.lit("api")),
-    "secret": lambda v: F.contains(F.lower(v), F.lit("secret")),
-    "bearer": lambda v: F.contains(F.lower(v), F.lit("bearer")),
-    "health": lambda v: reduce(lambda a, w: a | F.contains(F.lower(v), F.lit(w)),
+    "at": lambda v, low: F.contains(v, F.lit("@")),
+    "groups_of_4": lambda v, low: v.rlike(r"[2-9][0-9]{3}[ \t\n\f\r-]?[0-9]{4}[ \t\n\f\r-]?[0-9]{4}"),
+    "digits9": lambda v, low: v.rlike("[0-9]{9}"),
+    "upper_digit": lambda v, low: v.rlike("[A-Z][- ]?[0-9]"),
+    "dotted": lambda v, low: v.rlike(r"[0-9]\.[0-9]"),
+    "colon": lambda v, low: F.contains(v, F.lit(":")),
+    "akia": lambda v, low: F.contains(v, F.lit("AKIA")),
+    "begin": lambda v, low: F.contains(v, F.lit("-----BEGIN ")),
+    "eyj": lambda v, low: F.contains(v, F.lit("eyJ")),
+    "api": lambda v, low: F.contains(low, F.lit("api")),
+    "secret": lambda v, low: F.contains(low, F.lit("secret")),
+    "bearer": lambda v, low: F.contains(low, F.lit("bearer")),
+    "health": lambda v, low: reduce(lambda a, w: a | F.contains(low, F.lit(w)),
                                ["blood", "diagnosis", "prescription", "icd", "uhid", "abha"], F.lit(False)),
-    "year": lambda v: v.rlike(r"[/\-.](?:19|20)[0-9]{2}"),
+    "year": lambda v, low: v.rlike(r"[/\-.](?:19|20)[0-9]{2}"),
 }
+NEED_DIGIT = {"groups_of_4", "digits9", "upper_digit", "dotted", "year"}
+
 
 _WORD = "[0-9A-Za-z_]"
 _STARTS = rf"(?<!{_WORD})"
@@ -202,8 +231,21 @@ BUILTIN = [
     for n, t, r, kw in _FIXED_PATTERNS
 ]
 
+_RECOGNIZER_GUARDS = {
+    "IN_PAN": "upper_digit", "IN_AADHAAR": "groups_of_4", "IN_GST": "upper_digit", "IN_VOTER_ID": "upper_digit",
+    "IN_IFSC": "upper_digit", "IN_DRIVING_LICENSE": "upper_digit", "IN_PASSPORT": "upper_digit", "IN_UPI": "at",
+    "IN_BANK_ACCOUNT": "digits9", "IN_PHONE": "digits9",
+}
+
+# The same for a run that must begin at a word character: dots and hyphens before it are passed over, group 1 is the match.
+_LINEAR_RECOGNIZERS = {
+    "IN_UPI": rf"(?:\G|(?<![a-zA-Z0-9.\-_]))[.\-]*+((?={_WORD})[a-zA-Z0-9.\-_]{{3,}}+@[a-zA-Z0-9.\-_]+{_BOUNDARY})",
+}
+
 RECOGNIZERS = [
-    Pattern(f"recognizer_{e}", e, r, context_keywords=kw, base_score=s) for e, r, s, kw in _FIXED_RECOGNIZERS
+    Pattern(f"recognizer_{e}", e, r, context_keywords=kw, base_score=s, guard=_RECOGNIZER_GUARDS[e],
+            fast_regex=_LINEAR_RECOGNIZERS.get(e), fast_group=1 if e in _LINEAR_RECOGNIZERS else None)
+    for e, r, s, kw in _FIXED_RECOGNIZERS
 ]
 
 

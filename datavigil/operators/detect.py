@@ -205,28 +205,55 @@ def _scored(records, chosen, keep):
 def _hits(records: DataFrame, chosen: list[P.Pattern], carry: list[str]) -> DataFrame:
     """One row per distinct hit of a pattern in a record.
 
-    Guards are computed first, one column each; a pattern whose guard fails costs nothing. Patterns become rows of an
-    inline array, so the projection holds no lambda and stays in generated code.
+    Guards are computed first, one column each from one lower-cased text; a pattern whose guard fails costs nothing. Patterns
+    of whole words share one scan for words of any of their shapes, and each word found is then held against their bodies.
+    Patterns become rows of inline arrays, so the projections hold no lambda and stay in generated code.
     """
     if not chosen:
         return records.select(*carry).filter(F.lit(False)).withColumns({
             "_rank": F.lit(0), "pattern_name": F.lit(""), "pii_type": F.lit(""), "matched_value": F.lit("")})
-    guards = {p.guard for p in chosen if p.guard}
-    flagged = records.select(*carry, *[P.GUARDS[g](F.col("value")).alias(f"_g_{g}") for g in sorted(guards)])
+    worded = [(rank, p) for rank, p in enumerate(chosen) if p.word]
+    if len(worded) < 2:
+        worded = []
+    value, low = F.col("value"), F.col("_low")
+    guards = sorted({p.guard for p in chosen if p.guard})
+    tests = {g: P.GUARDS[g](value, low) for g in guards}
+    flags = [(F.when(F.col("_digit"), test).otherwise(False) if g in P.NEED_DIGIT else test).alias(f"_g_{g}") for g, test in tests.items()]
+    first = [F.lower(value).alias("_low"), *([value.rlike("[0-9]").alias("_digit")] if P.NEED_DIGIT & set(guards) else [])]
+    flagged = records.select(*carry, *first).select(*carry, *flags)
     none = F.array().cast("array<string>")
+
+    def guarded(found, names):
+        if None in names:
+            return found
+        return F.when(reduce(lambda a, b: a | b, [F.col(f"_g_{g}") for g in sorted(names)]), found).otherwise(none)
+
     branches = []
     for rank, p in enumerate(chosen):
-        found = F.regexp_extract_all("value", F.lit(p.spark_regex()), F.lit(p.group))
-        if p.guard:
-            found = F.when(F.col(f"_g_{p.guard}"), found).otherwise(none)
+        if (rank, p) in worded:
+            continue
+        found = F.regexp_extract_all("value", F.lit(p.spark_regex()), F.lit(p.spark_group()))
         branches.append(F.struct(F.lit(rank).alias("_rank"), F.lit(p.name).alias("pattern_name"),
-                                 F.lit(p.pii_type).alias("pii_type"), found.alias("_found")))
-    return (
+                                 F.lit(p.pii_type).alias("pii_type"), guarded(found, {p.guard}).alias("_found")))
+    if worded:
+        found = F.regexp_extract_all("value", F.lit(P.words_regex([p.word for _, p in worded])), F.lit(0))
+        branches.append(F.struct(F.lit(-1).alias("_rank"), F.lit("").alias("pattern_name"), F.lit("").alias("pii_type"),
+                                 guarded(found, {p.guard for _, p in worded}).alias("_found")))
+    hits = (
         flagged.select(*carry, F.inline(F.array(*branches)))
         .filter(F.size("_found") > 0)
         .withColumn("matched_value", F.explode(F.array_distinct("_found")))
         .drop("_found")
     )
+    if not worded:
+        return hits
+    own = F.when(F.col("_rank") >= 0, F.struct("_rank", "pattern_name", "pii_type"))
+    of_words = [
+        F.when((F.col("_rank") < 0) & F.col("matched_value").rlike(f"^(?:{p.word})\\z"), F.struct(
+            F.lit(rank).alias("_rank"), F.lit(p.name).alias("pattern_name"), F.lit(p.pii_type).alias("pii_type")))
+        for rank, p in worded]
+    return hits.select(*carry, "matched_value", F.inline(F.array(own, *of_words))).filter("_rank IS NOT NULL").select(
+        *carry, "_rank", "pattern_name", "pii_type", "matched_value")
 
 
 def _base_score(value: Column, pii_type: Column, types=None, entropy: Column | None = None) -> Column:
