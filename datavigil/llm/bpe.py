@@ -111,12 +111,13 @@ def _number_lists(docs: DataFrame, make, block_chars: int, buckets: int, schema:
 
     def run(batches):
         for no, block, rows in _blocks(batches, make, block_chars):
-            words, texts = block.close()
+            words, numbers, bounds = block.numbered()
             kept = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            places = [_bucket_of(words, buckets).tobytes()] + [None] * (len(texts) - 1)
+            count = kept.num_rows
+            places = [_bucket_of(words, buckets).tobytes()] + [None] * (count - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([no] * len(texts), pa.int64()), pa.array(places, pa.binary()),
-                 pa.array([P.pack_numbers(x) for x in texts], pa.binary()), *kept.columns[:-1]], names)
+                [pa.array(np.full(count, no, np.int64)), pa.array(places, pa.binary()),
+                 A.binary_array(*P.pack_ragged(numbers, bounds)), *kept.columns[:-1]], names)
 
     full = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket_of", T.BinaryType()),
                          T.StructField("numbers", T.BinaryType()), *schema.fields])
@@ -150,11 +151,10 @@ def by_words(docs: DataFrame, make, encoder, finish, fields: list[T.StructField]
         first, length = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         first[order], length[order] = np.cumsum(counts) - counts, counts
         flat = flat.astype(np.int32)
-        parts = []
-        for packed in texts.column("numbers").to_pylist():
-            numbers = P.unpack_numbers(packed)
-            parts.append(flat[A.ragged(first[numbers], length[numbers])])
-        return finish(texts.select(names), np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))))
+        numbers, bounds = P.unpack_ragged(texts.column("numbers").combine_chunks())
+        sizes = length[numbers]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return finish(texts.select(names), flat[A.ragged(first[numbers], sizes)], ends[bounds])
 
     out = word_ids.groupBy("block").cogroup(lists.groupBy("block"))
     return out.applyInArrow(lambda a, b: assemble(a, b), T.StructType(fields))

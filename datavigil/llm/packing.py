@@ -36,7 +36,6 @@ CAPACITY = 4096
 #: Share of the largest length down to which items take part in a round.
 SPREAD = 0.5
 END_ID = 1
-_WHITE = " \t\n\v\f\r"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id",
@@ -61,11 +60,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
         tokenizer = tokenizers.Tokenizer.from_buffer(spread.value)
         tokenizer.encode_special_tokens = True
-        return lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        merge = tokenizer.model.tokenize
 
-    def words_of(segment: str) -> list[str]:
-        word = segment.strip(_WHITE)
-        return [word] if word else []
+        def encode_words(words: list[bytes]) -> list[list[int]]:
+            texts = [w.decode() for w in words]
+            # runs of ASCII letters pass the steps before the model as they are
+            out = [[t.id for t in merge(w)] if w.isascii() and w.isalpha() else None for w in texts]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+            return out
+
+        return encode_words
 
     def finish(rows: pa.Table, ids: np.ndarray, bounds: np.ndarray) -> pa.Table:
         out: list[list[int]] = [[], [], [], [], []]
@@ -81,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     fields = T.StructType.fromDDL("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").fields
-    return bpe.by_words(picked, lambda: P.Block(words_of, lower=True), encoder, finish, fields)
+    return bpe.by_words(picked, lambda: P.Block(None, lower=True), encoder, finish, fields)
 
 
 def brackets(is_slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

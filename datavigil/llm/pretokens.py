@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from datavigil.llm import arrays as A
@@ -140,12 +141,12 @@ def _coded(chars: np.ndarray, cut: np.ndarray, bounds: np.ndarray, lower: bool)
 class Block:
     """Texts as lists of numbers of distinct pre-tokens.
 
-    Texts are cut into segments, and only distinct segments meet `find`, which gives the pre-tokens of a segment. A pattern
-    given as text is used as such.
+    Texts are cut into segments, and only distinct segments meet the pattern. Without a pattern the segments themselves are
+    the words, without the ASCII white space around them; with lower A-Z are lower-cased.
     """
 
-    def __init__(self, find: str | Callable[[str], list[str]], lower: bool = False):
-        self.find = regex.compile(find).findall if isinstance(find, str) else find
+    def __init__(self, pattern: str | None, lower: bool = False):
+        self.find = regex.compile(pattern).findall if pattern is not None else None
         self.lower = lower
         self.texts: list[pa.Array] = []
         self.size = 0
@@ -168,6 +169,31 @@ class Block:
         if not self.texts:
             return [], np.empty(0, np.int32), np.zeros(1, np.int64)
         cuts, codes, bounds = segments(pa.concat_arrays(self.texts), self.lower)
+        if self.find is None:
+            trimmed = pc.utf8_trim(pa.array(cuts, pa.string()), " \t\n\v\f\r")
+            coded = trimmed.dictionary_encode()
+            words, lengths = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), pc.binary_length(trimmed).to_numpy() > 0
+            flat, lengths = coded.indices.to_numpy(), lengths.astype(np.int64)
+            if "" in words:  # white space alone is no word
+                none = words.index("")
+                del words[none]
+                flat = np.where(flat > none, flat - 1, flat)
+            flat = flat[lengths > 0].astype(np.int32)
+        else:
+            words, flat, lengths = self._found(cuts)
+        weight = np.bincount(codes, minlength=len(cuts))
+        counts = np.bincount(flat, np.repeat(weight, lengths), minlength=len(words))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        flat = rank[flat]
+        sizes = lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        starts = np.cumsum(lengths) - lengths
+        return [words[i] for i in order], flat[A.ragged(starts[codes], sizes)], ends[bounds]
+
+    def _found(self, cuts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pre-tokens of the segments, those of each segment as their numbers, and how many each has."""
         number: dict[str, int] = {}
         flat, lengths = array("i"), array("q", [1]) * len(cuts)
         whole = self.find(" az") == [" az"] and self.find("az") == ["az"]  # letters, with a space or without, are one pre-token
@@ -179,34 +205,38 @@ class Block:
             lengths[i] = len(found)
             for word in found:
                 flat.append(number.setdefault(word, len(number)))
-        flat, lengths = np.array(flat, np.int32), np.array(lengths, np.int64)
-        words, weight = list(number), np.bincount(codes, minlength=len(cuts))
-        counts = np.bincount(flat, np.repeat(weight, lengths), minlength=len(words))
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(words), np.int32)
-        rank[order] = np.arange(len(words), dtype=np.int32)
-        flat = rank[flat]
-        sizes = lengths[codes]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        starts = np.cumsum(lengths) - lengths
-        return [words[i] for i in order], flat[A.ragged(starts[codes], sizes)], ends[bounds]
+        return list(number), np.array(flat, np.int32), np.array(lengths, np.int64)
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
     """Numbers below 2^28 in groups of seven bits, low ones first; all bytes but a number's last have the high bit."""
+    return pack_ragged(numbers, np.array([0, len(numbers)]))[0].tobytes()
+
+
+def pack_ragged(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed bytes of several lists one after the other, and where each list's begin."""
     v = numbers.astype(np.uint32)
     size = 1 + (v >= 1 << 7).astype(np.int64) + (v >= 1 << 14) + (v >= 1 << 21)
-    starts = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint8)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    starts = ends[:-1]
+    out = np.empty(int(ends[-1]), np.uint8)
     for k in range(4):
         own = size > k
         if not own.any():
             break
         out[starts[own] + k] = ((v[own] >> np.uint32(7 * k)) & np.uint32(127)) | np.where(size[own] > k + 1, 128, 0).astype(np.uint32)
-    return out.tobytes()
+    return out, ends[bounds]
+
+
+def unpack_ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the packed lists of a binary column one after the other, and where each list's begin."""
+    data, offsets = A.byte_view(column)
+    own = data[int(offsets[0]):int(offsets[-1])]
+    ends = np.concatenate(([0], np.cumsum(own < 128)))
+    return unpack_numbers(own), ends[offsets - offsets[0]]
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
+def unpack_numbers(data: bytes | np.ndarray) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(b < 128)
     starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if len(ends) else np.empty(0, np.int64)
