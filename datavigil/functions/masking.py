@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from datavigil.functions.text import SPACE
 
@@ -31,9 +30,7 @@ SENSITIVE_KEYS = [
     "normalized_match", "authorization", "jwt",
     "refresh_token", "access_token", "encryption_key",
 ]
-MAX_JSON_DEPTH = 20
-MAX_JSON_BYTES = 1 << 18
-JSON_TOO_LARGE, JSON_INVALID, JSON_TOO_DEEP = "[input too large to scrub]", "[invalid json]", "[max depth exceeded]"
+JSON_INVALID = "[invalid json]"
 
 # The local part of an address is entered once per run, as in the detection patterns.
 _LINEAR = {
@@ -188,38 +185,48 @@ def scrub(c, off: list[str] = ()) -> Column:
     return out
 
 
+# A string of JSON, and any other run without structure in it.
+_JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
 def scrub_json(c) -> Column:
-    """Values of sensitive keys replaced at any depth, keys in sorted order.
+    """Values of sensitive keys replaced at any depth, keys in sorted order; a note for texts that are no JSON.
 
-    Texts above 256 KB, invalid ones and levels below 20 are replaced by a note, as the limits are part of the feature.
+    The text is written anew from a variant, compact and with sorted keys. There a key stands behind "{" or "," and no string
+    holds a bare quote, so keys are told by the text around them. Simple values are replaced by pattern. For objects and
+    arrays the text is cut at their keys, and a count of open brackets over each piece finds where they end.
     """
-    return _scrub_json(_col(c))
-
-
-@F.pandas_udf(T.StringType())
-def _scrub_json(texts):
-    import json
-
-    def walk(v, depth):
-        if depth > MAX_JSON_DEPTH:
-            return JSON_TOO_DEEP
-        if isinstance(v, dict):
-            return {k: "[REDACTED]" if k.lower() in SENSITIVE_KEYS else walk(x, depth + 1) for k, x in v.items()}
-        if isinstance(v, list):
-            return [walk(x, depth + 1) for x in v]
-        return v
-
-    def one(text):
-        if text is None:
-            return None
-        if len(text.encode()) > MAX_JSON_BYTES:
-            return JSON_TOO_LARGE
-        try:
-            return json.dumps(walk(json.loads(text), 0), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            return JSON_INVALID
-
-    return texts.map(one)
+    text = F.to_json(F.try_parse_json(_col(c)))
+    keys = "|".join(SENSITIVE_KEYS)
+    simple = F.regexp_replace(text, rf"""(?i)(?<=[{{,])("(?:{keys})":)(?:{_JSON_STRING}|[^"{{\[,}}\]]++)""", '$1"[REDACTED]"')
+    marked = rf"""(?i)(?<=[{{,])"(?:{keys})":(?=[{{\[])"""
+    names = F.regexp_extract_all(simple, F.lit(marked), F.lit(0))
+    pieces = F.split(simple, marked, -1)
+
+    def step(state: Column, token: Column) -> Column:
+        """Open brackets and characters passed until all are closed."""
+        depth = state["depth"] + F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+        return F.when(state["depth"] == 0, state).otherwise(
+            F.struct(depth.alias("depth"), (state["passed"] + F.length(token)).alias("passed")))
+
+    def add(out: Column, part: Column) -> Column:
+        # inside a value that is dropped already, the pieces that begin in it only count on
+        opens = out["depth"] == 0
+        piece, name = part["piece"], part["name"]
+        tokens = F.regexp_extract_all(piece, F.lit(rf"""{_JSON_STRING}|[{{}}\[\]]|[^"{{}}\[\]]++"""), F.lit(0))
+        first = F.when(F.size(tokens) > 0, 1).otherwise(0)
+        begin = F.when(opens, F.struct(first.alias("depth"), first.alias("passed"))).otherwise(
+            F.struct(out["depth"].alias("depth"), F.lit(0).alias("passed")))
+        tokens = F.when(opens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
+        end = F.aggregate(tokens, begin, step)
+        rest = F.when(end["depth"] == 0, F.substr(piece, end["passed"] + 1)).otherwise("")
+        return F.struct(F.concat(out["text"], F.when(opens, F.concat(name, F.lit('"[REDACTED]"'))).otherwise(""), rest).alias("text"),
+                        end["depth"].alias("depth"))
+
+    parts = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: F.struct(p.alias("piece"), F.get(names, i).alias("name")))
+    start = F.struct(F.get(pieces, F.lit(0)).alias("text"), F.lit(0).alias("depth"))
+    nested = F.aggregate(parts, start, add, lambda out: out["text"])
+    return F.when(_col(c).isNull(), None).when(text.isNull(), JSON_INVALID).when(F.size(names) > 0, nested).otherwise(simple)
 
 
 def preview(c, pii_type) -> Column:

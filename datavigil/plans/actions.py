@@ -127,6 +127,15 @@ def scrub_json(spark, sf):
     return Tables(spark, sf).raw("events").select("event_id", M.scrub_json(doc).alias("scrubbed"))
 
 
+@query("scrub_json_nested", """
+SELECT c_custkey, '{"id":' || c_custkey || ',"list":[{"Password":"[REDACTED]","ok":"' || c_name || '"},[{"pan":"[REDACTED]","z":[]}]],"note":"a \\\"token\\\":[1] {","token":"[REDACTED]"}' AS scrubbed FROM customer""")
+def scrub_json_nested(spark, sf):
+    """Sensitive keys that hold objects and lists, inside each other and beside text that looks like them."""
+    doc = F.expr("""concat('{"token":{"a":[1,{"b":"]}"}],"token":{"x":"{"}}, "id":', c_custkey, ',"list":[{"ok":"', c_name,
+        '","Password":["p",["q"]]},[{"z":[], "pan":{}}]],"note":"a \\\\"token\\\\":[1] {"}')""")
+    return Tables(spark, sf).raw("customer").select("c_custkey", M.scrub_json(doc).alias("scrubbed"))
+
+
 # --- remediation ----------------------------------------------------------------------------------------------------
 
 @query("remediation_preview", """
@@ -434,24 +443,86 @@ def source_files(spark, sf):
     folder = scratch(spark, "files")
     rows = Tables(spark, sf).raw("conversations").select(F.translate("text", "\n", " ").alias("value"))
     rows.write.text(f"{folder}/a/b")
-    files = X.scan_files(spark, folder, 1 << 40).unionByName(X.scan_objects(spark, folder, [".csv"]))
+    files = X.scan_files(spark, folder, 1 << 40, by="file").unionByName(X.scan_objects(spark, folder, [".csv"]))
     return files.groupBy(F.col("field_name").endswith(".txt").cast("int").alias("is_text")).agg(
         F.sum(F.length("value")).alias("chars"))
 
 
+@query("source_text_numbered", f"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)
+SELECT n, value FROM (SELECT row_number() OVER (ORDER BY conv_id, turn, i) AS n, value FROM l) WHERE value <> ''""")
+def source_text_numbered(spark, sf):
+    folder = scratch(spark, "numbered")
+    lines = Tables(spark, sf).raw("conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "value"))
+    lines.orderBy("conv_id", "turn", "i").select("value").coalesce(1).write.text(folder)  # one file
+    return X.scan_text(spark, folder).select(F.regexp_extract("source_path", ":line_([0-9]+)$", 1).cast("long").alias("n"), "value")
+
+
+@query("source_files_lines", f"""
+SELECT 'part.txt' AS field_name, value, count(*) AS n FROM ({_LINES}) WHERE value <> '' GROUP BY 2""")
+def source_files_lines(spark, sf):
+    folder = scratch(spark, "tree")
+    lines = Tables(spark, sf).raw("conversations").select(F.explode(F.split("text", "\n")).alias("value"))
+    lines.write.text(f"{folder}/a/b")
+    Tables(spark, sf).raw("nation").write.json(f"{folder}/skipped")
+    found = X.scan_files(spark, folder, extensions=[".txt"])
+    return found.groupBy(F.regexp_replace("field_name", r"^part-.*\.txt$", "part.txt").alias("field_name"), "value").agg(F.count("*").alias("n"))
+
+
+@query("source_files_listed", "SELECT 'no_text' AS status, 1::BIGINT AS files UNION ALL SELECT 'read', 1 UNION ALL SELECT 'too_large', CASE WHEN (SELECT sum(octet_length(encode(text)) + 1) FROM (SELECT replace(text, chr(10), ' ') AS text FROM conversations)) > 1000 THEN 1 ELSE 0 END")
+def source_files_listed(spark, sf):
+    folder, t = scratch(spark, "listed"), Tables(spark, sf)
+    t.raw("conversations").select(F.translate("text", "\n", " ").alias("value")).coalesce(1).write.text(f"{folder}/a")
+    t.raw("region").select("r_name").coalesce(1).write.text(f"{folder}/b/c")
+    t.raw("nation").coalesce(1).write.orc(f"{folder}/d")
+    files = X.listed_files(spark, folder, 1000).filter(~F.col("source_path").rlike(r"/[._][^/]*$"))
+    return files.groupBy("status").agg(F.count("*").alias("files"))
+
+
+@query("source_objects", "SELECT value, count(*) AS n FROM (SELECT c_custkey || ',' || c_name AS value FROM customer) GROUP BY 1")
+def source_objects(spark, sf):
+    folder = scratch(spark, "objects")
+    rows = Tables(spark, sf).raw("customer").select("c_custkey", "c_name")
+    rows.write.csv(f"{folder}/bucket/x")
+    return X.scan_objects(spark, folder, [".csv"]).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("source_csv_line_breaks", """
+SELECT conv_id || '/' || turn AS place, 'text' AS field_name, md5(text) AS value FROM conversations WHERE text <> ''""")
+def source_csv_line_breaks(spark, sf):
+    folder = scratch(spark, "breaks")
+    rows = Tables(spark, sf).raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("place"), "text")
+    rows.write.csv(folder, header=True, escape='"', quoteAll=True)
+    cells = X.scan_csv(spark, folder, "place").filter("field_name = 'text'")
+    return cells.select(F.regexp_extract("source_path", r":row_(.*)\.text$", 1).alias("place"), "field_name", F.md5("value").alias("value"))
+
+
 _HTML = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', chr(10), 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', chr(10), 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g')"
-for _ent, _ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+for _ent, _ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", chr(0xA0)), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_ent}', '{_ch}')"
 
 
 @query("source_html", f"""
-SELECT page_id, url AS source_path, value FROM (SELECT page_id, url, regexp_replace(unnest(string_split({_HTML}, chr(10))), '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g') AS value FROM pages) WHERE value <> ''""")
+SELECT page_id, url AS source_path, value FROM (SELECT page_id, url, regexp_replace(unnest(string_split({_HTML}, chr(10))), '^[ \\t\\r\\f\\v\\x{{A0}}]+|[ \\t\\r\\f\\v\\x{{A0}}]+$', '', 'g') AS value FROM pages) WHERE value <> ''""")
 def source_html(spark, sf):
     pages = Tables(spark, sf).raw("pages")
     return X.html_text(pages, "html", F.col("url"), ["page_id"]).select("page_id", "source_path", "value")
 
 
-_HTML_RECORDS = f"(SELECT regexp_replace(unnest(string_split({_HTML}, chr(10))), '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g') AS value, 'text' AS field_name, url AS source_path FROM pages)"
+@query("source_html_entities", f"""
+SELECT page_id, url AS source_path, value FROM (SELECT page_id, url, regexp_replace(unnest(string_split({_HTML}, chr(10))), '^[ \\t\\r\\f\\v\\x{{A0}}]+|[ \\t\\r\\f\\v\\x{{A0}}]+$', '', 'g') AS value FROM pages) WHERE value <> ''""")
+def source_html_entities(spark, sf):
+    """The same pages with characters of the text written as references, quoted ">" in tags, and a script that is not closed."""
+    pages = Tables(spark, sf).raw("pages")
+    text = F.regexp_replace("html", r"e(?=[^<>]*<(?!/?(?:script|style)))", "&#x65;")
+    for ch, ref in (("o", "&#111;"), (",", "&comma;")):
+        text = F.regexp_replace(text, rf"{ch}(?=[^<>&;]*<(?!/?(?:script|style)))", ref)
+    odd = F.regexp_replace(text, r"<p>", """<p title="a > b" class='x>y'>""")
+    marked = pages.withColumn("html", F.concat(odd, F.lit("<!-- > --><script>var a = 'x@y.in';")))
+    return X.html_text(marked, "html", F.col("url"), ["page_id"]).select("page_id", "source_path", "value")
+
+
+_HTML_RECORDS = f"(SELECT regexp_replace(unnest(string_split({_HTML}, chr(10))), '^[ \\t\\r\\f\\v\\x{{A0}}]+|[ \\t\\r\\f\\v\\x{{A0}}]+$', '', 'g') AS value, 'text' AS field_name, url AS source_path FROM pages)"
 
 
 @query("detect_in_html", f"SELECT source_path, pattern_name, sha256(matched_value) AS value_hash, score FROM ({findings_sql(P.BUILTIN, _HTML_RECORDS)}) f")
@@ -480,6 +551,26 @@ def source_email(spark, sf):
     return fields.select("source_path", "field_name", F.md5(F.regexp_replace("value", r"\n\z", "")).alias("value"))
 
 
+_PARTS = """
+SELECT p || ':body' AS source_path, 'body_part' AS field_name, md5(text) AS value, 2::BIGINT AS n FROM m WHERE text <> '' GROUP BY p, text"""
+
+
+@query("source_email_parts", f"""
+WITH m AS (SELECT text, 'mail:' || conv_id || '.' || turn AS p FROM conversations)
+SELECT p || ':header.From' AS source_path, 'from' AS field_name, md5('a@b.in') AS value, 1::BIGINT AS n FROM m UNION ALL {_PARTS}""")
+def source_email_parts(spark, sf):
+    """Nested multiparts; the text is there quoted-printable in ISO 8859-1 or UTF-8, and base64."""
+    quoted = "regexp_replace(replace(text, '=', '=3D'), '(?<=[a-z]{30} )', '=\n')"
+    raw = Tables(spark, sf).raw("conversations").selectExpr("'mail:' || conv_id || '.' || turn AS p", f"""concat(
+        'From: a@b.in\r\nContent-Type: multipart/mixed;\r\n boundary="A A"\r\n\r\nno part\r\n--A A\r\n',
+        'Content-Type: multipart/alternative; boundary=B.B\n\n--B.B\nContent-Type: text/plain; charset=utf-8\n',
+        'Content-Transfer-Encoding: quoted-printable\n\n', {quoted}, '\n--B.B\nContent-Type: text/html; charset="UTF-8"\n',
+        'Content-Transfer-Encoding: BASE64\n\n', base64(encode(text, 'UTF-8')), '\n--B.B--\nno part\n--A A\n',
+        'Content-Type: image/png\n\n', repeat('AAAA\n', 50), '--A A--\nno part') AS raw""")
+    fields = X.email_fields(raw, "raw", F.col("p"))
+    return fields.groupBy("source_path", "field_name", F.md5("value").alias("value")).agg(F.count("*").alias("n"))
+
+
 @query("source_json", """
 SELECT 'events.' || event_id || '.k' AS source_path, 'k' AS field_name, json_extract_string(props, '$.k') AS value FROM events""")
 def source_json(spark, sf):
@@ -502,6 +593,18 @@ def source_json_nested(spark, sf):
                           F.lit("crm"), ["c_custkey"]).select("c_custkey", "field_name", "value")
 
 
+@query("source_json_open", """
+SELECT c_custkey, 'name' AS field_name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'home.nation', c_nationkey::VARCHAR FROM customer
+UNION ALL SELECT c_custkey, 'home.geo.code', 'n' || c_nationkey FROM customer UNION ALL SELECT c_custkey, 'tags', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'tags', 'all' FROM customer
+UNION ALL SELECT c_custkey, 'items.sku', 's' || c_custkey FROM customer UNION ALL SELECT c_custkey, 'items.sku.deep', 't' FROM customer""")
+def source_json_open(spark, sf):
+    """Documents whose shape is not known and differs from element to element."""
+    docs = Tables(spark, sf).raw("customer").selectExpr("c_custkey", """concat('{"home":', to_json(named_struct('nation', c_nationkey, 'geo',
+        named_struct('code', 'n' || c_nationkey))), ',"name":"', c_name, '","tags":["', c_mktsegment, '",["all"]],"items":[{"sku":"s', c_custkey,
+        '"},{"sku":{"deep":"t","none":null}}]}') AS doc""")
+    return X.flatten_open_json(docs, "doc", F.lit("crm"), ["c_custkey"]).select("c_custkey", "field_name", "value")
+
+
 @query("source_key_values", "SELECT 'redis:' || n_nationkey AS source_path, n_nationkey::VARCHAR AS field_name, n_name AS value FROM nation")
 def source_key_values(spark, sf):
     return X.scan_kv(Tables(spark, sf).raw("nation"), "n_nationkey", "n_name").select("source_path", "field_name", "value")
@@ -514,15 +617,48 @@ def source_messages(spark, sf):
         "source_path", "field_name", F.md5("value").alias("value"))
 
 
-@query("scan_with_failed_source", "SELECT 'crm' AS source_type, 'ok' AS status UNION ALL SELECT 'lost', 'failed'")
-def scan_with_failed_source(spark, sf):
-    from datavigil.sources.scan import Source, scan_all
+_CRM = "(SELECT * FROM records WHERE source_path LIKE 'crm.%')"
 
-    t = Tables(spark, sf)
-    _, status = scan_all(spark, [
-        Source("crm", "db-1", lambda s: t.records, ["PAN"]),
-        Source("lost", "db-2", lambda s: X.scan_parquet(s, f"{sf}/no_such_table.parquet"), ["PAN"])])
-    return status.select("source_type", "status")
+
+@query("scan_with_failed_source", f"""
+SELECT 'crm' AS source_type, 'ok' AS status, count(*) AS findings FROM ({findings_sql(P.select_patterns(['PAN']), _CRM)}) f
+UNION ALL SELECT 'lost', 'failed', 0 UNION ALL SELECT 'torn', 'failed', 0""")
+def scan_with_failed_source(spark, sf):
+    """One source is not there, one fails while it is read, after rows with findings."""
+    from datavigil.sources.scan import Source, scan_each
+
+    t, torn = Tables(spark, sf), scratch(spark, "torn")
+    t.identity.write.parquet(f"{torn}/good")
+    t.raw("nation").select("n_name").coalesce(1).write.text(f"{torn}/bad")
+    schema = t.identity.schema
+
+    def crm(s):
+        return t.identity.selectExpr("text AS value", "'profile' AS field_name", "'crm.customer.' || c_custkey AS source_path")
+
+    def half(s):
+        files = s.read.schema(schema).option("recursiveFileLookup", "true").parquet(torn)
+        return files.selectExpr("text AS value", "'profile' AS field_name", "'torn.customer.' || c_custkey AS source_path")
+
+    found, status = scan_each(spark, [
+        Source("crm", "db-1", crm, ["PAN"]), Source("lost", "db-2", lambda s: X.scan_parquet(s, f"{sf}/no_such_table.parquet"), ["PAN"]),
+        Source("torn", "db-3", half, ["PAN"])], folder=scratch(spark, "scan"))
+    counts = found.groupBy(F.col("data_source").alias("source_type")).agg(F.count("*").alias("findings"))
+    return status.drop("findings").join(counts, "source_type", "left").select("source_type", "status", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@query("versioned_upsert", """
+SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'new' ELSE c_name END AS c_name, CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS version FROM customer
+UNION ALL SELECT -c_custkey, c_name, 2 FROM customer WHERE c_nationkey = 4""")
+def versioned_upsert(spark, sf):
+    from datavigil.sources.versions import VersionedTable
+
+    rows = Tables(spark, sf).raw("customer")
+    old = rows.selectExpr("c_custkey", "c_name", "1 AS version")
+    table = VersionedTable(spark, scratch(spark, "versions"), ["c_custkey"])
+    table.create(old)
+    table.upsert(rows.filter("c_nationkey = 3").selectExpr("c_custkey", "'new' AS c_name", "2 AS version")
+                 .union(rows.filter("c_nationkey = 4").selectExpr("-c_custkey", "c_name", "2")), "version")
+    return table.read(old.schema)
 
 
 # --- samples and sinks ----------------------------------------------------------------------------------------------

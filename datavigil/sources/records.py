@@ -6,18 +6,21 @@ line, message or file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datavigil.functions import markup as M
+
 COLUMNS = ["value", "field_name", "source_path", "row_context", "is_structured", "metadata"]
 
 # Extensions read as text in object stores, and in directories.
 TEXT_EXTENSIONS = [".txt", ".csv", ".json", ".xml", ".log", ".md", ".yaml", ".yml", ".html", ".htm", ".tsv"]
 
-# E-mail headers kept, and the tags whose text is dropped.
+# E-mail headers kept.
 MAIL_HEADERS = ["From", "To", "Cc", "Subject", "Reply-To"]
-SILENT_TAGS = ["script", "style"]
 
 # Schemas that hold no user tables.
 SYSTEM_SCHEMAS = {
@@ -78,8 +81,10 @@ def scan_avro(spark: SparkSession, path: str, row_key: str | None = None) -> Dat
     return _file_rows(spark.read.format("avro").load(path), row_key)
 
 
-def scan_csv(spark: SparkSession, path: str, row_key: str | None = None, sep: str = ",") -> DataFrame:
-    df = spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, mode="PERMISSIVE", multiLine=False)
+def scan_csv(spark: SparkSession, path: str, row_key: str | None = None, sep: str = ",", lines: bool = False) -> DataFrame:
+    """Cells may hold line breaks in quotes, so a file is read by one task; with `lines`, files whose rows are lines are split."""
+    df = spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, mode="PERMISSIVE", multiLine=not lines,
+                        escape='"')
     return _file_rows(df, row_key)
 
 
@@ -90,66 +95,129 @@ def _file_rows(df: DataFrame, row_key: str | None) -> DataFrame:
     return field_records(df, "", columns=df.columns, path=path)
 
 
-def scan_text(spark: SparkSession, path: str) -> DataFrame:
-    """One record per non-empty line, path `file:line_n`. A file is one row, so line numbers need no shuffle."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    lines = files.select("_file", F.posexplode(F.split("value", r"\r?\n")).alias("_n", "_line"))
-    return _as_record(lines, [], F.col("_line"), F.lit("line"),
-                      F.concat(F.col("_file"), F.lit(":line_"), (F.col("_n") + 1).cast("string")), False)
+def scan_text(spark: SparkSession, path: str, extensions: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """One record per non-empty line, path `file:line_n`. Files of any size are read in splits.
 
-
-def scan_files(spark: SparkSession, folder: str, max_bytes: int, extensions: list[str] = TEXT_EXTENSIONS) -> DataFrame:
-    """One record per file under a folder. Files above the size limit are skipped by their listed size, unread."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
-    kept = files.filter((F.col("_size") <= max_bytes) & _has_extension(F.col("_file"), extensions))
-    return _as_record(kept, [], F.col("value"), F.substring_index("_file", "/", -1), F.col("_file"), False)
+    A first pass counts the lines of each split, their sums over a file's earlier splits are where a split's numbers begin,
+    and inside a split the rows come in order. Only the numbers of splits are summed, one row for each.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
+    rows = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                      F.col("_metadata.file_size").alias("_size"), F.monotonically_increasing_id().alias("_id"))
+    if extensions is not None:
+        rows = rows.filter(_has_extension(F.col("_file"), extensions))
+    if max_bytes is not None:
+        rows = rows.filter(F.col("_size") <= max_bytes)
+    splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    lines = rows.join(splits.drop("_n"), ["_file", "_start"])
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return _as_record(lines, [], F.regexp_replace("value", r"\r\z", ""), F.lit("line"),
+                      F.concat(F.col("_file"), F.lit(":line_"), number.cast("string")), False)
+
+
+def listed_files(spark: SparkSession, folder: str, max_bytes: int | None = None, extensions: list[str] = TEXT_EXTENSIONS) -> DataFrame:
+    """(source_path, size, status) of every file under a folder: `read`, `too_large` or `no_text`. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    status = F.when(~_has_extension(F.col("path"), extensions), "no_text")
+    if max_bytes is not None:
+        status = status.when(F.col("length") > max_bytes, "too_large")
+    return files.select(F.col("path").alias("source_path"), F.col("length").alias("size"), status.otherwise("read").alias("status"))
+
+
+def scan_files(spark: SparkSession, folder: str, max_bytes: int | None = None, extensions: list[str] = TEXT_EXTENSIONS,
+               by: str = "line") -> DataFrame:
+    """Records of the text files under a folder, named by the file: one per line, as in scan_text and for files of any size,
+    or one per `file`, whose whole text is then in one row.
+
+    Files above max_bytes are skipped by their listed size, unread; without it none is. listed_files has a row for each.
+    """
+    if by == "file":
+        files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+        kept = files.filter(_has_extension(F.col("_file"), extensions))
+        if max_bytes is not None:
+            kept = kept.filter(F.col("_size") <= max_bytes)
+        return _as_record(kept, [], F.col("value"), F.substring_index("_file", "/", -1), F.col("_file"), False)
+    lines = scan_text(spark, folder, extensions, max_bytes=max_bytes)
+    return lines.withColumn("field_name", F.regexp_extract("source_path", r"([^/]*):line_[0-9]+\z", 1))
 
 
-def scan_objects(spark: SparkSession, uri: str, extensions: list[str] = TEXT_EXTENSIONS) -> DataFrame:
-    """Text-like objects under an object-store prefix (`s3a://`, `gs://`, or any Hadoop path)."""
-    files = spark.read.text(uri, wholetext=True, recursiveFileLookup=True).select(
-        "value", F.col("_metadata.file_path").alias("_file"))
-    kept = files.filter(_has_extension(F.col("_file"), extensions))
-    return _as_record(kept, [], F.col("value"), F.substring_index("_file", "/", -1), F.col("_file"), False)
+def scan_objects(spark: SparkSession, uri: str, extensions: list[str] = TEXT_EXTENSIONS, max_bytes: int | None = None,
+                 by: str = "line") -> DataFrame:
+    """Text-like objects under an object-store prefix (`s3a://`, `gs://`, or any Hadoop path), as scan_files reads them."""
+    return scan_files(spark, uri, max_bytes, extensions, by)
 
 
 def _has_extension(path: Column, extensions) -> Column:
     return F.lower(path).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z")
 
 
+# White space of the standard, at the ends of a line of text.
+_BLANK = r"[ \t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def html_text(df: DataFrame, html_col: str, source_path: Column, keep: list[str] = ()) -> DataFrame:
-    """Text lines of a page: scripts, styles and comments dropped, tags become line ends, entities decoded."""
-    c = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->", "\n")
-    for tag in SILENT_TAGS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", "\n")
-    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(ch))
-    lines = df.select(*keep, source_path.alias("_path"), F.explode(F.split(c, "\n")).alias("_line"))
-    bare = F.regexp_replace("_line", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
+    """Text lines of a page: comments, scripts and styles dropped, closed or not, tags become line ends, also those with ">" in
+    quotes, and all named and numeric character references are decoded."""
+    lines = df.select(*keep, source_path.alias("_path"), F.explode(F.split(M.markup_text(F.col(html_col)), "\n")).alias("_line"))
+    bare = F.regexp_replace(M.decode_entities(F.col("_line")), rf"^{_BLANK}++|{_BLANK}+\z", "")
     return _as_record(lines, list(keep), bare, F.lit("text"), F.col("_path"), False)
 
 
-def email_fields(df: DataFrame, raw_col: str, source_path: Column, keep: list[str] = ()) -> DataFrame:
-    """Header fields and body of raw messages; folded header lines are joined, multipart bodies split at the boundary."""
-    raw = F.regexp_replace(F.col(raw_col), r"\r\n", "\n")
-    parts = F.split(raw, "\n\n", 2)
-    head = F.regexp_replace(F.get(parts, F.lit(0)), r"\n[ \t]+", " ")
-    body = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    boundary = F.regexp_extract(head, r'(?im)^content-type:\s*multipart/[^\n]*boundary="?([^"\n;]+)"?', 1)
-    fields = [
-        F.struct(F.lit(h.lower()).alias("_name"), F.lit(f":header.{h}").alias("_suffix"),
-                 F.trim(F.regexp_extract(head, rf"(?im)^{h}:([^\n]*)$", 1)).alias("_text")) for h in MAIL_HEADERS]
-    whole = F.array(F.struct(F.lit("body").alias("_name"), F.lit(":body").alias("_suffix"), body.alias("_text")))
-    pieces = F.filter(F.split(body, F.concat(F.lit(r"(?m)^--\Q"), boundary, F.lit(r"\E(?:--)?[ \t]*\n?"))),
-                      lambda p: F.trim(p) != "")
-    text_pieces = F.filter(pieces, lambda p: ~p.rlike(r"(?is)\A(?:(?!\n\n).)*?content-type:[ \t]*+(?!text/)"))
-    multi = F.transform(text_pieces, lambda p: F.struct(
-        F.lit("body_part").alias("_name"), F.lit(":body").alias("_suffix"),
-        F.regexp_replace(p, r"(?s)\A(?:[^\n]+\n)*\n", "").alias("_text")))
-    rows = F.concat(F.array(*fields), F.when(boundary != "", multi).otherwise(whole))
-    cells = df.select(*keep, source_path.alias("_path"), F.inline(rows))
+def _mail_header(head: Column, name: str) -> Column:
+    """Value of a header field in unfolded header lines; empty if it is not there."""
+    return F.trim(F.regexp_extract(head, rf"(?im)^{name}:([^\n]*+)$", 1))
+
+
+def _headed(text: Column) -> Column:
+    """Header and body of a message or part: the part up to the first empty line, if it begins with a header field. Folded
+    header lines are joined."""
+    cut = F.split(text, r"(?<=\n)\n", 2)
+    has = text.rlike(r"\A[!-9;-~]++[ \t]*+:")
+    head = F.when(has, F.regexp_replace(F.get(cut, F.lit(0)), r"\n[ \t]+", " ")).otherwise("")
+    body = F.when(has, F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).otherwise(F.regexp_replace(text, r"\A\n", ""))
+    kind = _mail_header(head, "content-type")
+    return F.struct(
+        head.alias("head"), body.alias("body"), F.lower(F.regexp_extract(kind, r"^([^;\s]*+)", 1)).alias("kind"),
+        F.regexp_extract(kind, r"""(?i);\s*boundary=(?:"([^"]*+)"|([^;\s]*+))""", 1).alias("quoted"),
+        F.regexp_extract(kind, r"""(?i);\s*boundary=(?:"([^"]*+)"|([^;\s]*+))""", 2).alias("bare"),
+        F.regexp_extract(kind, r"""(?i);\s*charset="?([^";\s]*+)""", 1).alias("charset"),
+        _mail_header(head, "content-transfer-encoding").alias("encoding"))
+
+
+def email_fields(df: DataFrame, raw_col: str, source_path: Column, keep: list[str] = (), levels: int = 8) -> DataFrame:
+    """Header fields and text bodies of raw messages.
+
+    Multipart bodies are split at their boundary, level by level, what stands before the first and behind the closing boundary
+    dropped; of the parts those of text, or without a content type, are records, decoded by their transfer encoding and
+    charset. A single body counts if it is text or names no type. Parts nested deeper than `levels` come undivided.
+    """
+    raw = F.concat(F.regexp_replace(F.col(raw_col), r"\r\n", "\n"), F.lit("\n"))
+    # a message that ends with its headers has an empty body; the line end put there is taken away again
+    whole = df.select(*keep, source_path.alias("_path"), _headed(raw).alias("_part")).withColumn(
+        "_part", F.col("_part").withField("body", F.regexp_replace(F.col("_part.body"), r"\n\z", "")))
+    fields = F.array(*[F.struct(F.lit(h.lower()).alias("_name"), F.lit(f":header.{h}").alias("_suffix"),
+                                _mail_header(F.col("_part.head"), h).alias("_text")) for h in MAIL_HEADERS])
+    cells = whole.select(*keep, "_path", F.inline(fields))
+    rows, name = whole, "body"
+    for level in range(levels + 1):
+        boundary = F.coalesce(F.nullif(F.col("_part.quoted"), F.lit("")), F.col("_part.bare"))
+        divided = F.col("_part.kind").startswith("multipart/") & (boundary != "") & F.lit(level < levels)
+        text = (F.col("_part.kind") == "") | F.col("_part.kind").startswith("text/") | F.col("_part.kind").startswith("multipart/")
+        body = M.transfer_decoded(F.col("_part.body"), F.col("_part.encoding"), F.col("_part.charset"))
+        leaves = rows.filter(~divided & text).select(*keep, "_path", F.lit(name).alias("_name"), F.lit(":body").alias("_suffix"), body.alias("_text"))
+        cells = cells.unionByName(leaves)
+        if level == levels:
+            break
+        mark = F.concat(F.lit(r"\n--\Q"), boundary, F.lit(r"\E"))
+        open_ = F.get(F.split(F.concat(F.lit("\n"), F.col("_part.body"), F.lit("\n")), F.concat(mark, F.lit(r"--[ \t]*\n")), 2), F.lit(0))
+        pieces = F.split(F.concat(open_, F.lit("\n")), F.concat(mark, F.lit(r"[ \t]*(?=\n)")))
+        pieces = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.regexp_replace(p, r"\A\n", ""))
+        rows = rows.filter(divided).select(*keep, "_path", F.explode(pieces).alias("_piece")).select(*keep, "_path", _headed(F.col("_piece")).alias("_part"))
+        rows = rows.withColumn("_part", F.col("_part").withField("body", F.regexp_replace(F.col("_part.body"), r"\n\z", "")))
+        name = "body_part"
     return _as_record(cells, list(keep), F.col("_text"), F.col("_name"), F.concat("_path", "_suffix"), False)
 
 
@@ -216,8 +284,24 @@ def _leaf(c: Column, name: str) -> Column:
 
 
 def flatten_open_json(df: DataFrame, json_col: str, source: Column, keep: list[str] = ()) -> DataFrame:
-    """Top-level keys of documents without a known schema; nested values stay JSON text."""
-    return flatten_json(df, json_col, T.MapType(T.StringType(), T.StringType()), source, keep)
+    """Leaves of documents without a known schema, at any depth, nested keys dotted; array elements share the key of the array.
+
+    Documents are variants, opened level by level until no object or array is left; texts that are no JSON give no rows.
+    """
+    spark = df.sparkSession
+    rows = df.select(*keep, source.alias("_path"), F.lit("").alias("_name"), F.try_parse_json(json_col).alias("_open"))
+    parts = []
+    while True:
+        inner = rows.lateralJoin(spark.tvf.variant_explode(F.col("_open").outer()))
+        name = F.when(F.col("key").isNull(), F.col("_name")).when(F.col("_name") == "", F.col("key")).otherwise(
+            F.concat("_name", F.lit("."), "key"))
+        inner = inner.select(*keep, "_path", name.alias("_name"), F.col("value").alias("_open"),
+                             F.schema_of_variant("value").rlike("^(?:OBJECT|ARRAY)<").alias("_more"))
+        leaf = F.try_variant_get("_open", "$", "string")
+        parts.append(_as_record(inner.filter("NOT _more"), list(keep), leaf, F.col("_name"), F.concat_ws(".", "_path", "_name"), True))
+        rows = inner.filter("_more").drop("_more")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
 
 
 def scan_kv(df: DataFrame, key_col: str, value_col: str, scheme: str = "redis") -> DataFrame:
