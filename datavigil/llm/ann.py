@@ -68,14 +68,15 @@ class Tree:
                 kids = np.array(self.children[parent])
                 node[own] = kids[_nearest(vectors[own], self.centers[kids])]
 
-    def walk(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
+    def walk(self, query: np.ndarray, visits: int, sizes: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order, and further ones until they hold `need` rows, if sizes are given."""
         promise = self.centers @ query
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or sizes is not None and held < need):
             _, node = heapq.heappop(queue)
-            if self.leaf_of[node] >= 0:
-                out.append(int(self.leaf_of[node]))
+            if (leaf := int(self.leaf_of[node])) >= 0:
+                out.append(leaf)
+                held += 0 if sizes is None else int(sizes[leaf])
             for child in self.children[node]:
                 heapq.heappush(queue, (-promise[child], child))
         return out
@@ -205,22 +206,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             calibration: int = CALIBRATION) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query row (is_query on vec_id).
 
-    Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part; neither do
-    vectors of another length than the most frequent one. A row is no candidate for queries of its own id. Repeated rows
-    are candidates each and, as queries, answered once. Ties go to the smaller vec_id. No usable rows give no rows. The
-    tree is fitted on at most max_sample rows (picked by a hash of the id); every row is in the index.
+    Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part; vectors of one
+    length are searched among themselves. A row is no candidate for queries of its own id. Repeated rows are candidates
+    each; as queries they are answered once for each length, with the smallest vector of the id. Ties go to the smaller
+    vec_id. A query gets k rows wherever there are k candidates. No usable rows give no rows. A tree is fitted on at most
+    max_sample rows (picked by a hash of the id); every row is in the index.
     """
     good = usable(vectors, id_col, vector_col)
-    length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if length is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    good, total = good.where(F.size("v") == length["n"]), length["count"]
+    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").collect()  # a row per length
+    found = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for length in lengths:
+        own = good.where(F.size("v") == length["n"]) if len(lengths) > 1 else good
+        found = found.union(_nearest_of(own, length["count"], is_query, k, recall, leaf_rows, part_rows, max_sample, calibration))
+    return found
+
+
+def _nearest_of(good: DataFrame, total: int, is_query: Column, k: int, recall: float, leaf_rows: int, part_rows: int, max_sample: int,
+                calibration: int) -> DataFrame:
     sample = good.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(max_sample).select("v").collect()
     sample = np.array([r["v"] for r in sample])
     tree = grow(sample, max(8, leaf_rows * len(sample) // total))
     visits = calibrate(good, tree, is_query, k, recall, calibration)
-    spark = vectors.sparkSession
+    spark = good.sparkSession
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
@@ -233,14 +240,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     # a row per leaf, so at most as many as the sample has rows
     sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
     cell_of, rows = tree.cells(sizes, part_rows)
-    cells = spark.sparkContext.broadcast(cell_of)
+    cells = spark.sparkContext.broadcast((cell_of, np.array([sizes.get(i, 0) for i in range(tree.leaves)])))
 
     def route(batches):
         for batch in batches:
             ids, places, cell, leaves = batch.column(0), [], [], []
+            own_rows = batch.column(2).to_pylist()
             for i, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
-                walk = np.array(shared.value.walk(q, visits))
-                own = cells.value[walk]
+                walk = np.array(shared.value.walk(q, visits, cells.value[1], k + own_rows[i]))
+                own = cells.value[0][walk]
                 for c in np.unique(own):
                     places.append(i)
                     cell.append(c)
@@ -249,7 +257,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(cell, pa.int64()),
                                               pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "q", "cell", "leaves"])
 
-    probes = (good.where(is_query).dropDuplicates(["vec_id"])
+    probes = (good.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("n"))
               .mapInArrow(route, "query_id bigint, q array<double>, cell bigint, leaves array<bigint>"))
     asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}  # a row per cell
     parts = F.broadcast(spark.createDataFrame(

@@ -37,8 +37,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 @dataclass
 class Passages:
-    """A block of items: passages as word hashes, and their seeds sorted by hash."""
+    """A block of items: their ids, passages as word hashes with the number of their item, and their seeds sorted by hash."""
 
+    ids: list
     items: np.ndarray
     words: list[np.ndarray]
     grams: np.ndarray
@@ -85,8 +86,9 @@ def _collect(rows: list) -> Passages:
     bounds = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
     codes, places = _grams(np.concatenate(words) if words else np.empty(0, np.uint64), bounds)
     passage = np.searchsorted(bounds, places, side="right") - 1
-    items = np.array([-1 if r["item_id"] is None else r["item_id"] for r in rows], np.int64)
-    return Passages(items, words, codes, passage, places - bounds[passage])
+    number: dict = {}
+    items = np.array([number.setdefault(r["item_id"], len(number)) for r in rows], np.int64)
+    return Passages(list(number), items, words, codes, passage, places - bounds[passage])
 
 
 def _rarest(block: Passages, counts: dict[int, int]) -> Passages:
@@ -99,7 +101,7 @@ def _rarest(block: Passages, counts: dict[int, int]) -> Passages:
             keep[start + int(np.argmin(df[start:min(start + WINDOW, b)]))] = True
     seeds = np.flatnonzero(keep)
     seeds = seeds[np.argsort(block.grams[seeds], kind="stable")]
-    return Passages(block.items, block.words, block.grams[seeds], block.gram_passage[seeds], block.gram_place[seeds])
+    return Passages(block.ids, block.items, block.words, block.grams[seeds], block.gram_passage[seeds], block.gram_place[seeds])
 
 
 def _document_counts(texts: DataFrame, grams: np.ndarray) -> dict[int, int]:
@@ -142,7 +144,7 @@ def align(item: np.ndarray, doc: np.ndarray) -> int:
 
 
 def _found(words: np.ndarray, bounds: np.ndarray, block: Passages, threshold: float) -> list[tuple[int, int, float]]:
-    """(text, item, score) for texts of a slice; per pair the best passage."""
+    """(text, number of the item, score) for texts of a slice; per pair the best passage."""
     codes, places = _grams(words, bounds)
     if not len(block.grams) or not len(codes):
         return []
@@ -198,8 +200,8 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, score): documents that hold an item whole or edited, score from threshold to 1.
 
     Words are lower-cased and cut at white space and ASCII punctuation. Items of fewer than three words, null or empty
-    ones match nothing, as do null or empty texts; a null item id is given as -1. Equal items each give a row, equal documents
-    too. An item longer than 256 words counts by its best passage, so 128 of its words in a row are found wherever they are
+    ones match nothing, as do null or empty texts; a null item id is an id like others. Items with one id are one item, equal documents
+    each give a row. An item longer than 256 words counts by its best passage, so 128 of its words in a row are found wherever they are
     cut out. Items of at most six words match as a whole only, edited ones of at most eleven with the value of six words in a row. No items or no documents give no rows.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
@@ -214,7 +216,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                     words, bounds = A.word_hashes(data, offsets[i:j + 1], A.PUNCTUATION)
                     for d, item, score in _found(words, bounds, shared.value, threshold):
                         ids.append(i + d)
-                        rows.append((item, score))
+                        rows.append((shared.value.ids[item], score))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(ids, pa.int64())), pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.float64())], ["doc_id", "item_id", "score"])

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from datavigil.llm.components import stored
 
 
-def numbered(df: DataFrame, by: str, order: list[Column], pos: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, by: str, order: list[Column], pos: str = "pos", ranges: int | None = None) -> DataFrame:
     """df with pos: the place, from 0, of each row among those with the same value (not null) of the integer column `by`.
 
-    Rows are sorted by ranges of (by, order), so a group of any size is spread over tasks; ties of the order are split at
-    will. What a task needs of the tasks before it is the number of rows of one group in each range.
+    Rows are sorted by ranges of (by, order), as many as the session has shuffle partitions if not said otherwise, so a group
+    of any size is spread over tasks. Rows equal in all of it stay together, in any order. What a task needs of the tasks before it is the number of rows of one group in each range.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("__run", T.LongType()), T.StructField("__part", T.IntegerType())])
     place = df.columns.index(by)
@@ -38,7 +38,8 @@ def numbered(df: DataFrame, by: str, order: list[Column], pos: str = "pos") -> D
                                              [*batch.schema.names, "__run", "__part"])
 
     keys = [F.col(by), *order]
-    swept = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
+    ranged = df.repartitionByRange(*keys) if ranges is None else df.repartitionByRange(ranges, *keys)
+    swept = stored(ranged.sortWithinPartitions(*keys).mapInArrow(run, schema))
     # of each range the last group only can go on in the next one
     tails = swept.groupBy("__part").agg(F.max(by).alias("last"), F.min(by).alias("head"), F.count("*").alias("n"))
     ends = (swept.join(F.broadcast(tails.select("__part", "last")), "__part").where(F.col(by) == F.col("last"))

@@ -4,31 +4,22 @@ The rows of each source are put in a seeded random order; the row of rank r amon
 are sorted by place and cut into equal pieces. So every piece holds every source in its share, and the counts of two
 pieces differ by one at most.
 
-Ranks are exact and no window holds a whole source: rows are counted per (source, hash bucket), the counts are summed
-over the buckets, and only inside a bucket are rows numbered. The same is done for the sort by place. A source with a
-third of all rows is spread over as many buckets as its rows need; the buckets do not change the result.
+Ranks are exact and no window holds a whole source: rows are sorted by ranges of (source, random number), and a task needs of
+those before it only how many rows of its first source they have. The sort by place is numbered in the same way. Sources with
+a third of all rows, many sources with the same places and rows that are repeated are spread over as many ranges as their
+rows need; the ranges do not change the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 4096
-COARSE = 1024
-
+from datavigil.llm.components import stored
+from datavigil.llm.runs import numbered
 
-def _before(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., bucket, n) with `before`: the rows in smaller buckets; summed in two steps, so that no task gets all."""
-    counts = counts.withColumn("coarse", F.col("bucket").bitwiseAND(F.lit(-COARSE)))
-    inside = Window.partitionBy(*by, "coarse").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*by).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy(*by, "coarse").agg(F.sum("n").alias("coarse_n"))
-    sums = sums.withColumn("coarse_before", F.coalesce(F.sum("coarse_n").over(across), F.lit(0))).drop("coarse_n")
-    counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    keys = [*by, "coarse"]
-    return (counts.join(sums, keys)
-            .select(*by, "bucket", "n", (F.col("inside") + F.col("coarse_before")).alias("before")))
+#: Rows that a range holds, about.
+BUCKET_ROWS = 4096
 
 
 def interleave(docs: DataFrame, shards: int, stratum: Column, order: list[Column], seed: int = 0,
@@ -36,31 +27,22 @@ def interleave(docs: DataFrame, shards: int, stratum: Column, order: list[Column
     """docs with shard (0 to shards - 1) and slot (0, 1, ... within the shard).
 
     stratum is the source of a row, null is a source of its own; order names what tells rows apart: rows equal in all of it
-    are ranked in any order, which shows only in columns outside of it. An empty table gives no rows; with fewer rows than
-    shards some shards stay empty. Columns of docs named shard or slot are replaced.
+    are ranked in any order, which shows only in columns outside of it. Of rows with the same place that of the smaller hash
+    of source and place comes first. An empty table gives no rows; with fewer rows than shards some shards stay empty.
+    Columns of docs named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
     names = docs.columns
-    total = docs.count()
-    buckets = max(1, -(-total // bucket_rows))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(stratum.cast("string"), F.lit("")).alias("a"),
-                       stratum.isNull().alias("b"), F.xxhash64(F.lit(seed), *order).alias("h"), F.struct(*order).alias("tie"))
-    rows = rows.withColumn("stratum", F.struct("a", "b")).drop("a", "b")
-    rows = rows.withColumn("bucket", (F.shiftrightunsigned("h", 33) * buckets / F.lit(1 << 31)).cast("long"))
-
-    counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("size"))
-    own = Window.partitionBy("stratum", "bucket").orderBy(F.shiftrightunsigned("h", 33), "h", "tie")
-    rank = F.col("before") + F.row_number().over(own)
-    rows = rows.join(_before(counts, ["stratum"]).drop("n"), ["stratum", "bucket"]).withColumn("rank", rank)
-    rows = rows.drop("bucket", "before").join(sizes, "stratum")
-    rows = rows.withColumn("place", (F.col("rank") - 0.5) / F.col("size")).drop("rank", "size", "h", "tie")
-
-    rows = rows.withColumn("bucket", F.floor(F.col("place") * buckets))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    own = Window.partitionBy("bucket").orderBy("place", "stratum")
-    rows = rows.join(_before(counts, ["all"]).drop("n", "all"), "bucket")
-    rows = rows.withColumn("at", F.col("before") + F.row_number().over(own) - 1)
+    # the sources are told apart by a hash; rows get a number of their own, which is kept as they are written once
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(stratum.isNull(), F.coalesce(stratum.cast("string"), F.lit(""))).alias("stratum"),
+                              F.xxhash64(F.lit(seed), *order).alias("h"), F.xxhash64(F.lit(seed + 1), *order).alias("tie"), F.monotonically_increasing_id().alias("own")))
+    total = rows.count()
+    ranges = max(1, -(-total // bucket_rows))
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))
+    ranked = numbered(rows, "stratum", [F.col("h"), F.col("tie"), F.col("own")], "rank", ranges).join(sizes, "stratum")
+    placed = ranked.select("row", "own", ((F.col("rank") + 0.5) / F.col("size")).alias("place"), "stratum", F.lit(0).alias("all"))
+    mixed = placed.withColumn("by", F.xxhash64("stratum", "place"))
+    rows = numbered(mixed, "all", [F.col("place"), F.col("by"), F.col("own")], "at", ranges)
     shard = F.expr(f"at * {shards}L div {max(total, 1)}L")
     first = F.expr(f"((at * {shards}L div {max(total, 1)}L) * {total}L + {shards - 1}L) div {shards}L")
     return rows.select("row.*", shard.cast("int").alias("shard"), (F.col("at") - first).alias("slot"))

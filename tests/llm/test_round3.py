@@ -13,10 +13,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import tiktoken
 import tokenizers
 from pyspark.sql import functions as F
 
-from datavigil.llm import dualtree, packing, pretokens, queries, runs, tries
+from datavigil.llm import ann, decontam, dualtree, packing, pretokens, queries, runs, sharding, token_counts, tries
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -294,3 +296,103 @@ def test_numbered_groups_over_ranges(spark):
     for r in rows:
         by[r["g"]].append((r["pos"], r["v"]))
     assert all([p for p, _ in sorted(own)] == list(range(len(own))) and [v for _, v in sorted(own)] == sorted(v for _, v in own) for own in by.values())
+
+
+# ---- earlier operators
+
+RANKS = pretokens.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+ENC = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+def test_op6_leaves_stay_bounded_and_trees_are_kept():
+    rnd = random.Random(66)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    parts = ["a", "the", "'", "'ll", " ", "  ", "\n", "1", "!", "é", "l", "s"]
+
+    def count(w):
+        return len(pretokens.merge(w.encode(), RANKS))
+
+    for _ in range(25):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 5, 400, 3000])))
+        tree = token_counts.CountTree(find(text), find, count)
+        for _ in range(8):
+            a = rnd.randint(0, len(text))
+            b = rnd.randint(a, min(len(text), a + rnd.choice([0, 2, 1500])))
+            new = "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 4, 5000])))
+            text = text[:a] + new + text[b:]
+            tree.replace(a, b, new)
+            assert max(map(len, (tree.leaf(i) for i in range(len(tree.leaves))))) <= token_counts.LEAF
+            assert tree.text() == text and tree.total == len(ENC.encode_ordinary(text))
+            if rnd.random() < 0.5:
+                tree = token_counts.CountTree.load(text, tree.dump(), find, count)
+
+
+def test_op6_second_batch_costs_what_it_touches(spark):
+    texts = [None, "", "x" * 4000 + " end", "word 12 and more. " * 6000, "It's  the\n end "]
+    docs = spark.createDataFrame([(i, t, [(0, 0, "new ")] if i != 2 else None, "c") for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, edits array<struct<start:int,stop:int,new:string>>, pieces string")
+    built = token_counts.trees(docs, RANKS, public_tokenizers.PATTERN)
+    first = token_counts.edit(built, RANKS, public_tokenizers.PATTERN)
+    again = F.array(F.struct(F.lit(40_000).cast("int").alias("start"), F.lit(40_003).cast("int").alias("stop"), F.lit("Z 9").alias("new")))
+    second = token_counts.edit(first.drop("n_edits", "n_encoded_again").withColumn("edits", again), RANKS, public_tokenizers.PATTERN)
+    for r in second.collect():
+        old = (texts[r["doc_id"]] or "") if r["doc_id"] == 2 else "new " + (texts[r["doc_id"]] or "")
+        new = old[:40_000] + "Z 9" + old[40_003:]
+        assert r["text"] == new and r["n_tokens"] == len(ENC.encode_ordinary(new)) and r["n_encoded_again"] < 60 and r["pieces"] == "c"
+    empty = docs.limit(0)
+    assert token_counts.edit(token_counts.trees(empty, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_op9_null_item_ids(spark):
+    words = [f"w{i}x" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words), "k")], "doc_id bigint, text string, item_id string")
+    items = spark.createDataFrame([(None, " ".join(words[:20])), (-1, " ".join(words[30:50]))], "item_id bigint, text string")
+    assert {r["item_id"] for r in decontam.contaminations(docs, items).collect()} == {None, -1}
+
+
+def test_op2_all_queries_get_k_rows_and_lengths_are_apart(spark):
+    rnd = np.random.default_rng(22)
+    tight = [(i, [float(x) for x in 10 + 0.01 * rnd.normal(size=6)]) for i in range(3000)]
+    far = [(5000 + i, [float(x) for x in rnd.normal(size=6) * 100]) for i in range(30)]
+    short = [(9000 + i, [1.0, float(i)]) for i in range(25)]
+    hot = [(7777, [0.0, 0.0, 0.0, 0.0, 0.0, 50.0])] * 500
+    frame = spark.createDataFrame([*tight, *far, *short, *hot], "vec_id bigint, embedding array<double>").repartition(4)
+    rows = ann.nearest(frame, F.col("vec_id") % 7 == 0, leaf_rows=8, part_rows=256).collect()
+    got = Counter(r["query_id"] for r in rows)
+    for i, v in [*tight, *far, *short, *hot[:1]]:
+        if i % 7 == 0:
+            assert got[i] == 20
+    assert all((r["query_id"] >= 9000) == (r["vec_id"] >= 9000) for r in rows)
+
+
+def test_op2_recall_outside_the_calibration(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.array(frame.toPandas().embedding.tolist(), float), frame.toPandas().vec_id.to_numpy()
+    good = ann.usable(frame, "vec_id", "embedding")
+    tree = ann.grow(x[np.argsort(ids)], 64)
+    visits = ann.calibrate(good, tree, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") % 50 != 0), 20, ann.RECALL, 200)
+    leaf, found, wanted = tree.assign(x), 0, 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        best = np.lexsort((ids, -scores))[:20]
+        found, wanted = found + int(np.isin(leaf[best], tree.walk(x[i], visits)).sum()), wanted + 20
+    print(f"recall {found / wanted:.3f} with {visits} of {tree.leaves} leaves")
+    assert found >= 0.9 * wanted
+
+
+def test_op3_places_as_in_pandas(spark):
+    docs = spark.createDataFrame([(i, None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 200}", i % 5) for i in range(900)] + [(4, "s4", 4)] * 40,
+                                 "doc_id bigint, source string, size bigint").repartition(5)
+    order = [F.col("doc_id"), F.col("size")]
+    out = sharding.interleave(docs, 4, F.col("source"), order, bucket_rows=50).toPandas()
+    keys = docs.select("doc_id", F.xxhash64(F.lit(0), *order).alias("h"), F.xxhash64(F.lit(1), *order).alias("t"),
+                       F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("s")).toPandas()
+    keys = keys.sort_values(["s", "h", "t"])
+    keys["rank"] = keys.groupby("s").cumcount()
+    keys["place"] = (keys["rank"] + 0.5) / keys.groupby("s")["rank"].transform("size")
+    by = spark.createDataFrame([(int(s), float(p)) for s, p in zip(keys.s, keys.place, strict=True)], "s bigint, p double").select("s", "p", F.xxhash64("s", "p").alias("by")).distinct().toPandas()
+    keys = keys.merge(by, left_on=["s", "place"], right_on=["s", "p"]).sort_values(["place", "by"])
+    keys["shard"] = np.arange(len(keys)) * 4 // len(keys)
+    assert Counter(zip(keys.doc_id, keys.shard, strict=True)) == Counter(zip(out.doc_id, out.shard, strict=True))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
