@@ -17,7 +17,7 @@ CHAIN_FIELDS = ["action", "resource_type", "resource_id", "metadata", "event_tim
 
 def audit_logs(events: DataFrame, tenant=None, user=None, action: str | None = None, resource_type: str | None = None,
                resource_id: str | None = None, since: str | None = None, until: str | None = None,
-               actions: list[str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+               actions: list[str] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Events that meet the filters that are set, newest first. With `actions` and a time range this is the ledger."""
     rows = events
     for col, value in (("tenant_id", tenant), ("user_id", user), ("action", action), ("resource_type", resource_type),
@@ -44,7 +44,7 @@ def resource_history(events: DataFrame, resource_type: str, resource_id: str) ->
     return events.filter((F.col("resource_type") == resource_type) & (F.col("resource_id") == resource_id))
 
 
-def recent(events: DataFrame, limit: int = 50) -> DataFrame:
+def recent(events: DataFrame, limit: int | None = None) -> DataFrame:
     return page(events, [F.desc("event_time"), F.desc("event_id")], limit)
 
 

@@ -96,7 +96,7 @@ def current_consent(consents: DataFrame) -> DataFrame:
 
 
 def list_consents(consents: DataFrame, as_of: str, asset_id=None, pii_type: str | None = None,
-                  status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+                  status: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     rows = consent_status(consents, as_of)
     for col, value in (("asset_id", asset_id), ("pii_type", pii_type), ("status", status)):
         if value is not None:
@@ -308,7 +308,7 @@ def regressions(findings: DataFrame, scans: DataFrame) -> DataFrame:
 
 # --- requests -------------------------------------------------------------------------------------------------------
 
-def list_requests(requests: DataFrame, tenant, status: str | None = None, limit: int = 50, offset: int = 0):
+def list_requests(requests: DataFrame, tenant, status: str | None = None, limit: int | None = None, offset: int = 0):
     rows = requests.filter(F.col("tenant_id") == tenant)
     if status:
         rows = rows.filter(F.col("status") == status)
@@ -338,8 +338,9 @@ def dpr_update(requests: DataFrame, changes: DataFrame, as_of: str) -> DataFrame
 
 # --- evidence -------------------------------------------------------------------------------------------------------
 
-def evidence(t, tenant, as_of: str) -> dict[str, DataFrame]:
-    """The datasets of an evidence package of one tenant, by name."""
+def evidence(t, tenant, as_of: str, limits: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The datasets of an evidence package of one tenant, by name, whole but for sections that `limits` gives a number of rows."""
+    limits = limits or {}
     mine = F.col("tenant_id") == tenant
     assets, findings = t.assets.filter(mine), t.findings.filter(mine)
     own = findings.select("finding_id")
@@ -350,10 +351,10 @@ def evidence(t, tenant, as_of: str) -> dict[str, DataFrame]:
         "obligations": obligation_scorecard(gaps),
         "requests": t.data_principal_requests.filter(mine),
         "grievance_contact": t.tenants.filter(mine).select("tenant_id", "name", "gro_email"),
-        "consents": page(consent_status(consents, as_of), [F.desc("consent_obtained_at"), "consent_id"], 10_000),
+        "consents": page(consent_status(consents, as_of), [F.desc("consent_obtained_at"), "consent_id"], limits.get("consents")),
         "scan_history": page(t.scan_runs.join(findings.select("scan_run_id").distinct(), "scan_run_id", "left_semi"),
-                             [F.desc("scan_started_at")], 100),
-        "remediation": page(actions, [F.desc("executed_at"), "action_id"], 1000),
+                             [F.desc("scan_started_at")], limits.get("scan_history")),
+        "remediation": page(actions, [F.desc("executed_at"), "action_id"], limits.get("remediation")),
         "categories": findings.groupBy("pii_type").agg(
             F.count("*").alias("finding_count"), F.max("created_at").alias("last_seen")),
         "summary": gap_summary(gaps),

@@ -39,7 +39,7 @@ def refresh_inventory(summaries: DataFrame, existing: DataFrame | None = None) -
 
 
 def list_inventory(inventory: DataFrame, classification: str | None = None, source: str | None = None,
-                   limit: int = 100, offset: int = 0) -> DataFrame:
+                   limit: int | None = None, offset: int = 0) -> DataFrame:
     rows = inventory
     if classification:
         rows = rows.filter(F.col("classification") == classification)
@@ -77,7 +77,7 @@ def last_snapshot(snapshots: DataFrame, exclude=None) -> DataFrame:
     return page(rows, [F.desc("taken_at"), F.desc("snapshot_id")], 1)
 
 
-def list_snapshots(snapshots: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def list_snapshots(snapshots: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return page(snapshots, [F.desc("taken_at"), F.desc("snapshot_id")], limit, offset)
 
 
@@ -124,7 +124,7 @@ def drift_since(events: DataFrame, snapshot_time: str) -> DataFrame:
     return events.filter(F.col("detected_at") > F.lit(snapshot_time).cast("timestamp_ntz"))
 
 
-def drift_timeline(events: DataFrame, limit: int = 100) -> DataFrame:
+def drift_timeline(events: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest events of the newest snapshot."""
     newest = events.select(F.max("detected_at").alias("t")).scalar()
     return page(events.filter(F.col("detected_at") == newest), ["event_type", "source", "classification"], limit)

@@ -163,7 +163,7 @@ def fp_stats(learned: DataFrame) -> DataFrame:
     ).withColumn("level", F.when(F.col("_g") == 1, "type").when(F.col("_g") == 2, "asset").otherwise("total")).drop("_g")
 
 
-def list_learned(learned: DataFrame, tenant, pii_type: str | None = None, asset_id=None, limit: int = 50,
+def list_learned(learned: DataFrame, tenant, pii_type: str | None = None, asset_id=None, limit: int | None = None,
                  offset: int = 0) -> DataFrame:
     rows = learned.filter((F.col("tenant_id") == tenant) & F.col("is_active"))
     if pii_type:

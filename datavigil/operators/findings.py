@@ -78,7 +78,7 @@ def without_non_pii(findings: DataFrame, classifications: DataFrame) -> DataFram
 
 
 def list_findings(findings, classifications, assets, reviews, tenant, f: Filters = Filters(),
-                  sort_by: str = "created_at", sort_order: str = "desc", limit: int = 50, offset: int = 0) -> DataFrame:
+                  sort_by: str = "created_at", sort_order: str = "desc", limit: int | None = None, offset: int = 0) -> DataFrame:
     col = F.col(SORT_COLUMNS.get(sort_by.lower(), "created_at"))
     rows = filtered(findings, classifications, assets, reviews, tenant, f)
     return page(rows, [col.asc() if sort_order.lower() == "asc" else col.desc(), F.col("finding_id")], limit, offset)
@@ -89,17 +89,17 @@ def count_findings(findings, classifications, assets, reviews, tenant, f: Filter
         F.count_distinct("finding_id").alias("total"))
 
 
-def findings_by_scan(findings, scan_run_id, limit: int = 100, offset: int = 0) -> DataFrame:
+def findings_by_scan(findings, scan_run_id, limit: int | None = None, offset: int = 0) -> DataFrame:
     rows = findings.filter(F.col("scan_run_id") == scan_run_id)
     return page(rows, [F.desc("created_at"), "finding_id"], limit, offset)
 
 
-def findings_by_asset(findings, asset_id, limit: int = 100, offset: int = 0) -> DataFrame:
+def findings_by_asset(findings, asset_id, limit: int | None = None, offset: int = 0) -> DataFrame:
     rows = findings.filter(F.col("asset_id") == asset_id)
     return page(rows, [F.desc("created_at"), "finding_id"], limit, offset)
 
 
-def findings_global(findings, classifications, limit: int = 100, offset: int = 0) -> DataFrame:
+def findings_global(findings, classifications, limit: int | None = None, offset: int = 0) -> DataFrame:
     """All tenants; the caller decides who may see that."""
     return page(without_non_pii(findings, classifications), [F.desc("created_at"), "finding_id"], limit, offset)
 
@@ -130,7 +130,7 @@ def facets(findings: DataFrame, assets: DataFrame) -> DataFrame:
     return patterns.unionByName(names)
 
 
-def high_risk_assets(assets: DataFrame, threshold: int, limit: int = 100) -> DataFrame:
+def high_risk_assets(assets: DataFrame, threshold: int, limit: int | None = None) -> DataFrame:
     return page(assets.filter(F.col("risk_score") >= threshold), [F.desc("risk_score"), "asset_id"], limit)
 
 
@@ -142,7 +142,7 @@ def assets_by_stable_id(assets: DataFrame, stable_ids: list[str]) -> DataFrame:
     return assets.filter(F.col("stable_id").isin(stable_ids))
 
 
-def list_assets(assets: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def list_assets(assets: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return page(assets, ["asset_id"], limit, offset)
 
 
@@ -155,7 +155,7 @@ def latest_scan(scans: DataFrame) -> DataFrame:
     return page(scans, [F.desc("scan_started_at"), F.desc("scan_run_id")], 1)
 
 
-def list_scans(scans: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def list_scans(scans: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return page(scans, [F.desc("scan_started_at"), F.desc("scan_run_id")], limit, offset)
 
 

@@ -52,12 +52,12 @@ def earlier_count(df: DataFrame, keys: list[str], bucket: Column, *order: Column
     )
 
 
-def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    """Sorted page of a list; Spark runs it as a top-k, not as a full sort."""
+def page(df: DataFrame, order: list, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Sorted page of a list, which Spark runs as a top-k; without a limit the whole list, sorted by ranges."""
     out = df.orderBy(*order)
     if offset:
         out = out.offset(offset)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
 def share_of_total(df: DataFrame, count_col: str, name: str) -> DataFrame:

@@ -11,7 +11,6 @@ from datavigil.session import cut
 
 MIN_CONFIDENCE = 0.45
 STALE_DAYS, ORPHAN_BONUS = 90, 10
-MAX_CYCLES = 20
 
 # Base risk of a type (3 critical, 2 high, 1 medium); confidence moves it by one.
 BASE_RISK = {
@@ -176,7 +175,7 @@ def active_exposures(windows: DataFrame) -> DataFrame:
     return windows.filter("until IS NULL")
 
 
-def exposure_history(windows: DataFrame, asset_id, limit: int = 1000) -> DataFrame:
+def exposure_history(windows: DataFrame, asset_id, limit: int | None = None) -> DataFrame:
     rows = windows.filter(F.col("asset_id") == asset_id).withColumn("is_active", F.col("until").isNull())
     return page(rows, [F.desc("since"), "pii_type"], limit)
 
@@ -201,7 +200,7 @@ def exposure_timeline(windows: DataFrame) -> DataFrame:
     return started.unionByName(ended)
 
 
-def find_cycles(edges: DataFrame, max_length: int = 10, limit: int = MAX_CYCLES) -> DataFrame:
+def find_cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
     """Cycles of 2 to `max_length` edges, shortest first.
 
     A path starts at its smallest vertex and never visits a smaller one, so each cycle is found once, and vertices that

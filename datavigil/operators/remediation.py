@@ -22,7 +22,6 @@ NEXT_SEVERITY = {"low": "medium", "Low": "Medium", "medium": "high", "Medium": "
 CLOSED = ["remediated", "resolved"]
 EXPORTED = ["remediated", "approved", "rejected"]
 AFTER = {"MASK": "***REDACTED***", "DELETE": "[DELETED]", "ENCRYPT": "[ENCRYPTED]"}
-EXPORT_LIMIT = 5000
 
 
 def mask_asset(findings: DataFrame, assets: DataFrame, strategy: str, masked_by: str, as_of: str):
@@ -118,7 +117,7 @@ def remediate_batch(spark: SparkSession, source: DataFrame, targets: DataFrame,
     return "COMPLETED", folder
 
 
-def remediation_actions(actions, findings, assets, action_type: str = "ALL", limit: int = 50, offset: int = 0):
+def remediation_actions(actions, findings, assets, action_type: str = "ALL", limit: int | None = None, offset: int = 0):
     """Actions with asset, type and severity, newest first."""
     rows = actions if action_type in ("", "ALL") else actions.filter(F.col("action_type") == action_type)
     top = page(rows, [F.desc("executed_at"), "action_id"], limit, offset)
@@ -164,7 +163,7 @@ def escalate(findings: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame:
         "finding_id", "asset_id", "pattern_name", "severity", above.alias("new_severity"), age.cast("int").alias("age_days"))
 
 
-def remediation_export(findings, reviews, assets, limit: int = EXPORT_LIMIT) -> DataFrame:
+def remediation_export(findings, reviews, assets, limit: int | None = None) -> DataFrame:
     """Rows of the remediation report: reviewed findings with their asset, newest first."""
     done = reviews.filter(F.col("status").isin(EXPORTED))
     rows = findings.join(done, "finding_id")

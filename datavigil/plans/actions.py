@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ SELECT r.action_id, r.action_type, r.status, a.name AS asset_name, f.pattern_nam
 FROM remediation_actions r JOIN findings f USING (finding_id) JOIN assets a USING (asset_id) WHERE r.action_type = 'MASK' ORDER BY r.executed_at DESC, r.action_id LIMIT 50 OFFSET 10""")
 def remediation_actions(spark, sf):
     t = Tables(spark, sf)
-    rows = R.remediation_actions(t.remediation_actions, t.findings, t.assets, "MASK", offset=10)
+    rows = R.remediation_actions(t.remediation_actions, t.findings, t.assets, "MASK", limit=50, offset=10)
     return rows.select("action_id", "action_type", "status", "asset_name", "pii_type", "risk_level")
 
 
@@ -250,6 +251,15 @@ def escalations(spark, sf):
 SELECT f.finding_id, a.name AS asset_name, f.severity, 'remediated' AS status FROM findings f JOIN review_states r USING (finding_id) JOIN assets a USING (asset_id)
 WHERE r.status = 'confirmed' ORDER BY f.created_at DESC, f.finding_id LIMIT 5000""")
 def remediation_export(spark, sf):
+    t = Tables(spark, sf)
+    reviews = t.review_states.withColumn("status", F.when(F.col("status") == "confirmed", "remediated").otherwise("pending"))
+    return R.remediation_export(t.findings, reviews, t.assets, 5000).select("finding_id", "asset_name", "severity", "status")
+
+
+@query("remediation_export_all", """
+SELECT f.finding_id, a.name AS asset_name, f.severity, 'remediated' AS status FROM findings f JOIN review_states r USING (finding_id) JOIN assets a USING (asset_id)
+WHERE r.status = 'confirmed'""")
+def remediation_export_all(spark, sf):
     t = Tables(spark, sf)
     reviews = t.review_states.withColumn("status", F.when(F.col("status") == "confirmed", "remediated").otherwise("pending"))
     return R.remediation_export(t.findings, reviews, t.assets).select("finding_id", "asset_name", "severity", "status")
@@ -685,6 +695,15 @@ def sample_per_group(spark, sf):
 SELECT finding_id, pattern_name, severity, printf('%.2f', confidence_score) AS confidence_score, name AS asset_name, path AS asset_path, environment, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at
 FROM findings f JOIN assets a USING (asset_id) WHERE f.tenant_id = 0 AND {_KEEP} ORDER BY f.created_at DESC, finding_id LIMIT 50000""")
 def export_findings(spark, sf):
+    t, folder = Tables(spark, sf), scratch(spark, "export")
+    Z.write_csv(Z.export_rows(t.findings, t.classifications, t.assets, t.review_states, 0, limit=50_000), folder)
+    return spark.read.csv(folder, header=True)
+
+
+@query("export_findings_all", f"""
+SELECT finding_id, pattern_name, severity, printf('%.2f', confidence_score) AS confidence_score, name AS asset_name, path AS asset_path, environment, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at
+FROM findings f JOIN assets a USING (asset_id) WHERE f.tenant_id = 0 AND {_KEEP}""")
+def export_findings_all(spark, sf):
     t, folder = Tables(spark, sf), scratch(spark, "export")
     Z.write_csv(Z.export_rows(t.findings, t.classifications, t.assets, t.review_states, 0), folder)
     return spark.read.csv(folder, header=True)
@@ -700,12 +719,36 @@ def export_snapshot_report(spark, sf):
 SELECT finding_id, matched_value AS text, pattern_name AS label, status = 'confirmed' AS is_pii_confirmed, CASE status WHEN 'confirmed' THEN 'CONFIRMED' ELSE 'FALSE_POSITIVE' END AS feedback_type
 FROM findings JOIN review_states USING (finding_id) ORDER BY created_at DESC, finding_id LIMIT 1000""")
 def export_golden_dataset(spark, sf):
+    t = Tables(spark, sf)
+    feedback = t.review_states.join(t.findings.select("finding_id", "created_at"), "finding_id").select(
+        "finding_id", "created_at", F.when(F.col("status") == "confirmed", "CONFIRMED").otherwise("FALSE_POSITIVE").alias("feedback_type"))
+    return Z.golden_dataset(t.findings, feedback, 1000)
+
+
+@query("export_golden_dataset_all", """
+SELECT finding_id, matched_value AS text, pattern_name AS label, status = 'confirmed' AS is_pii_confirmed, CASE status WHEN 'confirmed' THEN 'CONFIRMED' ELSE 'FALSE_POSITIVE' END AS feedback_type
+FROM findings JOIN review_states USING (finding_id)""")
+def export_golden_dataset_all(spark, sf):
     t = Tables(spark, sf)
     feedback = t.review_states.join(t.findings.select("finding_id", "created_at"), "finding_id").select(
         "finding_id", "created_at", F.when(F.col("status") == "confirmed", "CONFIRMED").otherwise("FALSE_POSITIVE").alias("feedback_type"))
     return Z.golden_dataset(t.findings, feedback)
 
 
+@query("evidence_package_written", """
+SELECT 'requests' AS section, count(*) AS n FROM data_principal_requests WHERE tenant_id = 1 UNION ALL SELECT 'grievance_contact', count(*) FROM tenants WHERE tenant_id = 1
+UNION ALL SELECT 'remediation', count(*) FROM remediation_actions WHERE finding_id IN (SELECT finding_id FROM findings WHERE tenant_id = 1)
+UNION ALL SELECT 'categories', count(DISTINCT pii_type) FROM findings WHERE tenant_id = 1 UNION ALL SELECT 'summary', 1
+UNION ALL SELECT 'consents', count(*) FROM consents WHERE asset_id IN (SELECT asset_id FROM assets WHERE tenant_id = 1)
+UNION ALL SELECT 'scan_history', count(*) FROM scan_runs WHERE scan_run_id IN (SELECT scan_run_id FROM findings WHERE tenant_id = 1)""")
+def evidence_package_written(spark, sf):
+    """The package as it stands in its folder."""
+    folder = scratch(spark, "evidence")
+    names = Z.evidence_package(Tables(spark, sf), 1, AS_OF, folder)
+    counts = [spark.read.text(f"{folder}/{n}").agg(F.lit(n).alias("section"), F.count("*").alias("n")) for n in names if n != "obligations"]
+    return reduce(lambda a, b: a.union(b), counts)
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 def _file_stream(spark, sf, name):

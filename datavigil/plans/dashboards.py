@@ -60,20 +60,20 @@ def findings_suppressed(spark, sf):
 @query("findings_newest_of_scan", """
 SELECT finding_id, created_at FROM findings WHERE scan_run_id = 199703 ORDER BY created_at DESC, finding_id LIMIT 100""")
 def findings_newest_of_scan(spark, sf):
-    return Q.findings_by_scan(Tables(spark, sf).findings, 199703).select("finding_id", "created_at")
+    return Q.findings_by_scan(Tables(spark, sf).findings, 199703, 100).select("finding_id", "created_at")
 
 
 @query("findings_newest_of_asset", """
 SELECT finding_id, created_at FROM findings WHERE asset_id = 7 ORDER BY created_at DESC, finding_id LIMIT 100""")
 def findings_newest_of_asset(spark, sf):
-    return Q.findings_by_asset(Tables(spark, sf).findings, 7).select("finding_id", "created_at")
+    return Q.findings_by_asset(Tables(spark, sf).findings, 7, 100).select("finding_id", "created_at")
 
 
 @query("findings_newest_global", f"""
 SELECT finding_id, tenant_id, created_at FROM findings f WHERE {_KEEP} ORDER BY created_at DESC, finding_id LIMIT 100""")
 def findings_newest_global(spark, sf):
     t = Tables(spark, sf)
-    return Q.findings_global(t.findings, t.classifications).select("finding_id", "tenant_id", "created_at")
+    return Q.findings_global(t.findings, t.classifications, 100).select("finding_id", "tenant_id", "created_at")
 
 
 @query("findings_masked", """
@@ -124,7 +124,7 @@ def asset_risk(spark, sf):
 @query("assets_high_risk", f"""
 SELECT asset_id, risk_score FROM ({_ASSET_RISK}) WHERE risk_score >= 75 ORDER BY risk_score DESC, asset_id LIMIT 100""")
 def assets_high_risk(spark, sf):
-    return Q.high_risk_assets(_asset_risk(Tables(spark, sf)), 75).select("asset_id", "risk_score")
+    return Q.high_risk_assets(_asset_risk(Tables(spark, sf)), 75, 100).select("asset_id", "risk_score")
 
 
 @query("assets_masked", "SELECT asset_id, path FROM assets WHERE is_masked")

@@ -63,7 +63,7 @@ def inventory_refresh(spark, sf):
 @query("inventory_list", """
 SELECT asset_id, finding_count FROM inventory WHERE source = 'Brand#2' ORDER BY finding_count DESC, asset_id LIMIT 100""")
 def inventory_list(spark, sf):
-    return V.list_inventory(Tables(spark, sf).inventory, source="Brand#2").select("asset_id", "finding_count")
+    return V.list_inventory(Tables(spark, sf).inventory, source="Brand#2", limit=100).select("asset_id", "finding_count")
 
 
 @query("inventory_count", "SELECT tenant_id, count(*) AS rows FROM inventory GROUP BY 1")
@@ -103,7 +103,7 @@ def _head(df):
 
 @query("snapshot_list", f"SELECT {_HEAD_COLS} FROM ({SNAPSHOTS_SQL}) ORDER BY taken_at DESC, snapshot_id DESC LIMIT 50")
 def snapshot_list(spark, sf):
-    return _head(V.list_snapshots(snapshots(Tables(spark, sf))))
+    return _head(V.list_snapshots(snapshots(Tables(spark, sf)), 50))
 
 
 @query("snapshot_last", f"""
@@ -145,7 +145,7 @@ def drift_timeline(spark, sf):
     t = Tables(spark, sf)
     events = _drift(t, "1996-01-01", SNAPSHOT_A).withColumn("detected_at", F.lit(SNAPSHOT_A).cast("timestamp_ntz")).unionByName(
         _drift(t, SNAPSHOT_A, AS_OF).withColumn("detected_at", F.lit(AS_OF).cast("timestamp_ntz")))
-    return V.drift_timeline(events).select("source", "classification", "event_type")
+    return V.drift_timeline(events, 100).select("source", "classification", "event_type")
 
 
 @query("drift_since", f"SELECT source, classification, event_type, severity FROM ({_drift_sql(SNAPSHOT_A, AS_OF)})")
@@ -345,7 +345,7 @@ def consent_current(spark, sf):
 @query("consent_list", f"""
 SELECT consent_id, consent_obtained_at FROM ({_STATUS}) WHERE pii_type = 'IN_PAN' AND status = 'VALID' ORDER BY consent_obtained_at DESC, consent_id LIMIT 100""")
 def consent_list(spark, sf):
-    return C.list_consents(Tables(spark, sf).consents, AS_OF, pii_type="IN_PAN", status="VALID").select(
+    return C.list_consents(Tables(spark, sf).consents, AS_OF, pii_type="IN_PAN", status="VALID", limit=100).select(
         "consent_id", "consent_obtained_at")
 
 
@@ -521,7 +521,7 @@ def request_stats(spark, sf):
 @query("request_list", """
 SELECT request_id, created_at FROM data_principal_requests WHERE tenant_id = 2 AND status = 'IN_PROGRESS' ORDER BY created_at DESC, request_id LIMIT 50""")
 def request_list(spark, sf):
-    return C.list_requests(Tables(spark, sf).data_principal_requests, 2, "IN_PROGRESS").select("request_id", "created_at")
+    return C.list_requests(Tables(spark, sf).data_principal_requests, 2, "IN_PROGRESS", 50).select("request_id", "created_at")
 
 
 @query("request_update", f"""
@@ -544,20 +544,63 @@ def evidence_categories(spark, sf):
     return C.evidence(Tables(spark, sf), 1, AS_OF)["categories"]
 
 
+_OWN_GAPS = f"""SELECT * FROM ({_GAPS}) g WHERE CASE WHEN section IN ('SEC7', 'SEC11') THEN subject_id = 1 ELSE subject_id IN (SELECT asset_id FROM assets WHERE tenant_id = 1) END"""
+
+
+@query("evidence_obligations", f"""
+SELECT section, count(*) AS checks, count(*) FILTER (status = 'PASS') * 100.0::DOUBLE / count(*) AS score, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS status FROM ({_OWN_GAPS}) GROUP BY 1""")
+def evidence_obligations(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF)["obligations"]
+
+
+@query("evidence_summary", f"""
+SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'UNKNOWN') AS unknown, count(*) AS total,
+  count(DISTINCT subject_id) AS subjects FROM ({_OWN_GAPS})""")
+def evidence_summary(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF)["summary"]
+
+
+@query("evidence_requests", "SELECT request_id, status FROM data_principal_requests WHERE tenant_id = 1")
+def evidence_requests(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF)["requests"].select("request_id", "status")
+
+
+@query("evidence_grievance_contact", "SELECT tenant_id, name, gro_email FROM tenants WHERE tenant_id = 1")
+def evidence_grievance_contact(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF)["grievance_contact"]
+
+
 @query("evidence_consents", f"""
 SELECT consent_id, status FROM ({_STATUS}) WHERE asset_id IN (SELECT asset_id FROM assets WHERE tenant_id = 1) ORDER BY consent_obtained_at DESC, consent_id LIMIT 10000""")
 def evidence_consents(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF, {"consents": 10000})["consents"].select("consent_id", "status")
+
+
+@query("evidence_consents_all", f"""
+SELECT consent_id, status FROM ({_STATUS}) WHERE asset_id IN (SELECT asset_id FROM assets WHERE tenant_id = 1)""")
+def evidence_consents_all(spark, sf):
     return C.evidence(Tables(spark, sf), 1, AS_OF)["consents"].select("consent_id", "status")
 
 
 @query("evidence_scan_history", f"SELECT * FROM scan_runs WHERE scan_run_id IN ({_TENANT_SCANS}) ORDER BY scan_started_at DESC LIMIT 100")
 def evidence_scan_history(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF, {"scan_history": 100})["scan_history"]
+
+
+@query("evidence_scan_history_all", f"SELECT * FROM scan_runs WHERE scan_run_id IN ({_TENANT_SCANS})")
+def evidence_scan_history_all(spark, sf):
     return C.evidence(Tables(spark, sf), 1, AS_OF)["scan_history"]
 
 
 @query("evidence_remediation", """
 SELECT action_id, status FROM remediation_actions WHERE finding_id IN (SELECT finding_id FROM findings WHERE tenant_id = 1) ORDER BY executed_at DESC, action_id LIMIT 1000""")
 def evidence_remediation(spark, sf):
+    return C.evidence(Tables(spark, sf), 1, AS_OF, {"remediation": 1000})["remediation"].select("action_id", "status")
+
+
+@query("evidence_remediation_all", """
+SELECT action_id, status FROM remediation_actions WHERE finding_id IN (SELECT finding_id FROM findings WHERE tenant_id = 1)""")
+def evidence_remediation_all(spark, sf):
     return C.evidence(Tables(spark, sf), 1, AS_OF)["remediation"].select("action_id", "status")
 
 
@@ -568,14 +611,14 @@ def evidence_remediation(spark, sf):
 SELECT event_id, action FROM audit_events WHERE action = 'click' AND event_time >= TIMESTAMP '2024-01-05' AND event_time <= TIMESTAMP '2024-01-20' ORDER BY event_time DESC, event_id DESC LIMIT 100 OFFSET 10""")
 def audit_list(spark, sf):
     return U.audit_logs(Tables(spark, sf).audit_events, action="click", since="2024-01-05", until="2024-01-20",
-                        offset=10).select("event_id", "action")
+                        limit=100, offset=10).select("event_id", "action")
 
 
 @query("audit_ledger", """
 SELECT event_id FROM audit_events WHERE tenant_id = 1 AND action IN ('error','purchase') AND event_time >= TIMESTAMP '2024-01-10' ORDER BY event_time DESC, event_id DESC LIMIT 100""")
 def audit_ledger(spark, sf):
     return U.audit_logs(Tables(spark, sf).audit_events, tenant=1, actions=["error", "purchase"],
-                        since="2024-01-10").select("event_id")
+                        since="2024-01-10", limit=100).select("event_id")
 
 
 @query("audit_user_activity", """
@@ -591,7 +634,7 @@ def audit_resource_history(spark, sf):
 
 @query("audit_recent", "SELECT event_id FROM audit_events ORDER BY event_time DESC, event_id DESC LIMIT 50")
 def audit_recent(spark, sf):
-    return U.recent(Tables(spark, sf).audit_events).select("event_id")
+    return U.recent(Tables(spark, sf).audit_events, 50).select("event_id")
 
 
 @query("audit_active_users", f"SELECT count(DISTINCT user_id) AS active_users FROM audit_events WHERE event_time >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY")
@@ -758,7 +801,7 @@ def exposures_active(spark, sf):
 @query("exposure_history", f"""
 SELECT pii_type, since, until, until IS NULL AS is_active FROM ({_WINDOWS}) WHERE asset_id = 5 ORDER BY since DESC, pii_type LIMIT 1000""")
 def exposure_history(spark, sf):
-    return L.exposure_history(windows(Tables(spark, sf)), 5).select("pii_type", "since", "until", "is_active")
+    return L.exposure_history(windows(Tables(spark, sf)), 5, 1000).select("pii_type", "since", "until", "is_active")
 
 
 @query("exposure_duration", f"""
@@ -810,6 +853,16 @@ p AS (SELECT s, d, [s, d] AS path FROM e WHERE d > s UNION ALL SELECT p.s, e.d,
 c AS (SELECT path FROM p JOIN e ON e.s = p.d AND e.d = p.s)
 SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM c ORDER BY len(path), path LIMIT 20""")
 def lineage_cycles(spark, sf):
+    found = L.find_cycles(Tables(spark, sf).asset_relationships, limit=20)
+    return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), "length")
+
+
+@query("lineage_cycles_all", """
+WITH RECURSIVE e AS (SELECT source_asset_id AS s, target_asset_id AS d FROM asset_relationships WHERE source_asset_id <> target_asset_id),
+p AS (SELECT s, d, [s, d] AS path FROM e WHERE d > s UNION ALL SELECT p.s, e.d, list_append(path, e.d) FROM p JOIN e ON e.s = p.d WHERE len(path) <= 9 AND e.d > p.s AND NOT list_contains(path, e.d)),
+c AS (SELECT path FROM p JOIN e ON e.s = p.d AND e.d = p.s)
+SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM c""")
+def lineage_cycles_all(spark, sf):
     found = L.find_cycles(Tables(spark, sf).asset_relationships)
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), "length")
 

@@ -9,12 +9,10 @@ from datavigil.operators.compliance import evidence
 from datavigil.operators.findings import Filters, filtered
 from datavigil.operators.grouping import page, upsert
 
-EXPORT_LIMIT = 50_000
-GOLDEN_LIMIT = 1000
 
 
 def export_rows(findings, classifications, assets, reviews, tenant, f: Filters = Filters(),
-                limit: int = EXPORT_LIMIT) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """Rows of the findings export, newest first, confidence with two decimals."""
     rows = filtered(findings, classifications, assets, reviews, tenant, f)
     return page(rows, [F.desc("created_at"), "finding_id"], limit).select(
@@ -40,7 +38,7 @@ def snapshot_report(facts: DataFrame, snapshot_id: str, taken_at: str) -> DataFr
         "asset_count", "finding_count", F.format_string("%.2f", F.round("sensitivity_avg", 2)).alias("sensitivity_avg"))
 
 
-def golden_dataset(findings: DataFrame, feedback: DataFrame, limit: int = GOLDEN_LIMIT) -> DataFrame:
+def golden_dataset(findings: DataFrame, feedback: DataFrame, limit: int | None = None) -> DataFrame:
     """Labelled texts from confirmed and false-positive feedback, newest first."""
     kept = feedback.filter("feedback_type IN ('CONFIRMED', 'FALSE_POSITIVE')")
     rows = kept.join(findings.select("finding_id", "matched_value", "pattern_name"), "finding_id")
@@ -49,9 +47,9 @@ def golden_dataset(findings: DataFrame, feedback: DataFrame, limit: int = GOLDEN
         (F.col("feedback_type") == "CONFIRMED").alias("is_pii_confirmed"), "feedback_type")
 
 
-def evidence_package(tables, tenant, as_of: str, folder: str) -> list[str]:
-    """All evidence datasets of a tenant as JSON under one folder."""
-    parts = evidence(tables, tenant, as_of)
+def evidence_package(tables, tenant, as_of: str, folder: str, limits: dict[str, int] | None = None) -> list[str]:
+    """All evidence datasets of a tenant as JSON under one folder, written in parallel; see evidence."""
+    parts = evidence(tables, tenant, as_of, limits)
     for name, df in parts.items():
         write_json(df, f"{folder}/{name}")
     return sorted(parts)
