@@ -163,7 +163,7 @@ _TARGETS = f"SELECT DISTINCT CAST(split_part(source_path, '.', 3) AS BIGINT) AS
 def _targets(t):
     from datavigil.operators import detect as D
 
-    found = D.detect(t.records.filter("source_path LIKE 'crm.%'"), ["EMAIL"])
+    found = D.detect(t.crm_records, ["EMAIL"])
     return found.select(F.substring_index("source_path", ".", -1).cast("long").alias("c_custkey"))
 
 

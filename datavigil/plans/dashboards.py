@@ -266,7 +266,7 @@ _RAW_SQL = f"""
 
 def raw_hits(spark, sf):
     """Scanner hits over the customer texts, spread over paths and environments."""
-    records = Tables(spark, sf).records.filter("source_path LIKE 'crm.%'")
+    records = Tables(spark, sf).crm_records
     hits = D.detect(records, _INGEST_TYPES).withColumn("k", F.substring_index("source_path", ".", -1).cast("long"))
     return hits.select(
         F.expr(_PNAME).alias("pattern_name"), F.expr(_FPATH).alias("file_path"), F.lit("").alias("column_name"),
@@ -360,7 +360,7 @@ SELECT source_path AS asset_name, pattern_name, pii_type AS sub_category, sha256
 FROM ({_VERIFIED_SQL}) y""")
 def ingest_verified(spark, sf):
     k = F.substring_index("source_path", ".", -1).cast("long")
-    found = D.detect(Tables(spark, sf).records.filter("source_path LIKE 'crm.%'")).withColumns({
+    found = D.detect(Tables(spark, sf).crm_records).withColumns({
         "confidence": F.col("score") / 100.0, "data_source": F.lit("filesystem"), "host": F.lit("nas"),
         "validators": F.array_repeat(F.lit("luhn"), (k % 3).cast("int")),
         "keywords": F.array_repeat(F.lit("kw"), (k % 12).cast("int"))})
@@ -506,7 +506,7 @@ def evaluate_detection(spark, sf):
     t = Tables(spark, sf)
     labelled = t.raw("customer").select(F.col("c_custkey").alias("case_id"), F.lit("IN_PAN").alias("expected_type"),
                                         (F.col("c_custkey") % 2 == 0).alias("should_detect"))
-    found = D.detect(t.records.filter("source_path LIKE 'crm.%'"), ["PAN"]).select(
+    found = D.detect(t.crm_records, ["PAN"]).select(
         F.substring_index("source_path", ".", -1).cast("long").alias("case_id"), "pii_type")
     e = D.evaluate(labelled, found)
     return e.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})

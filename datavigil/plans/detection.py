@@ -197,8 +197,8 @@ def detect_types_per_source(spark, sf):
 
     t = Tables(spark, sf)
     found, _ = scan_all(spark, [
-        Source("chat", "chat-host", lambda s: t.records.filter("field_name = 'message'"), _RECORD_SELECTION["chat"]),
-        Source("crm", "crm-host", lambda s: t.records.filter("source_path LIKE 'crm.%'")),
+        Source("chat", "chat-host", lambda s: t.chat_records, _RECORD_SELECTION["chat"]),
+        Source("crm", "crm-host", lambda s: t.crm_records),
     ], pii_types=_RECORD_SELECTION["crm"])
     return found.select(*_ROW_COLS)
 

@@ -208,11 +208,18 @@ class Tables:
 
         docs = spread_small(self.raw("documents")).selectExpr(
             "text AS value", "'text' AS field_name", "'public.documents.' || doc_id AS source_path")
-        chat = self.raw("conversations").selectExpr(
+        return docs.union(self.chat_records).union(self.crm_records)
+
+    @cached_property
+    def chat_records(self) -> DataFrame:
+        return self.raw("conversations").selectExpr(
             "text AS value", "'message' AS field_name", "'chat://' || conv_id || '/' || turn AS source_path")
-        return docs.union(chat).union(self.identity.selectExpr(
+
+    @cached_property
+    def crm_records(self) -> DataFrame:
+        return self.identity.selectExpr(
             "text AS value", "IF(c_custkey % 2 = 0, 'account_details', 'profile') AS field_name",
-            "'crm.customer.' || c_custkey AS source_path"))
+            "'crm.customer.' || c_custkey AS source_path")
 
     @cached_property
     def identity(self) -> DataFrame:
