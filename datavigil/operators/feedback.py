@@ -15,6 +15,8 @@ FEEDBACK_STATUS = {"FALSE_POSITIVE": "false_positive", "CONFIRMED": "confirmed"}
 
 # A pair can reach the overall threshold only if its values are at least this similar, as a path adds 0.3 at most.
 _NEED = (Y.MIN_SIMILARITY - Y.PATH_WEIGHT) / Y.VALUE_WEIGHT
+# Characters of a gram.
+GRAM = 3
 LEARNED_KEYS = ["tenant_id", "asset_id", "pattern_name", "pii_type"]
 
 
@@ -80,7 +82,7 @@ def fp_match(findings: DataFrame, learned: DataFrame) -> DataFrame:
 
     `findings` has `finding_id`, `field_path`, `matched_value`; `learned` has `learned_id`, `field_path`,
     `matched_value`. Every stage joins on equal keys: same path and value, same generalized value, and for the fuzzy
-    stage equal text segments (see `_similar_pairs`). Only distinct values are compared, never all pairs of a group.
+    stage equal grams (see `_similar_pairs`). Only distinct values are compared, never all pairs of a group.
     """
     cells = findings.select(*LEARNED_KEYS, "field_path", "matched_value").distinct()
     known = pick_first(learned.select("learned_id", *LEARNED_KEYS, "field_path", "matched_value"),
@@ -107,44 +109,32 @@ def fp_match(findings: DataFrame, learned: DataFrame) -> DataFrame:
 
 
 def _similar_pairs(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose overall similarity reaches the threshold, found by equal segments.
+    """Pairs whose overall similarity reaches the threshold, found by shared grams.
 
-    Within `k` edits a text cut into k + 1 segments keeps one of them whole, moved by at most k places. So the learned
-    text sends its segments, the other text sends the pieces of the right length around each place, and pairs meet on
-    an equal piece. This finds every pair the threshold allows; the exact score is then taken per pair.
+    An edit changes at most GRAM grams of a text, so two texts within k edits share all but GRAM * k of them. If the grams of
+    each are put in one order, the first GRAM * k + 1 of the two must meet. The order is that of a hash, so it needs no counts
+    and no key is met more than its share. A text sends that many keys, about four fifths of its length. Pairs that meet must agree in length and place of the gram
+    as k allows; they are then held against each other within k edits, and the score is taken of what is left.
     """
-    low_known, low_cell = F.lower(F.col("matched_value")), F.lower(F.col("matched_value"))
-    n = F.length(low_known)
-    edits = F.floor(n * ((1 - _NEED) / _NEED) + 1e-9).cast("int")
-    segments = known.withColumn("_n", n).withColumn("_k", edits).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-    begin, end = _cut(F.col("_i")), _cut(F.col("_i") + 1)
-    left = segments.select(
-        *LEARNED_KEYS, "learned_id", F.col("field_path").alias("_path"), F.col("matched_value").alias("_value"),
-        "_n", "_i", F.substring(low_known, begin + 1, end - begin).alias("_piece"))
-
-    m = F.length(low_cell)
-    right = (
-        cells.withColumn("_n", F.explode(F.sequence(
-            F.ceil(m * _NEED - 1e-9).cast("int"), F.floor(m / _NEED + 1e-9).cast("int"))))
-        .withColumn("_k", F.floor(F.col("_n") * ((1 - _NEED) / _NEED) + 1e-9).cast("int"))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-        .withColumn("_move", F.explode(F.sequence(-F.col("_k"), F.col("_k"))))
-        .withColumn("_at", begin + F.col("_move"))
-        .filter((F.col("_at") >= 0) & (F.col("_at") + end - begin <= m))
-        .select(*cells.columns, "_n", "_i", F.substring(low_cell, F.col("_at") + 1, end - begin).alias("_piece"))
-        .distinct())
-    pairs = right.join(left, [*LEARNED_KEYS, "_n", "_i", "_piece"]).select(
-        *cells.columns, "learned_id", "_path", "_value").distinct()
-    return pairs.withColumn("similarity", Y.overall("_path", "field_path", "_value", "matched_value")).filter(
+    low = F.lower("matched_value")
+    padded = F.concat(F.lit("\x01" * (GRAM - 1)), low, F.lit("\x02" * (GRAM - 1)))
+    most = F.floor(F.length(low) * ((1 - _NEED) / _NEED) + 1e-9).cast("int")  # edits to the longest text that can still match
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) + GRAM - 1), lambda i: F.struct(
+        F.xxhash64(F.substr(padded, i, F.lit(GRAM))).alias("_gram"), i.alias("_at")))
+    keys = F.inline(F.slice(F.sort_array(grams), F.lit(1), GRAM * most + 1))
+    left = cells.select(*LEARNED_KEYS, "field_path", "matched_value", keys)
+    right = known.select(*LEARNED_KEYS, "learned_id", F.col("field_path").alias("_path"), F.col("matched_value").alias("_value"),
+                         keys.alias("_gram", "_place"))
+    n, m = F.length("matched_value"), F.length("_value")
+    edits = F.floor(F.greatest(n, m) * (1 - _NEED) + 1e-9).cast("int")
+    near = (left.join(right, [*LEARNED_KEYS, "_gram"]).filter((F.abs(n - m) <= edits) & (F.abs(F.col("_at") - F.col("_place")) <= edits))
+            .select(*cells.columns, "learned_id", "_path", "_value").distinct())
+    within = F.call_function("levenshtein", low, F.lower("_value"), edits)
+    return near.filter(within >= 0).select(
+        *cells.columns, "learned_id", Y.overall("_path", "field_path", "_value", "matched_value").alias("similarity")).filter(
         F.col("similarity") >= Y.MIN_SIMILARITY)
 
 
-def _cut(i):
-    """Start of segment `i` when a text of `_n` characters is cut into `_k` + 1 near-equal ones."""
-    return F.floor(i * F.col("_n") / (F.col("_k") + 1)).cast("int")
-
-
 def suppress(findings: DataFrame, learned: DataFrame) -> DataFrame:
     """Findings without those that match a learned false positive."""
     return findings.join(fp_match(findings, learned), "finding_id", "left_anti")
