@@ -809,6 +809,33 @@ def stream_totals(spark, sf):
     return spark.table(name).select("data_source", "findings")
 
 
+@query("stream_totals_exact", "SELECT role AS data_source, count(*) AS findings, count(DISTINCT conv_id || '/' || turn % 3) AS records FROM conversations GROUP BY 1")
+def stream_totals_exact(spark, sf):
+    """A stream over several files that breaks off after a batch has been written and is resumed from its checkpoint."""
+    from datavigil.streaming import ledger
+
+    folder = scratch(spark, "exact")
+    rows = Tables(spark, sf).raw("conversations").selectExpr("role AS data_source", "conv_id || '/' || turn % 3 AS source_path")
+    rows.repartition(5, "source_path").write.parquet(f"{folder}/in")
+    each, broken = ledger.totals_of(f"{folder}/totals"), []
+
+    def once_broken(found, batch):
+        each(found, batch)
+        if batch == 1 and not broken:
+            broken.append(batch)
+            raise RuntimeError("stopped before the batch was committed")
+
+    def go():
+        stream = W.stream_files(spark, f"{folder}/in", rows.schema, max_files=2)
+        ledger.run_batches(stream, once_broken, f"{folder}/checkpoint").awaitTermination()
+
+    try:
+        go()
+    except Exception:  # noqa: BLE001 - the break above
+        go()
+    return ledger.read_totals(spark, f"{folder}/totals").drop("windows")
+
+
 # Three requested steps per order; some are not allowed where they come.
 _STEPS = """SELECT o_orderkey AS scan_run_id, 1 AS seq, CASE o_custkey % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'cancelled' ELSE 'running' END AS status, o_orderdate AS at FROM orders
   UNION ALL SELECT o_orderkey, 2, CASE o_orderstatus WHEN 'O' THEN 'completed' WHEN 'F' THEN 'running' ELSE 'timeout' END, o_orderdate FROM orders
@@ -844,6 +871,20 @@ def stream_scan_transitions(spark, sf):
     return _run(spark, W.apply_transitions(_steps(_file_stream(spark, sf, "orders"))), "transitions")
 
 
+@query("stream_life_cycle", _TRANSITIONS)
+def stream_life_cycle(spark, sf):
+    """The same life cycle batch by batch, states in a table of buckets, no state function."""
+    from datavigil.streaming import ledger
+
+    folder = scratch(spark, "cycle")
+    steps = _steps(Tables(spark, sf).raw("orders"))
+    for seq in (1, 2, 3):  # a file for each round of steps
+        steps.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = W.stream_files(spark, f"{folder}/in", steps.schema)
+    ledger.run_batches(stream, ledger.life_cycle_of(spark, folder), f"{folder}/checkpoint").awaitTermination()
+    return ledger.read_steps(spark, folder)
+
+
 @query("batch_intake", f"""
 SELECT agent_id, scan_job_id, batch_seq, arg_min(event_id, (received_at, event_id)) AS event_id FROM agent_batches GROUP BY ALL
 HAVING (agent_id, scan_job_id, batch_seq) NOT IN (SELECT (agent_id, scan_job_id, batch_seq) FROM agent_batches WHERE received_at < TIMESTAMP '2024-01-04')""")

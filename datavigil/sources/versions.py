@@ -56,13 +56,32 @@ class VersionedTable:
         """Version 0."""
         self._commit(0, self._write(df))
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version, the last one if none is named."""
-        return self._read(self._places(self.version() if version is None else version), schema)
-
-    def upsert(self, changes: DataFrame, version_col: str) -> list[int]:
-        """A new version with the changes merged by key, the newest `version_col` winning; the buckets that were rewritten."""
-        now = self.version()
+    def has(self, version: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions/version={version}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def create_once(self, df: DataFrame) -> None:
+        """Version 0, if there is none yet."""
+        if not self.has(0):
+            self.create(df)
+
+    def read(self, schema, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The rows of a version, the last one if none is named; with keys only those of the buckets that hold any of them."""
+        places = self._places(self.version() if version is None else version)
+        if keys is not None:
+            wanted = {r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()}  # buckets, not keys
+            places = {b: w for b, w in places.items() if b in wanted}
+        return self._read(places, schema)
+
+    def upsert(self, changes: DataFrame, version_col: str, now: int | None = None) -> list[int]:
+        """A new version with the changes merged by key, the newest `version_col` winning; the buckets that were rewritten.
+
+        It follows the last version, or version `now`; if that has been followed already, nothing is done.
+        """
+        if now is None:
+            now = self.version()
+        elif self.has(now + 1):
+            return []
         places = self._places(now)
         touched = {r[0] for r in changes.select(self._bucket().alias("b")).distinct().collect()}  # buckets, not keys
         old = self._read({b: w for b, w in places.items() if b in touched}, changes.schema)

@@ -109,23 +109,29 @@ def window_counts(rows: DataFrame, length: str = DEFAULT_WINDOW, event_time: str
         F.col("window.start").alias("window_start"), by, "n")
 
 
-def transitions(events: DataFrame) -> DataFrame:
+def transitions(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Every requested step (`scan_run_id`, `seq`, `status`, `at`) with the state it met and whether it was allowed.
 
+    A scan is `pending` at first, or in the state that `before` (`scan_run_id`, `status`) has for it.
+
     A refused step leaves the state as it was. A scan leaves `pending` with the first step allowed there, and `running`
     with the first allowed one after that, so the state at any step follows from two minimums per scan.
     """
     place = F.struct("at", "seq")
-    first = events.filter(F.col("status").isin(TRANSITIONS["pending"])).groupBy("scan_run_id").agg(
+    if before is not None:
+        events = events.join(before.select("scan_run_id", F.col("status").alias("_before")), "scan_run_id", "left")
+    began = F.coalesce(F.col("_before") if before is not None else F.lit(None).cast("string"), F.lit("pending"))
+    events = events.withColumn("_began", began)
+    first = events.filter((F.col("_began") == "pending") & F.col("status").isin(TRANSITIONS["pending"])).groupBy("scan_run_id").agg(
         F.min(F.struct(place.alias("place"), F.col("status").alias("to"))).alias("_first"))
     met = events.join(first, "scan_run_id", "left")
     second = met.filter(
-        (F.col("_first.to") == "running") & (place > F.col("_first.place"))
+        ((F.col("_began") == "running") | (F.col("_first.to") == "running") & (place > F.col("_first.place")))
         & F.col("status").isin(TRANSITIONS["running"])).groupBy("scan_run_id").agg(
         F.min(F.struct(place.alias("place"), F.col("status").alias("to"))).alias("_second"))
     state = (
         F.when(place > F.col("_second.place"), F.col("_second.to")).when(place > F.col("_first.place"), F.col("_first.to"))
-        .otherwise("pending"))
+        .otherwise(F.col("_began")))
     allowed = F.lit(False)
     for old, following in TRANSITIONS.items():
         if following:
