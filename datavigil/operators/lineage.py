@@ -200,31 +200,61 @@ def exposure_timeline(windows: DataFrame) -> DataFrame:
     return started.unionByName(ended)
 
 
+def _core(e: DataFrame, neighbours: int, rounds: int = 10) -> DataFrame:
+    """Edges between vertices that edges enter and leave and that have so many different neighbours, again and again until
+    none goes, or for `rounds` rounds; what is left over then costs time only."""
+    left = None
+    for _ in range(rounds):
+        ends = e.select(F.col("src").alias("v"), F.col("dst").alias("w"), F.lit(1).alias("out")).union(
+            e.select(F.col("dst").alias("v"), F.col("src").alias("w"), F.lit(0).alias("out")))
+        # of many edges of one vertex a few numbers are enough, so they are combined on the map side
+        alive = ends.groupBy("v").agg(F.min("out").alias("least"), F.max("out").alias("most"), F.min("w").alias("low"), F.max("w").alias("high"))
+        alive = alive.filter("least = 0 AND most = 1" + (" AND low < high" if neighbours > 1 else "")).select("v")
+        e = cut(e.join(alive.withColumnRenamed("v", "src"), "src", "left_semi").join(alive.withColumnRenamed("v", "dst"), "dst", "left_semi"))
+        now = e.count()
+        if now == left or not now:
+            break
+        left = now
+    return e
+
+
 def find_cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
     """Cycles of 2 to `max_length` edges, shortest first.
 
-    A path starts at its smallest vertex and never visits a smaller one, so each cycle is found once, and vertices that
-    no edge enters or no edge leaves are dropped before the search.
+    Cycles of two are pairs of opposite edges. A longer one needs, at each vertex, two different neighbours, so vertices with
+    fewer are taken away first, which leaves nothing of stars and trees, however many edges their hubs have. A path starts at
+    its smallest vertex and never visits a smaller one, so each cycle is found once. How far each vertex is from a start is
+    worked out backwards (a row per start and vertex, not per path), and a path goes on only where it can still be back in time.
     """
-    e = edges.select(F.col("source_asset_id").alias("src"), F.col("target_asset_id").alias("dst")).filter(
-        "src <> dst").distinct()
-    e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-        e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    e = cut(e)  # read by every step below
-    step = e.select("src", F.col("dst").alias("next"))
-    paths = e.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("at"),
-                                         F.array("src", "dst").alias("path"), F.lit(False).alias("done"))
-    for _ in range(2, max_length + 1):
-        # Closed paths ride along without a partner, so the search stays one chain of joins.
-        grown = paths.join(step, (F.col("at") == F.col("src")) & ~F.col("done"), "left")
-        closes = F.col("next") == F.col("start")
-        goes_on = (F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))
-        paths = grown.filter(F.col("done") | closes | goes_on).select(
-            "start", F.when(F.col("done") | closes, F.col("at")).otherwise(F.col("next")).alias("at"),
-            F.when(F.col("done") | closes, F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"),
-            (F.col("done") | closes).alias("done"))
-    found = paths.filter("done").select("path", F.size("path").alias("length"))
-    return page(found, ["length", "path"], limit)
+    e = edges.select(F.col("source_asset_id").alias("src"), F.col("target_asset_id").alias("dst")).filter("src <> dst").distinct()
+    e = _core(e, 1)
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = e.filter("src < dst").join(back, ["src", "dst"], "left_semi").select(F.array("src", "dst").alias("path"))
+    e = _core(e, 2)
+    if max_length > 2 and not e.isEmpty():
+        # (start, at, steps): a way back from `at` over vertices above start
+        ways = cut(e.filter("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("at"), F.lit(1).alias("steps")))
+        newest = ways
+        for steps in range(2, max_length):
+            grown = newest.join(e.select("src", F.col("dst").alias("at")), "at").filter("src > start").select("start", F.col("src").alias("at")).distinct()
+            newest = cut(grown.join(ways, ["start", "at"], "left_anti").withColumn("steps", F.lit(steps)))
+            if newest.isEmpty():
+                break
+            ways = cut(ways.unionByName(newest))
+        step = e.select(F.col("src").alias("last"), F.col("dst").alias("next"))
+        paths = e.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+        for length in range(2, max_length + 1):
+            # length edges with the next one; the way back from there must fit in what is left
+            near = ways.filter(F.col("steps") <= max_length - length + 1).select("start", F.col("at").alias("last"))
+            paths = cut(paths.join(near, ["start", "last"], "left_semi"))
+            if paths.isEmpty():
+                break
+            grown = paths.join(step, "last")
+            if length > 2:
+                found = found.unionByName(grown.filter("next = start").select("path"))
+            paths = grown.filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select(
+                "start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
+    return page(found.select("path", F.size("path").alias("length")), ["length", "path"], limit)
 
 
 def orphan_assets(assets: DataFrame, findings: DataFrame, as_of: str, stale_days: int = STALE_DAYS) -> DataFrame:

@@ -172,3 +172,87 @@ def test_refused_steps_keep_the_state(spark):
     rows = W.transitions(events).orderBy("seq").collect()
     assert [(r.from_status, r.allowed) for r in rows] == [
         ("pending", False), ("pending", True), ("running", False), ("running", True), ("failed", False)]
+
+
+def plain_cycles(edges, most=10):
+    out, nexts = set(), {}
+    for a, b in edges:
+        if a != b:
+            nexts.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for n in nexts.get(path[-1], ()):
+            if n == path[0] and len(path) > 1:
+                out.add(tuple(path))
+            elif n > path[0] and n not in path and len(path) < most:
+                walk([*path, n])
+
+    for v in nexts:
+        walk([v])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_against_plain_search(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 25), rng.randint(0, 25)) for _ in range(45)] + [(i, i + 1) for i in range(100, 112)] + [(112, 100), (111, 102)]
+    frame = spark.createDataFrame(edges, "source_asset_id bigint, target_asset_id bigint")
+    got = [tuple(r.path) for r in L.find_cycles(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_cycles(edges)
+    assert [len(p) for p in got] == sorted(len(p) for p in got) and len(L.find_cycles(frame, limit=2).collect()) == min(2, len(got))
+
+
+def test_cycles_with_a_hub(spark):
+    hub = [(0, i) for i in range(1, 10_001)] + [(i, 0) for i in range(1, 5_001)] + [(20_000, 20_001), (20_001, 20_002), (20_002, 20_000), (0, 20_000), (5, 20_000)]
+    frame = spark.createDataFrame(hub, "source_asset_id bigint, target_asset_id bigint")
+    rows = L.find_cycles(frame).groupBy("length").count().collect()
+    assert {r["length"]: r["count"] for r in rows} == {2: 5000, 3: 1}
+
+
+def test_streams_resume_and_count_once(spark, tmp_path):
+    from datavigil.streaming import ledger
+    from datavigil.streaming import streams as W
+
+    rows = spark.createDataFrame([(["a", "b", None][i % 3], f"p{i % 17}" if i % 5 else None) for i in range(300)], "data_source string, source_path string")
+    for part in rows.randomSplit([1.0] * 5, 3):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    each, numbers = ledger.totals_of(str(tmp_path / "t")), []
+
+    def breaks(found, batch):
+        numbers.append(batch)
+        each(found, batch)
+        if numbers in ([0], [0, 0, 1]):
+            raise RuntimeError("stopped")
+
+    for _ in range(3):
+        stream = W.stream_files(spark, str(tmp_path / "in"), rows.schema, max_files=2)
+        try:
+            ledger.run_batches(stream, breaks, str(tmp_path / "c")).awaitTermination()
+        except Exception:  # noqa: BLE001 - the breaks above
+            pass
+    assert numbers == [0, 0, 1, 1, 2]  # five files, two a batch; broken batches come again with their numbers
+    got = {r["data_source"]: (r["findings"], r["records"], r["windows"]) for r in ledger.read_totals(spark, str(tmp_path / "t")).collect()}
+    want = {r["data_source"]: (r["n"], r["d"]) for r in rows.groupBy("data_source").agg(F.count("*").alias("n"), F.count_distinct("source_path").alias("d")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == want and all(1 <= v[2] <= 3 for v in got.values())
+
+
+def test_life_cycle_batches_resume(spark, tmp_path):
+    from datavigil.streaming import ledger
+    from datavigil.streaming import streams as W
+
+    rng = random.Random(5)
+    steps = [(s, q, rng.choice(list(W.TRANSITIONS)), q * 10 + rng.randint(0, 3)) for q in range(6) for s in range(40) if rng.random() < 0.8]
+    each, schema = ledger.life_cycle_of(spark, str(tmp_path), 8), "scan_run_id bigint, seq bigint, status string, at bigint"
+    for batch in range(3):
+        own = spark.createDataFrame([s for s in steps if s[1] // 2 == batch], schema)
+        each(own, batch)
+        if batch == 1:
+            each(own, batch)  # handed out again
+    got = {(r["scan_run_id"], r["seq"]): (r["from_status"], r["allowed"]) for r in ledger.read_steps(spark, str(tmp_path)).collect()}
+    state, want = {}, {}
+    for s, q, wanted, at in sorted(steps, key=lambda x: (x[1] // 2, x[3], x[1])):
+        now = state.get(s, "pending")
+        ok = wanted in W.TRANSITIONS[now]
+        want[s, q] = (now, ok)
+        state[s] = wanted if ok else now
+    assert got == want
