@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from datavigil.operators.grouping import exact_avg, page
-from datavigil.session import cut
+from datavigil.session import staged
 
 MIN_CONFIDENCE = 0.45
 STALE_DAYS, ORPHAN_BONUS = 90, 10
@@ -210,7 +210,7 @@ def _core(e: DataFrame, neighbours: int, rounds: int = 10) -> DataFrame:
         # of many edges of one vertex a few numbers are enough, so they are combined on the map side
         alive = ends.groupBy("v").agg(F.min("out").alias("least"), F.max("out").alias("most"), F.min("w").alias("low"), F.max("w").alias("high"))
         alive = alive.filter("least = 0 AND most = 1" + (" AND low < high" if neighbours > 1 else "")).select("v")
-        e = cut(e.join(alive.withColumnRenamed("v", "src"), "src", "left_semi").join(alive.withColumnRenamed("v", "dst"), "dst", "left_semi"))
+        e = staged(e.join(alive.withColumnRenamed("v", "src"), "src", "left_semi").join(alive.withColumnRenamed("v", "dst"), "dst", "left_semi"))
         now = e.count()
         if now == left or not now:
             break
@@ -233,20 +233,20 @@ def find_cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None
     e = _core(e, 2)
     if max_length > 2 and not e.isEmpty():
         # (start, at, steps): a way back from `at` over vertices above start
-        ways = cut(e.filter("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("at"), F.lit(1).alias("steps")))
+        ways = staged(e.filter("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("at"), F.lit(1).alias("steps")))
         newest = ways
         for steps in range(2, max_length):
             grown = newest.join(e.select("src", F.col("dst").alias("at")), "at").filter("src > start").select("start", F.col("src").alias("at")).distinct()
-            newest = cut(grown.join(ways, ["start", "at"], "left_anti").withColumn("steps", F.lit(steps)))
+            newest = staged(grown.join(ways, ["start", "at"], "left_anti").withColumn("steps", F.lit(steps)))
             if newest.isEmpty():
                 break
-            ways = cut(ways.unionByName(newest))
+            ways = ways.unionByName(newest)
         step = e.select(F.col("src").alias("last"), F.col("dst").alias("next"))
         paths = e.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
         for length in range(2, max_length + 1):
             # length edges with the next one; the way back from there must fit in what is left
             near = ways.filter(F.col("steps") <= max_length - length + 1).select("start", F.col("at").alias("last"))
-            paths = cut(paths.join(near, ["start", "last"], "left_semi"))
+            paths = staged(paths.join(near, ["start", "last"], "left_semi"))
             if paths.isEmpty():
                 break
             grown = paths.join(step, "last")
