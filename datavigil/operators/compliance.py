@@ -12,6 +12,7 @@ from datavigil.operators.grouping import page, pick_latest
 
 # Types whose exposure is critical, age indicators, request states, periods in days.
 CRITICAL_TYPES = ["IN_AADHAAR", "IN_PAN", "IN_PASSPORT", "CREDIT_CARD"]
+AGE_CATEGORY = "AGE_INDICATOR"
 AGE_WORDS = ["age", "dob", "date_of_birth"]
 REQUEST_STATUSES = ["PENDING", "IN_PROGRESS", "COMPLETED", "REJECTED"]
 FINAL_STATUSES = ["COMPLETED", "REJECTED"]
@@ -227,8 +228,12 @@ def ob_accuracy(assets, findings, scans, as_of: str) -> DataFrame:
 
 
 def ob_children(assets, findings, classifications, words: list[str] = AGE_WORDS) -> DataFrame:
-    """Sec 9: findings that point at an age or birth date; one UNKNOWN row when nothing was scanned at all."""
-    hits = classifications.filter(F.lower("sub_category").rlike("|".join(words))).select("finding_id")
+    """Sec 9: findings that point at an age or birth date, by the words or by their `dpdpa_category`, if there is such a column;
+    one UNKNOWN row when nothing was scanned at all."""
+    told = F.lower("sub_category").rlike("|".join(words))
+    if "dpdpa_category" in classifications.columns:
+        told = F.coalesce(told, F.lit(False)) | F.coalesce(F.col("dpdpa_category") == AGE_CATEGORY, F.lit(False))
+    hits = classifications.filter(told).select("finding_id")
     flagged = findings.join(hits, "finding_id", "left_semi").groupBy("asset_id").agg(F.count("*").alias("n"))
     gaps = _gap(flagged.join(assets, "asset_id"), "SEC9", F.lit("FAIL"),
                 F.format_string("%d age indicators", "n"))

