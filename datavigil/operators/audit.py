@@ -69,9 +69,11 @@ def build_chain(events: DataFrame, segment: str = "day", heads: DataFrame | None
 
     `heads` (`tenant_heads` of the chain so far) continues the chains of an earlier batch instead: the batch is then one
     segment named `batch`, and the result is the single chain of the tenant, appended to batch by batch. Names of batches
-    must grow in order of text. Places go on from `last_seq`; without that column they start at 1 and `verify_chain`
+    must grow in order of text; one that does not follow the last batch of every tenant fails. Places go on from `last_seq`; without that column they start at 1 and `verify_chain`
     cannot tie the batch to the one before.
     """
+    if heads is not None and "last_batch" in heads.columns and not heads.filter(F.col("last_batch") >= F.lit(batch)).isEmpty():
+        raise ValueError(f"batch {batch!r} does not follow the last batch of every tenant")
     cut = F.lit(batch) if heads is not None else F.date_format(F.date_trunc(segment, "event_time"), "yyyy-MM-dd HH:mm")
     rows = events.withColumns({"segment": cut, "_text": entry_text(F.lit(""))})
     if heads is not None:
@@ -115,7 +117,7 @@ def tenant_heads(chain: DataFrame) -> DataFrame:
     ends = chain.groupBy("tenant_id", "segment").agg(
         F.max_by("entry_hash", "seq").alias("entry_hash"), F.max("seq").alias("last_seq"))
     return ends.groupBy("tenant_id").agg(F.max_by("entry_hash", "segment").alias("entry_hash"),
-                                         F.max_by("last_seq", "segment").alias("last_seq"))
+                                         F.max_by("last_seq", "segment").alias("last_seq"), F.max("segment").alias("last_batch"))
 
 
 def seal_chain(chain: DataFrame) -> DataFrame:

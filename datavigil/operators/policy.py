@@ -34,17 +34,21 @@ def evaluate_policies(findings: DataFrame, policies: DataFrame | Iterable[dict])
 
 
 def _condition(text):
+    """The condition of a policy, None if it cannot be read; such a policy matches nothing and leaves the others alone."""
     try:
         wanted = json.loads(text or "")
-    except ValueError:
+        least = float(wanted["min_risk_score"]) if "min_risk_score" in wanted else None
+    except (ValueError, TypeError):
+        return None
+    if not isinstance(wanted, dict):
         return None
     parts = [F.lit(True)]
     if "pii_type" in wanted:
         parts.append(F.col("pii_type") == str(wanted["pii_type"]))
     if "severity" in wanted:
         parts.append(F.col("severity") == str(wanted["severity"]))
-    if "min_risk_score" in wanted:
-        parts.append(F.col("risk_score") >= float(wanted["min_risk_score"]))
+    if least is not None:
+        parts.append(F.col("risk_score") >= least)
     return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
 
 

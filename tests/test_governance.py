@@ -256,3 +256,25 @@ def test_life_cycle_batches_resume(spark, tmp_path):
         want[s, q] = (now, ok)
         state[s] = wanted if ok else now
     assert got == want
+
+
+def test_policy_that_cannot_be_read_leaves_the_others(spark):
+    from datavigil.operators import policy as O
+
+    found = spark.createDataFrame([(1, "EMAIL", "High", 50)], "finding_id bigint, pii_type string, severity string, risk_score int")
+    bad = [{"id": i, "name": "x", "conditions": c, "actions": "[]"} for i, c in enumerate(['{"min_risk_score": "high"}', "[1]", "{", None, '{"min_risk_score": null}', "7"])]
+    rows = O.evaluate_policies(found, [*bad, {"id": 99, "name": "ok", "conditions": '{"min_risk_score": 10}', "actions": "[]"}]).collect()
+    assert [r["policy_id"] for r in rows] == ["99"]
+
+
+def test_audit_batches_must_follow(spark):
+    from datavigil.operators import audit as U
+
+    events = spark.sql("SELECT 1L AS tenant_id, id AS event_id, 'a' AS action, 'r' AS resource_type, 'x' AS resource_id, '' AS metadata, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS event_time FROM range(3)")
+    none = spark.createDataFrame([], "tenant_id bigint, entry_hash string, last_seq bigint")
+    chain = U.build_chain(events, heads=none, batch="2024-02")
+    heads = U.tenant_heads(chain)
+    assert U.build_chain(events, heads=heads, batch="2024-03").count() == 3
+    for late in ("2024-01", "2024-02"):
+        with pytest.raises(ValueError):
+            U.build_chain(events, heads=heads, batch=late)
