@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ TRANSITIONS = {
     "cancelled": [],
     "timeout": [],
 }
+_STATUSES = list(TRANSITIONS)
+# Whether the state of a row may be followed by that of a column.
+_FOLLOWS = np.array([[b in after for b in _STATUSES] for after in TRANSITIONS.values()])
+# Groups of scans whose states are kept together.
+STATE_BUCKETS = 1024
 FINISHED = ["completed", "cancelled"]
 DEDUP_KEYS = ["agent_id", "scan_job_id", "batch_seq"]
 
@@ -140,23 +146,59 @@ def transitions(events: DataFrame, before: DataFrame | None = None) -> DataFrame
         "scan_run_id", "seq", "from_status", F.col("status").alias("to_status"), allowed.alias("allowed"))
 
 
-def apply_transitions(stream: DataFrame) -> DataFrame:
-    """Streaming life cycle: the state of each scan is kept, refused steps leave it as it was."""
-    return stream.groupBy("scan_run_id").applyInPandasWithState(
-        _advance, "scan_run_id long, seq long, from_status string, to_status string, allowed boolean", "status string",
-        "append", GroupStateTimeout.NoTimeout)
+def apply_transitions(stream: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """Streaming life cycle: the state of each scan is kept, refused steps leave it as it was.
+
+    Scans are kept together in buckets of a hash of their id, all scans of a bucket in arrays that one call advances, as a call
+    for each scan costs about a millisecond. A micro-batch reads and writes the buckets of its scans. The number of buckets is
+    part of the state: a stream must be resumed with the one it was started with.
+    """
+    bucket = F.when(F.col("scan_run_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("scan_run_id"), F.lit(buckets)))
+    rows = stream.select(
+        bucket.alias("bucket"), F.coalesce(F.col("scan_run_id").cast("long"), F.lit(0)).alias("scan"), "at",
+        F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("seq").isNull().alias("unnumbered"), "status")
+    return rows.groupBy("bucket").applyInPandasWithState(
+        _advance, "scan_run_id long, seq long, from_status string, to_status string, allowed boolean",
+        "scans binary, statuses binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current = state.get[0] if state.exists else "pending"
-    rows = pd.concat(list(batches)).sort_values(["at", "seq"])  # the events of one scan in one micro-batch
-    out = []
-    for seq, wanted in zip(rows["seq"], rows["status"]):
-        ok = wanted in TRANSITIONS.get(current, [])
-        out.append((key[0], seq, current, wanted, ok))
-        current = wanted if ok else current
-    state.update((current,))
-    yield pd.DataFrame(out, columns=["scan_run_id", "seq", "from_status", "to_status", "allowed"])
+    """Steps of the scans of one bucket in one micro-batch; steps without a scan are those of one scan, in a bucket of its own."""
+    rows = pd.concat(list(batches)).sort_values(["scan", "at", "unnumbered", "seq"], ignore_index=True)
+    wanted = pd.Categorical(rows["status"], categories=_STATUSES).codes  # -1 for what is no status
+    scans, start, place = np.unique(rows["scan"].to_numpy(), return_index=True, return_inverse=True)
+    ids, statuses = np.empty(0, "<i8"), np.empty(0, np.int8)
+    if state.exists:
+        ids, statuses = (np.frombuffer(part, kind) for part, kind in zip(state.get, ("<i8", np.int8), strict=True))
+    known = np.isin(scans, ids)
+    before = np.full(len(scans), _STATUSES.index("pending"), np.int8)
+    before[known] = statuses[np.searchsorted(ids, scans[known])]
+
+    # A scan changes its state twice at most; each round settles one change of every scan.
+    n = len(rows)
+    current, at, allowed, live = before[place], np.arange(n), np.zeros(n, bool), np.ones(n, bool)
+    while True:
+        may = np.flatnonzero(live & (wanted >= 0) & _FOLLOWS[current, wanted])
+        if not len(may):
+            break
+        first = np.full(len(scans), n)
+        np.minimum.at(first, place[may], may)
+        taken = first[first < n]
+        allowed[taken] = True
+        live = at > first[place]  # scans without a change are settled too
+        target = np.zeros(len(scans), np.int8)
+        target[place[taken]] = wanted[taken]
+        current = np.where(live, target[place], current)
+    ends = np.append(start[1:], n) - 1
+    after = np.where(allowed, wanted, current)[ends]
+    rest = ~np.isin(ids, scans)
+    ids, statuses = np.concatenate((ids[rest], scans)), np.concatenate((statuses[rest], after))
+    order = np.argsort(ids)
+    state.update((ids[order].astype("<i8").tobytes(), statuses[order].astype(np.int8).tobytes()))
+    unnamed = np.full(n, key[0] < 0)
+    yield pd.DataFrame({
+        "scan_run_id": rows["scan"].astype("Int64").mask(unnamed), "seq": rows["seq"].astype("Int64").mask(rows["unnumbered"]),
+        "from_status": np.array(_STATUSES, dtype=object)[current], "to_status": rows["status"], "allowed": allowed})
 
 
 def stale_scans(scans: DataFrame, as_of: str) -> DataFrame:

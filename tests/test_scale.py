@@ -1,0 +1,27 @@
+"""Work and state that must not grow faster than the input."""
+
+import random
+
+from datavigil.streaming import streams as W
+
+
+def test_states_of_many_scans_are_kept_together(spark, tmp_path):
+    rng = random.Random(7)
+    ids = [None, *range(-3, 5000)]
+    steps = [(s, rng.choice([None, q]), rng.choice([*W.TRANSITIONS, "other", None]), q) for q in range(6) for s in ids if rng.random() < 0.7]
+    schema = "scan_run_id bigint, seq bigint, status string, at bigint"
+    for batch in range(3):
+        spark.createDataFrame([s for s in steps if s[3] // 2 == batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = W.apply_transitions(W.stream_files(spark, str(tmp_path / "in"), schema))
+    query = W.start(stream, str(tmp_path / "out"), str(tmp_path / "c"), trigger=None)
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()), key=repr)
+    state, want = {}, []
+    for s, q, wanted, _ in sorted(steps, key=lambda x: x[3]):
+        now = state.get(s, "pending")
+        ok = wanted in W.TRANSITIONS[now]
+        want.append((s, q, now, wanted, ok))
+        state[s] = wanted if ok else now
+    assert got == sorted(want, key=repr)
+    kept = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    assert kept <= W.STATE_BUCKETS + 1 < len(ids)  # not one for each scan
