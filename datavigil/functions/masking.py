@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from datavigil.functions.text import SPACE
+from datavigil.functions.text import SPACE, let
 
 # Scrubbing patterns in the order they are applied | replacement. Switch names are the keys of `scrub`.
 SCRUB_RULES = [
@@ -196,12 +196,9 @@ def scrub_json(c) -> Column:
     holds a bare quote, so keys are told by the text around them. Simple values are replaced by pattern. For objects and
     arrays the text is cut at their keys, and a count of open brackets over each piece finds where they end.
     """
-    text = F.to_json(F.try_parse_json(_col(c)))
     keys = "|".join(SENSITIVE_KEYS)
-    simple = F.regexp_replace(text, rf"""(?i)(?<=[{{,])("(?:{keys})":)(?:{_JSON_STRING}|[^"{{\[,}}\]]++)""", '$1"[REDACTED]"')
+    plain = rf"""(?i)(?<=[{{,])("(?:{keys})":)(?:{_JSON_STRING}|[^"{{\[,}}\]]++)"""
     marked = rf"""(?i)(?<=[{{,])"(?:{keys})":(?=[{{\[])"""
-    names = F.regexp_extract_all(simple, F.lit(marked), F.lit(0))
-    pieces = F.split(simple, marked, -1)
 
     def step(state: Column, token: Column) -> Column:
         """Open brackets and characters passed until all are closed."""
@@ -213,20 +210,36 @@ def scrub_json(c) -> Column:
         # inside a value that is dropped already, the pieces that begin in it only count on
         opens = out["depth"] == 0
         piece, name = part["piece"], part["name"]
+
+        def closed(tokens: Column) -> Column:
+            first = F.when(F.size(tokens) > 0, 1).otherwise(0)
+            begin = F.when(opens, F.struct(first.alias("depth"), first.alias("passed"))).otherwise(
+                F.struct(out["depth"].alias("depth"), F.lit(0).alias("passed")))
+            rest = F.when(opens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
+            return F.aggregate(rest, begin, step)
+
+        def kept(end: Column) -> Column:
+            rest = F.when(end["depth"] == 0, F.substr(piece, end["passed"] + 1)).otherwise("")
+            return F.struct(F.concat(out["text"], F.when(opens, F.concat(name, F.lit('"[REDACTED]"'))).otherwise(""), rest).alias("text"),
+                            end["depth"].alias("depth"))
+
         tokens = F.regexp_extract_all(piece, F.lit(rf"""{_JSON_STRING}|[{{}}\[\]]|[^"{{}}\[\]]++"""), F.lit(0))
-        first = F.when(F.size(tokens) > 0, 1).otherwise(0)
-        begin = F.when(opens, F.struct(first.alias("depth"), first.alias("passed"))).otherwise(
-            F.struct(out["depth"].alias("depth"), F.lit(0).alias("passed")))
-        tokens = F.when(opens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
-        end = F.aggregate(tokens, begin, step)
-        rest = F.when(end["depth"] == 0, F.substr(piece, end["passed"] + 1)).otherwise("")
-        return F.struct(F.concat(out["text"], F.when(opens, F.concat(name, F.lit('"[REDACTED]"'))).otherwise(""), rest).alias("text"),
-                        end["depth"].alias("depth"))
-
-    parts = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: F.struct(p.alias("piece"), F.get(names, i).alias("name")))
-    start = F.struct(F.get(pieces, F.lit(0)).alias("text"), F.lit(0).alias("depth"))
-    nested = F.aggregate(parts, start, add, lambda out: out["text"])
-    return F.when(_col(c).isNull(), None).when(text.isNull(), JSON_INVALID).when(F.size(names) > 0, nested).otherwise(simple)
+        return let(let(tokens, closed), kept)
+
+    def without_nested(simple: Column, names: Column) -> Column:
+        def joined(pieces: Column) -> Column:
+            parts = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: F.struct(p.alias("piece"), F.get(names, i).alias("name")))
+            start = F.struct(F.get(pieces, F.lit(0)).alias("text"), F.lit(0).alias("depth"))
+            return F.aggregate(parts, start, add, lambda out: out["text"])
+
+        return F.when(F.size(names) > 0, let(F.split(simple, marked, -1), joined)).otherwise(simple)
+
+    def scrubbed(text: Column) -> Column:
+        simple = F.regexp_replace(text, plain, '$1"[REDACTED]"')
+        return let(simple, lambda s: let(F.regexp_extract_all(s, F.lit(marked), F.lit(0)), lambda names: without_nested(s, names)))
+
+    nested = let(F.to_json(F.try_parse_json(_col(c))), lambda text: F.when(text.isNull(), JSON_INVALID).otherwise(scrubbed(text)))
+    return F.when(_col(c).isNull(), None).otherwise(nested)
 
 
 def preview(c, pii_type) -> Column:

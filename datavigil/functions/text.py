@@ -12,6 +12,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it, inside other lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm_dedup(c) -> Column:
     """White space, `-`, `_` and `.` dropped, lower case."""
     return F.lower(F.regexp_replace(_col(c), r"[ \t\n\x0B\f\r\u0085 \-_.]", ""))

@@ -1,7 +1,13 @@
 """Work and state that must not grow faster than the input."""
 
+import json
 import random
+import time
 
+from pyspark.sql import functions as F
+
+from datavigil.functions import masking as M
+from datavigil.sources import records as X
 from datavigil.streaming import streams as W
 
 
@@ -25,3 +31,25 @@ def test_states_of_many_scans_are_kept_together(spark, tmp_path):
     assert got == sorted(want, key=repr)
     kept = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
     assert kept <= W.STATE_BUCKETS + 1 < len(ids)  # not one for each scan
+
+
+def test_scrubbing_takes_time_in_proportion_to_the_keys(spark):
+    text = json.dumps({"a": [{"token": [k, {"b": k}], "k": k} for k in range(4000)]})
+    rows = spark.createDataFrame([(text,)], "t string")
+    begin = time.time()
+    got = rows.select(M.scrub_json(F.col("t")).alias("s")).first()["s"]
+    assert time.time() - begin < 10
+    assert json.loads(got) == {"a": [{"token": "[REDACTED]", "k": k} for k in range(4000)]}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mail_is_read_once_whatever_its_levels(spark):
+    part = "'From: a@b\nContent-Type: multipart/mixed; boundary=X\n\n--X\n\none\n--X\nContent-Type: text/plain\n\ntwo\n--X--\n'"
+    mails = spark.range(3).select("id", F.expr(part).alias("raw"))
+    fields = X.email_fields(mails, "raw", F.col("id").cast("string"), ["id"])
+    assert plan_of(fields).count("Range (") == 1
+    assert sorted((r["id"], r["field_name"], r["value"]) for r in fields.collect()) == sorted(
+        (i, n, v) for i in range(3) for n, v in (("from", "a@b"), ("body_part", "one"), ("body_part", "two")))
