@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from datavigil.functions.text import let
+
 # Elements whose text is dropped, and elements whose content is text up to their end tag, tags in it included.
 SILENT_TAGS = ["script", "style"]
 RAW_TAGS = ["title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp"]
@@ -91,10 +93,13 @@ def text_in_charset(data: Column, charset: Column) -> Column:
 def quoted_printable(c: Column) -> Column:
     """Bytes of quoted-printable text; a "=" that no two hexadecimal digits follow stays."""
     soft = F.regexp_replace(c, r"=[ \t]*\n|[ \t]++(?=\n)|=\z", "")
-    parts = F.split(soft, "=", -1)
-    pieces = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.when(
-        p.rlike("^[0-9a-fA-F]{2}"), F.concat(F.substr(p, F.lit(1), F.lit(2)), F.hex(F.substr(p, F.lit(3))))).otherwise(F.concat(F.lit("3D"), F.hex(p))))
-    return F.unhex(F.concat(F.hex(F.get(parts, F.lit(0))), F.array_join(pieces, "")))
+
+    def joined(parts: Column) -> Column:
+        pieces = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.when(
+            p.rlike("^[0-9a-fA-F]{2}"), F.concat(F.substr(p, F.lit(1), F.lit(2)), F.hex(F.substr(p, F.lit(3))))).otherwise(F.concat(F.lit("3D"), F.hex(p))))
+        return F.unhex(F.concat(F.hex(F.get(parts, F.lit(0))), F.array_join(pieces, "")))
+
+    return let(F.split(soft, "=", -1), joined)
 
 
 def transfer_decoded(body: Column, encoding: Column, charset: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datavigil.functions import markup as M
+from datavigil.functions.text import let
 
 COLUMNS = ["value", "field_name", "source_path", "row_context", "is_structured", "metadata"]
 
@@ -171,20 +172,25 @@ def _mail_header(head: Column, name: str) -> Column:
     return F.trim(F.regexp_extract(head, rf"(?im)^{name}:([^\n]*+)$", 1))
 
 
-def _headed(text: Column) -> Column:
+def _headed(text: Column, name: str) -> Column:
     """Header and body of a message or part: the part up to the first empty line, if it begins with a header field. Folded
-    header lines are joined."""
-    cut = F.split(text, r"(?<=\n)\n", 2)
-    has = text.rlike(r"\A[!-9;-~]++[ \t]*+:")
-    head = F.when(has, F.regexp_replace(F.get(cut, F.lit(0)), r"\n[ \t]+", " ")).otherwise("")
-    body = F.when(has, F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).otherwise(F.regexp_replace(text, r"\A\n", ""))
-    kind = _mail_header(head, "content-type")
-    return F.struct(
-        head.alias("head"), body.alias("body"), F.lower(F.regexp_extract(kind, r"^([^;\s]*+)", 1)).alias("kind"),
-        F.regexp_extract(kind, r"""(?i);\s*boundary=(?:"([^"]*+)"|([^;\s]*+))""", 1).alias("quoted"),
-        F.regexp_extract(kind, r"""(?i);\s*boundary=(?:"([^"]*+)"|([^;\s]*+))""", 2).alias("bare"),
-        F.regexp_extract(kind, r"""(?i);\s*charset="?([^";\s]*+)""", 1).alias("charset"),
-        _mail_header(head, "content-transfer-encoding").alias("encoding"))
+    header lines are joined. The line end before a boundary is none of the body's."""
+    def fields(head: Column, body: Column, kind: Column) -> Column:
+        boundary = r"""(?i);\s*boundary=(?:"([^"]*+)"|([^;\s]*+))"""
+        return F.struct(
+            F.lit(name).alias("name"), F.lit(":body").alias("suffix"), head.alias("head"), F.regexp_replace(body, r"\n\z", "").alias("body"),
+            F.lower(F.regexp_extract(kind, r"^([^;\s]*+)", 1)).alias("kind"),
+            F.coalesce(F.nullif(F.regexp_extract(kind, boundary, 1), F.lit("")), F.regexp_extract(kind, boundary, 2)).alias("boundary"),
+            F.regexp_extract(kind, r"""(?i);\s*charset="?([^";\s]*+)""", 1).alias("charset"),
+            _mail_header(head, "content-transfer-encoding").alias("encoding"))
+
+    def divided(cut: Column) -> Column:
+        head = F.regexp_replace(F.get(cut, F.lit(0)), r"\n[ \t]+", " ")
+        return let(head, lambda h: let(_mail_header(h, "content-type"), lambda kind: fields(
+            h, F.coalesce(F.get(cut, F.lit(1)), F.lit("")), kind)))
+
+    bare = fields(F.lit(""), F.regexp_replace(text, r"\A\n", ""), F.lit(""))
+    return F.when(text.rlike(r"\A[!-9;-~]++[ \t]*+:"), let(F.split(text, r"(?<=\n)\n", 2), divided)).otherwise(bare)
 
 
 def email_fields(df: DataFrame, raw_col: str, source_path: Column, keep: list[str] = (), levels: int = 8) -> DataFrame:
@@ -193,32 +199,30 @@ def email_fields(df: DataFrame, raw_col: str, source_path: Column, keep: list[st
     Multipart bodies are split at their boundary, level by level, what stands before the first and behind the closing boundary
     dropped; of the parts those of text, or without a content type, are records, decoded by their transfer encoding and
     charset. A single body counts if it is text or names no type. Parts nested deeper than `levels` come undivided.
+
+    One pass: a level turns each divided part into its parts and hands on the others. Every step is generated, so that it is
+    computed once, whatever names its results.
     """
     raw = F.concat(F.regexp_replace(F.col(raw_col), r"\r\n", "\n"), F.lit("\n"))
-    # a message that ends with its headers has an empty body; the line end put there is taken away again
-    whole = df.select(*keep, source_path.alias("_path"), _headed(raw).alias("_part")).withColumn(
-        "_part", F.col("_part").withField("body", F.regexp_replace(F.col("_part.body"), r"\n\z", "")))
-    fields = F.array(*[F.struct(F.lit(h.lower()).alias("_name"), F.lit(f":header.{h}").alias("_suffix"),
-                                _mail_header(F.col("_part.head"), h).alias("_text")) for h in MAIL_HEADERS])
-    cells = whole.select(*keep, "_path", F.inline(fields))
-    rows, name = whole, "body"
-    for level in range(levels + 1):
-        boundary = F.coalesce(F.nullif(F.col("_part.quoted"), F.lit("")), F.col("_part.bare"))
-        divided = F.col("_part.kind").startswith("multipart/") & (boundary != "") & F.lit(level < levels)
-        text = (F.col("_part.kind") == "") | F.col("_part.kind").startswith("text/") | F.col("_part.kind").startswith("multipart/")
-        body = M.transfer_decoded(F.col("_part.body"), F.col("_part.encoding"), F.col("_part.charset"))
-        leaves = rows.filter(~divided & text).select(*keep, "_path", F.lit(name).alias("_name"), F.lit(":body").alias("_suffix"), body.alias("_text"))
-        cells = cells.unionByName(leaves)
-        if level == levels:
-            break
-        mark = F.concat(F.lit(r"\n--\Q"), boundary, F.lit(r"\E"))
-        open_ = F.get(F.split(F.concat(F.lit("\n"), F.col("_part.body"), F.lit("\n")), F.concat(mark, F.lit(r"--[ \t]*\n")), 2), F.lit(0))
-        pieces = F.split(F.concat(open_, F.lit("\n")), F.concat(mark, F.lit(r"[ \t]*(?=\n)")))
-        pieces = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.regexp_replace(p, r"\A\n", ""))
-        rows = rows.filter(divided).select(*keep, "_path", F.explode(pieces).alias("_piece")).select(*keep, "_path", _headed(F.col("_piece")).alias("_part"))
-        rows = rows.withColumn("_part", F.col("_part").withField("body", F.regexp_replace(F.col("_part.body"), r"\n\z", "")))
-        name = "body_part"
-    return _as_record(cells, list(keep), F.col("_text"), F.col("_name"), F.concat("_path", "_suffix"), False)
+    whole = df.select(*keep, source_path.alias("_path"), F.explode(F.array(_headed(raw, "body"))).alias("_part"))
+    headers = [F.struct(
+        F.lit(h.lower()).alias("name"), F.lit(f":header.{h}").alias("suffix"), F.lit("").alias("head"),
+        _mail_header(F.col("_part.head"), h).alias("body"), *[F.lit("").alias(f) for f in ("kind", "boundary", "charset", "encoding")])
+        for h in MAIL_HEADERS]
+    rows = whole.select(*keep, "_path", F.explode(F.array(*headers, F.col("_part"))).alias("_part")).filter("_part.body <> ''")
+    kind, boundary = F.col("_part.kind"), F.col("_part.boundary")
+    divided = kind.startswith("multipart/") & (boundary != "")
+    mark = F.concat(F.lit(r"\n--\Q"), boundary, F.lit(r"\E"))
+    open_ = F.get(F.split(F.concat(F.lit("\n"), F.col("_part.body"), F.lit("\n")), F.concat(mark, F.lit(r"--[ \t]*\n")), 2), F.lit(0))
+    pieces = F.split(F.concat(open_, F.lit("\n")), F.concat(mark, F.lit(r"[ \t]*(?=\n)")))
+    inner = let(pieces, lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda t: let(
+        F.regexp_replace(t, r"\A\n", ""), lambda piece: _headed(piece, "body_part"))))
+    for _ in range(levels):
+        rows = rows.select(*keep, "_path", F.explode(F.when(divided, inner).otherwise(F.array("_part"))).alias("_part"))
+    text = (kind == "") | kind.startswith("text/") | kind.startswith("multipart/")
+    body = M.transfer_decoded(F.col("_part.body"), F.col("_part.encoding"), F.col("_part.charset"))
+    cells = rows.filter(text).select(*keep, F.concat("_path", "_part.suffix").alias("_path"), "_part.name", F.explode(F.array(body)).alias("_text"))
+    return _as_record(cells, list(keep), F.col("_text"), F.col("name"), F.col("_path"), False)
 
 
 def scan_jdbc(
