@@ -142,10 +142,12 @@ def asset_semantics(path, column) -> Column:
     """+0.15 per high-risk word and -0.25 per low-risk word in path and column, within 0 to 1."""
     place = F.lower(F.concat_ws(" ", _col(path), _col(column)))
 
-    def hits(words):
-        return reduce(lambda a, w: a + T.has_word(place, [w]).cast("int"), words, F.lit(0))
+    def points(words: Column) -> Column:
+        high, low = (F.size(F.array_intersect(words, F.array(*map(F.lit, names)))) for names in (HIGH_RISK_WORDS, LOW_RISK_WORDS))
+        return clamp((high * 15 - low * 25) / F.lit(100.0))
 
-    return clamp((hits(HIGH_RISK_WORDS) * 15 - hits(LOW_RISK_WORDS) * 25) / F.lit(100.0))
+    # the words are whole runs of letters, so the runs are found once and not each word by itself
+    return T.let(F.split(place, "[^a-zA-Z]+"), points)
 
 
 def environment(path) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datavigil.functions import masking as M
@@ -26,17 +26,24 @@ class Ingested:
     review_states: DataFrame
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with these columns, generated instead of projected: a filter on a projection would compute all of it again."""
+    return df.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def enrich(raw: DataFrame, value: str = "match", path: str = "file_path", column: str = "column_name") -> DataFrame:
     """Context signals of a hit and their combined score."""
-    return raw.withColumns({
+    signals = once(raw, {
         "asset_semantics": S.asset_semantics(path, column),
         "environment_name": S.environment(path),
         "entropy": T.shannon_entropy(value),
         "charset_diversity": T.charset_diversity(value),
+    })
+    return signals.withColumns({
         "token_shape": T.token_shape(value),
         "value_hash": T.value_hash(value),
-    }).withColumn("enrichment_score", S.enrichment_score(
-        "asset_semantics", "environment_name", "entropy", "charset_diversity"))
+        "enrichment_score": S.enrichment_score("asset_semantics", "environment_name", "entropy", "charset_diversity"),
+    })
 
 
 def historical_count(findings: DataFrame, order: str = "created_at", tie: str = "finding_id") -> DataFrame:
@@ -52,9 +59,10 @@ def classify_multi(enriched: DataFrame, pattern: str = "pattern_name", path: str
         "context_signal": F.col("enrichment_score"),
         "entropy_signal": S.entropy_signal(pattern, "entropy", "charset_diversity"),
     })
-    scored = signals.withColumn("final_score", S.final_score("rule_signal", "context_signal", "entropy_signal", pattern))
-    tiered = scored.withColumns({
-        "confidence_tier": S.confidence_tier("final_score"), "classification": S.class_of_pattern(pattern)})
+    scored = once(signals, {
+        "final_score": S.final_score("rule_signal", "context_signal", "entropy_signal", pattern),
+        "classification": S.class_of_pattern(pattern)})
+    tiered = scored.withColumn("confidence_tier", S.confidence_tier("final_score"))
     secret = S.is_secret_pattern(pattern)
     why = F.format_string(
         "%s (Score: %.2f, Level: %s). Signals: %s | Context: Enrichment score %.2f (env: %s, semantics: %.2f) | %s",

@@ -20,6 +20,7 @@ from datavigil.plans.scores import (
     CLASS, LENIENT_SQL, RULE, SECRET, case_sql, diversity_sql, env_score_sql, map_sql, word_sql,
 )
 from datavigil.plans.views import AS_OF, Tables
+from datavigil.session import staged
 
 # --- lists ----------------------------------------------------------------------------------------------------------
 
@@ -331,7 +332,8 @@ def ingest_assets(spark, sf):
 SELECT 202401 AS scan_run_id, count(*) AS total_findings, count(DISTINCT fpath) AS total_assets, count(DISTINCT pname) AS patterns_found,
   (SELECT count(DISTINCT fpath) FROM ({_RAW_SQL}) r) AS assets_created FROM ({_INGEST_SQL}) i WHERE rn = 1""")
 def ingest_scan_totals(spark, sf):
-    done = I.ingest(raw_hits(spark, sf), 202401)
+    # findings and assets both start from the hits, so these are written and the texts searched once
+    done = I.ingest(staged(raw_hits(spark, sf)), 202401)
     return I.scan_totals(done.findings, done.assets)
 
 

@@ -7,6 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from datavigil.functions import masking as M
+from datavigil.functions import scoring as S
+from datavigil.functions import text as T
+from datavigil.operators import ingest as I
 from datavigil.sources import records as X
 from datavigil.streaming import streams as W
 
@@ -53,3 +56,21 @@ def test_mail_is_read_once_whatever_its_levels(spark):
     assert plan_of(fields).count("Range (") == 1
     assert sorted((r["id"], r["field_name"], r["value"]) for r in fields.collect()) == sorted(
         (i, n, v) for i in range(3) for n, v in (("from", "a@b"), ("body_part", "one"), ("body_part", "two")))
+
+
+def test_classified_hits_compute_their_signals_once(spark):
+    hits = spark.createDataFrame([("pan", "/prod/x", "c", "ABCPE1234F")], "pattern_name string, file_path string, column_name string, match string")
+    kept = I.classify_multi(I.enrich(hits)).filter((F.col("classification") != "Non-PII") & (F.col("final_score") >= S.MIN_CLASSIFIED))
+    counted = kept.groupBy("pattern_name").agg(F.max("final_score").alias("most"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("sort_array(") == 1  # one entropy, not others for the filter
+    assert kept.count() == 1
+
+
+def test_words_of_a_path_are_those_without_letters_beside_them(spark):
+    paths = ["/prod/customer/1", "/products/customers", "user_test-mock", "Users.Live", "éuser tést", "", None, "cardcard card", "tests/spec2"]
+    rows = spark.createDataFrame([(p, c) for p in paths for c in ("auth", "xauth", None)], "p string, c string")
+    place = F.lower(F.concat_ws(" ", "p", "c"))
+    high, low = (sum((T.has_word(place, [w]).cast("int") for w in words), F.lit(0)) for words in (S.HIGH_RISK_WORDS, S.LOW_RISK_WORDS))
+    want = S.clamp((high * 15 - low * 25) / F.lit(100.0))
+    assert rows.filter(~S.asset_semantics("p", "c").eqNullSafe(want)).count() == 0
