@@ -75,6 +75,33 @@ def test_match_types(spark):
     assert {r.finding_id for r in B.suppress(found, learned).collect()} == {"d", "e"}
 
 
+def test_findings_meet_few_learned_values_as_arrays_and_many_by_keys(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(1, 9)))
+    paths = ["a.f", "b.f", "b.g", None]
+    kinds = ["T", "email", None]
+    learned = [(f"l{i}", 1, rng.choice([1, 2, 2, 2, 2, 3, None]), "p", rng.choice(kinds), rng.choice(paths), rng.choice([None, *[word()] * 30]))
+               for i in range(300)]
+    found = [(rng.choice([None, f"f{i}", "same"]) if i % 9 == 0 else f"f{i}", 1, rng.choice([1, 2, 3, 4, None]), "p", rng.choice(kinds),
+              rng.choice(paths), rng.choice([None, *[word()] * 30])) for i in range(500)]
+    found += [(f"e{i}{tail}", *r[1:-1], r[-1] and r[-1] + tail) for i, r in enumerate(learned) for tail in ("", "!", "?!")]
+    learned += [(f"k{i}", *r[1:]) for i, r in enumerate(learned) if i % 7 == 0]  # the same value once more
+    fields = ", tenant_id int, asset_id int, pattern_name string, pii_type string, field_path string, matched_value string"
+    known, rows = spark.createDataFrame(learned, "learned_id string" + fields), spark.createDataFrame(found, "finding_id string" + fields)
+    sizes = {r["n"] > B.FEW for r in known.groupBy(*B.LEARNED_KEYS).agg(F.count_distinct("field_path", "matched_value").alias("n")).collect()}
+    assert sizes == {True, False}
+    once = B.pick_first(known, B._SPOT, "learned_id")
+    want = sorted(map(tuple, B._indexed(rows, once).collect()), key=repr)
+    got = sorted(map(tuple, B.fp_match(rows, known).collect()), key=repr)
+    assert got == want and {r[3] for r in got} == {"exact", "pattern", "fuzzy"}
+    kept = rows.join(B._indexed(rows, once), "finding_id", "left_anti")
+    assert sorted(map(tuple, B.suppress(rows, known).collect()), key=repr) == sorted(map(tuple, kept.collect()), key=repr)
+    # where all keys have few, no finding is shuffled by its value and no pair is
+    few, _ = B._judged(rows, known.filter("asset_id = 3"))
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan
+
+
 def _events(spark, n=200):
     rows = [(i, i % 3, "act", "asset", str(i % 5), '{"k":1}', f"2024-01-0{1 + i // 80} 10:{i % 60:02d}:00") for i in range(n)]
     return spark.createDataFrame(rows, "event_id long, tenant_id long, action string, resource_type string, resource_id string,"
