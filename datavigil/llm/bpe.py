@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +59,18 @@ def _blocks(batches, make, block_chars: int):
         yield (part << 32) + serial, block, rows
 
 
-def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint16, len(words))
+#: Factors of the bytes of a word by their place, for its bucket.
+_PLACES = A.constants(256, 29)
+
+
+def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each word, by a hash of its bytes and their places."""
+    data, offsets = A.byte_view(words)
+    chars, bounds = data[int(offsets[0]):int(offsets[-1])], offsets - offsets[0]
+    place = np.arange(len(chars)) - np.repeat(bounds[:-1], np.diff(bounds))
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((chars + np.uint64(1)) * _PLACES[place & 255], out=sums[1:])
+    return (A.mix(sums[bounds[1:]] - sums[bounds[:-1]]) % np.uint64(buckets)).astype(np.uint16)
 
 
 def _distinct_words(docs: DataFrame, make, block_chars: int, buckets: int) -> DataFrame:
@@ -69,14 +78,15 @@ def _distinct_words(docs: DataFrame, make, block_chars: int, buckets: int) -> Da
 
     def run(batches):
         for no, block, _ in _blocks(batches, make, block_chars):
-            words, _, _ = block.numbered()
+            words = pa.array(block.numbered()[0], pa.string())
             bucket = _bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
             used, starts = np.unique(bucket[order], return_index=True)
-            packed = [P.pack_lists(words[i].encode() for i in own) for own in np.split(order, starts[1:])] if len(used) else []
+            bounds = np.append(starts, len(order))
+            data, offsets = A.byte_view(words.take(pa.array(order)))
             yield pa.RecordBatch.from_arrays([
                 pa.array([no] * len(used), pa.int64()), pa.array(used.astype(np.int32)),
-                pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()),
+                A.binary_array(*P.pack_ragged(np.diff(offsets), bounds)), A.binary_array(data, offsets[bounds]),
             ], ["block", "bucket", "lengths", "words"])
 
     return docs.mapInArrow(run, "block bigint, bucket int, lengths binary, words binary")
@@ -87,25 +97,39 @@ def _word_ids(words: DataFrame, encoder) -> DataFrame:
 
     def run(batches):
         encode_words, known, of = encoder(), {}, None
-        for batch in batches:
-            rows = []
-            for bucket, lengths, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if bucket != of:
-                    known, of = {}, bucket
-                asked = P.unpack_lists(lengths, blob)
+        for batch in A.pieces(batches):
+            bucket = batch.column(1).to_numpy()
+            for run_start, run_stop in zip(*_runs(bucket), strict=True):
+                if bucket[run_start] != of:
+                    known, of = {}, bucket[run_start]
+                rows = batch.slice(run_start, run_stop - run_start)
+                lengths, bounds = P.unpack_ragged(rows.column(2))
+                data, offsets = A.byte_view(rows.column(3))
+                coded = A.binary_array(data[int(offsets[0]):int(offsets[-1])], np.concatenate(([0], np.cumsum(lengths)))).dictionary_encode()
+                asked = coded.dictionary.to_pylist()
                 fresh = [w for w in asked if w not in known]
                 known.update(zip(fresh, encode_words(fresh), strict=True))
                 found = [known[w] for w in asked]
-                rows.append((P.pack_numbers(np.fromiter(map(len, found), np.int64, len(found))),
-                             P.pack_numbers(np.fromiter((x for ids in found for x in ids), np.int64))))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()),
-                pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "lengths", "ids"])
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter((x for ids in found for x in ids), np.int64, int(size.sum()))
+                codes = coded.indices.to_numpy()
+                sizes = size[codes]
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                yield pa.RecordBatch.from_arrays([
+                    rows.column(0), rows.column(1), A.binary_array(*P.pack_ragged(sizes, bounds)),
+                    A.binary_array(*P.pack_ragged(flat[A.ragged((np.cumsum(size) - size)[codes], sizes)], ends[bounds])),
+                ], ["block", "bucket", "lengths", "ids"])
 
     return (words.repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(run, "block bigint, bucket int, lengths binary, ids binary"))
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start and stop."""
+    edges = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return np.concatenate(([0], edges)), np.concatenate((edges, [len(values)]))
+
+
 def _number_lists(docs: DataFrame, make, block_chars: int, buckets: int, schema: T.StructType) -> DataFrame:
     """Per text its words' numbers; the first row of a block also has the bucket of each of its words."""
 
@@ -114,7 +138,7 @@ def _number_lists(docs: DataFrame, make, block_chars: int, buckets: int, schema:
             words, numbers, bounds = block.numbered()
             kept = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             count = kept.num_rows
-            places = [_bucket_of(words, buckets).tobytes()] + [None] * (count - 1)
+            places = [_bucket_of(pa.array(words, pa.string()), buckets).tobytes()] + [None] * (count - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(count, no, np.int64)), pa.array(places, pa.binary()),
                  A.binary_array(*P.pack_ragged(numbers, bounds)), *kept.columns[:-1]], names)
@@ -143,8 +167,7 @@ def by_words(docs: DataFrame, make, encoder, finish, fields: list[T.StructField]
         places = [x for x in texts.column("bucket_of").to_pylist() if x is not None]
         bucket_of = np.frombuffer(places[0] if places else b"", np.uint16)
         words = words.sort_by("bucket")
-        counts = np.concatenate([P.unpack_numbers(x) for x in words.column("lengths").to_pylist()] or [np.empty(0, np.int64)])
-        flat = np.concatenate([P.unpack_numbers(x) for x in words.column("ids").to_pylist()] or [np.empty(0, np.int64)])
+        counts, flat = (P.unpack_ragged(words.column(c).combine_chunks())[0] for c in ("lengths", "ids"))
         if len(places) != 1 or len(counts) != len(bucket_of) or len(flat) != counts.sum():
             raise RuntimeError("the texts came in another order or with other words when they were read again")
         order = np.argsort(bucket_of, kind="stable")  # the words in the order in which their ids have come

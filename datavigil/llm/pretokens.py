@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -247,14 +246,3 @@ def unpack_numbers(data: bytes | np.ndarray) -> np.ndarray:
             break
         out[more] |= (b[starts[more] + k] & 127).astype(np.int64) << (7 * k)
     return out
-
-
-def pack_lists(items: Iterable[bytes]) -> tuple[bytes, bytes]:
-    """Lengths and the joined bytes."""
-    items = list(items)
-    return pack_numbers(np.fromiter(map(len, items), np.int64, len(items))), b"".join(items)
-
-
-def unpack_lists(lengths: bytes, blob: bytes) -> list[bytes]:
-    ends = np.cumsum(unpack_numbers(lengths)).tolist()
-    return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]

@@ -12,13 +12,15 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 import tokenizers
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from datavigil.llm import ann, decontam, dualtree, packing, pretokens, queries, runs, sharding, token_counts, tries
+from datavigil.llm import ann, bpe, decontam, dualtree, packing, pretokens, queries, runs, sharding, token_counts, tries
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -396,3 +398,50 @@ def test_op3_places_as_in_pandas(spark):
     keys["shard"] = np.arange(len(keys)) * 4 // len(keys)
     assert Counter(zip(keys.doc_id, keys.shard, strict=True)) == Counter(zip(out.doc_id, out.shard, strict=True))
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_words_of_many_blocks_are_encoded_once_each(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aébc€1'") for _ in range(rng.randint(1, 400 if i % 50 == 0 else 9))) for i in range(300)]
+    lists = [[rng.choice(words) for _ in range(rng.randint(0, 60))] for _ in range(200)]
+    calls = spark.sparkContext.accumulator(0)
+
+    class Words:  # texts are lists of words without a pattern
+        def __init__(self):
+            self.rows, self.size = [], 0
+
+        def extend(self, texts):
+            self.rows += texts.to_pylist()
+            self.size += 100 * len(texts)
+
+        def numbered(self):
+            own = [r.split(" ") if r else [] for r in self.rows]
+            names = sorted({w for r in own for w in r})
+            number = {w: i for i, w in enumerate(names)}
+            return names, np.array([number[w] for r in own for w in r], np.int32), np.cumsum([0, *map(len, own)])
+
+    def encoder():
+        def encode(asked):
+            calls.add(len(asked))
+            return [[len(w)] + list(w) if len(w) % 3 else [] for w in asked]
+        return encode
+
+    def finish(rows, ids, bounds):
+        return pa.Table.from_arrays([rows.column(0), pa.array([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+                                                              pa.list_(pa.int64()))], names=["no", "ids"])
+
+    docs = spark.createDataFrame([(i, " ".join(r) or None) for i, r in enumerate(lists)], "no bigint, text string").repartition(3, "no")
+    fields = T.StructType.fromDDL("no bigint, ids array<bigint>").fields
+    got = {r["no"]: r["ids"] for r in bpe.by_words(docs, Words, encoder, finish, fields, 1000, 5).collect()}
+    code = lambda w: [len(w.encode())] + list(w.encode()) if len(w.encode()) % 3 else []
+    assert got == {i: [x for w in r for x in code(w)] for i, r in enumerate(lists)}
+    assert calls.value == len({w for r in lists for w in r})
+
+
+def test_buckets_of_words_follow_from_their_bytes_alone():
+    words = [f"w{i}" for i in range(20000)] + ["", "a" * 1000, "é"]
+    whole = bpe._bucket_of(pa.array(words), 256)
+    assert (bpe._bucket_of(pa.array(words[::-1]), 256)[::-1] == whole).all()
+    assert (bpe._bucket_of(pa.array(["x", *words]).slice(1), 256) == whole).all()
+    counts = np.bincount(whole, minlength=256)
+    assert counts.min() > 40 and counts.max() < 130
