@@ -72,8 +72,8 @@ def verhoeff(digits: Column, length: int = 12) -> Column:
     return check == 0
 
 
-def aadhaar(c) -> Column:
-    d = _digits_of(_col(c))
+def aadhaar(c, d: Column | None = None) -> Column:
+    d = _digits_of(_col(c)) if d is None else d
     return F.when((F.length(d) == 12) & (d >= "2"), F.coalesce(verhoeff(d), F.lit(False))).otherwise(False)
 
 
@@ -82,8 +82,8 @@ def pan(c) -> Column:
     return c.rlike(r"^[A-Z]{5}[0-9]{4}[A-Z]\z") & F.substring(c, 4, 1).isin(PAN_ENTITIES)
 
 
-def credit_card(c) -> Column:
-    d = _digits_of(_col(c))
+def credit_card(c, d: Column | None = None) -> Column:
+    d = _digits_of(_col(c)) if d is None else d
     return F.length(d).between(13, 19) & F.call_function("luhn_check", d)
 
 
@@ -133,8 +133,8 @@ def driving_license(c) -> Column:
     return c.rlike(r"^[A-Z]{2}[- ]?[0-9]{2}[- ]?[0-9]{4,7}\z") & F.substring(c, 1, 2).isin(LICENCE_STATES)
 
 
-def bank_account(c) -> Column:
-    d = _digits_of(_col(c))
+def bank_account(c, d: Column | None = None) -> Column:
+    d = _digits_of(_col(c)) if d is None else d
     return F.length(d).between(9, 18) & (F.replace(d, F.substring(d, 1, 1), F.lit("")) != "")
 
 
@@ -152,6 +152,8 @@ STRICT = {
     "IN_GST": gst,
     "IN_UPI": upi,
 }
+# Strict rules that look at the digits of a value several times; they take them as a second argument.
+OF_DIGITS = ("IN_AADHAAR", "CREDIT_CARD", "IN_BANK_ACCOUNT")
 
 
 def lenient_pan(v: Column) -> Column:
@@ -217,19 +219,25 @@ LENIENT = {
 }
 
 
-def validate_strict(pii_type, value, types=None) -> Column:
+def validate_strict(pii_type, value, types=None, digits: Column | None = None) -> Column:
     """True or false for the twelve types with a strict rule, null for every other type.
 
-    `types` names the types that can occur, so that the expression holds only their rules.
+    `types` names the types that can occur, so that the expression holds only their rules. `digits` is a column with the
+    digits of the value, where the caller has computed them in a step of its own.
     """
     t, v = _col(pii_type), _col(value)
     out = F.lit(None).cast("boolean")
     for name, rule in reversed(STRICT.items()):
         if types is None or name in types:
-            out = F.when(t == name, rule(v)).otherwise(out)
+            out = F.when(t == name, rule(v, digits) if name in OF_DIGITS else rule(v)).otherwise(out)
     return out
 
 
+def digits_of_strict(pii_type, value) -> Column:
+    """The digits of values whose rule needs them, null for every other type."""
+    return F.when(_col(pii_type).isin(list(OF_DIGITS)), _digits_of(_col(value)))
+
+
 def validate_lenient(pii_type, value) -> Column:
     """Format re-check on ingest: a blank value fails, a type without a rule passes."""
     t, v = _col(pii_type), F.trim(_col(value))

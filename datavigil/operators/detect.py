@@ -166,15 +166,15 @@ def _scored(records, chosen, keep):
     if "row_context" in records.columns:
         carry.append("row_context")
     identity = [c for c in carry if not isinstance(records.schema[c].dataType, MapType)]  # maps cannot be hashed
-    # The score is generated, not projected and then filtered: a filter would be pushed below the projection and the
-    # score computed twice. Entropy, the only part outside generated code, is kept in a step of its own.
+    # The scores pass a generator before they are filtered: a filter would be pushed below their projection and each computed
+    # twice. They are not computed inside it, where Spark interprets them or puts them all into one method too large to be
+    # compiled. Digits, which rules look at many times, are a column.
     types = {p.pii_type for p in chosen}
-    hits = _hits(records, chosen, carry)
-    if types - set(V.STRICT):
-        heuristic = ~F.col("pii_type").isin(list(V.STRICT))
-        hits = hits.withColumn("_entropy", F.explode(F.array(F.when(heuristic, T.shannon_entropy("matched_value")))))
-    base = _base_score(F.col("matched_value"), F.col("pii_type"), types, F.col("_entropy"))
-    scored = hits.withColumn("_base", F.explode(F.when(base >= MIN_SCORE, F.array(base))))
+    hits, digits = _hits(records, chosen, carry), None
+    if types & set(V.OF_DIGITS):
+        hits, digits = hits.withColumn("_digits", V.digits_of_strict("pii_type", "matched_value")), F.col("_digits")
+    based = hits.withColumn("_based", _base_score(F.col("matched_value"), F.col("pii_type"), types, digits))
+    scored = based.withColumn("_base", F.explode(F.array("_based"))).filter(F.col("_base") >= MIN_SCORE)
     base = F.col("_base")
     score = base
     gated = [p for p in chosen if p.context_keywords and not p.custom]
@@ -191,7 +191,8 @@ def _scored(records, chosen, keep):
             choice = choice.when(F.col("_rank") == rank, mine)
     score = score if choice is F else choice.otherwise(score)
     return (
-        scored.withColumn("score", score.cast("int"))
+        scored.withColumn("_score", score.cast("int"))
+        .withColumn("score", F.explode(F.array("_score")))
         .filter(F.col("score") >= MIN_SCORE)
         .select(
             *keep, "pii_type", "pattern_name", "matched_value", T.value_hash("matched_value").alias("value_hash"),
@@ -256,11 +257,10 @@ def _hits(records: DataFrame, chosen: list[P.Pattern], carry: list[str]) -> Data
         *carry, "_rank", "pattern_name", "pii_type", "matched_value")
 
 
-def _base_score(value: Column, pii_type: Column, types=None, entropy: Column | None = None) -> Column:
-    valid = V.validate_strict(pii_type, value, types)
-    entropy = T.shannon_entropy(value) if entropy is None else entropy
+def _base_score(value: Column, pii_type: Column, types=None, digits: Column | None = None) -> Column:
+    valid = V.validate_strict(pii_type, value, types, digits)
     heuristic = F.when(F.lower(value).rlike("|".join(TEST_WORDS)), 0).otherwise(
-        F.lit(50) + F.when(entropy > 3.0, 20).otherwise(0))
+        F.lit(50) + F.when(T.shannon_entropy(value) > 3.0, 20).otherwise(0))
     if types is not None and not types - set(V.STRICT):
         return F.when(valid, 100).otherwise(0)
     if types is not None and not types & set(V.STRICT):
