@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,9 +32,16 @@ _TOKENS = (
 # The names of characters are those of the standard; Python has them as a table.
 _NAMED = {name.removesuffix(";"): text for name, text in html.entities.html5.items() if name.endswith(";")}
 _LEGACY = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=len, reverse=True)
-_COMMON = ["amp", "lt", "gt", "quot", "nbsp", "apos"]
 # Numbers of the C1 range stand for the characters of Windows-1252, where it has one.
 _C1 = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if bytes([n]).decode("cp1252", "ignore")}
+_LATIN = ["�", *(_C1.get(n, chr(n)) for n in range(1, 0x100))]
+# References by what stands before the ";": the names, and the numbers of Latin characters as they are mostly written. A map is
+# searched entry by entry, so they are dealt to small maps by a checksum.
+_CLOSED = _NAMED | {form.format(n): text for n, text in enumerate(_LATIN) for form in ("#{}", "#x{:x}", "#x{:X}", "#X{:x}", "#X{:X}")}
+_BUCKETS = 4096
+_BY_SUM = [{} for _ in range(_BUCKETS)]
+for _name, _text in _CLOSED.items():
+    _BY_SUM[zlib.crc32(_name.encode()) % _BUCKETS][_name] = _text
 
 
 def markup_text(c: Column) -> Column:
@@ -41,42 +49,58 @@ def markup_text(c: Column) -> Column:
     return F.regexp_replace(c, _TOKENS, "\n$3\n")
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A list as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _closed(name: Column) -> Column:
+    """The text a reference stands for, by what is before its ";"; null for any that the table has not."""
+    bucket = F.get(_constant(_BY_SUM, "array<map<string,string>>"), (F.crc32(name) % _BUCKETS).cast("int"))
+    return F.element_at(bucket, name)
+
+
 def _character(number: Column) -> Column:
     """The character of a code point; the replacement character for none."""
     text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     bad = number.isNull() | (number <= 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-    out = F.when(bad, "�")
-    for n, ch in _C1.items():
-        out = out.when(number == n, ch)
-    return out.otherwise(text)
+    latin = F.get(_constant(_LATIN, "array<string>"), number.cast("int"))
+    return F.when(bad, "�").when(number < len(_LATIN), latin).otherwise(text)
+
+
+def _code_point(reference: Column) -> Column:
+    """The number in a reference as `#65;` or `#x41`; -1 for one of more digits than any character has."""
+    def number(digits: Column, value) -> Column:
+        return let(F.rtrim(digits, F.lit(";")), lambda d: F.when(F.length(F.ltrim(d, F.lit("0"))) < 8, value(d).cast("bigint")).otherwise(-1))
+
+    return F.when(F.substring(reference, 2, 1).isin("x", "X"), number(F.substr(reference, F.lit(3)), lambda d: F.conv(d, 16, 10))).otherwise(
+        number(F.substr(reference, F.lit(2)), lambda d: d))
 
 
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references replaced, each once, from left to right.
 
-    Names without a semicolon count where the standard knows them so. What is no reference stays.
+    Names without a semicolon count where the standard knows them so. What is no reference stays. Each step of a reference is
+    bound, so that it is computed once, whatever names its result.
     """
-    table = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    def numeric(part: Column) -> Column:
+        return let(F.regexp_extract(part, "^#(?:[0-9]++|[xX][0-9a-fA-F]++);?", 0), lambda reference: F.when(
+            reference != "", F.concat(let(_code_point(reference), _character), F.substr(part, F.length(reference) + 1))).otherwise(
+            F.concat(F.lit("&"), part)))
+
+    def unclosed(part: Column) -> Column:
+        return let(F.regexp_extract(part, f"^({'|'.join(_LEGACY)})", 1), lambda name: F.when(
+            name != "", F.concat(_closed(name), F.substr(part, F.length(name) + 1))).otherwise(F.concat(F.lit("&"), part)))
 
     def one(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^([a-zA-Z][a-zA-Z0-9]*);", 1)
-        legacy = F.regexp_extract(part, f"^({'|'.join(_LEGACY)})", 1)
-        decimal = F.regexp_extract(part, "^#([0-9]++);?", 1)
-        hexadecimal = F.regexp_extract(part, "^#[xX]([0-9a-fA-F]++);?", 1)
-        digits = F.when(decimal != "", F.when(F.length(F.ltrim(decimal, F.lit("0"))) < 8, decimal.cast("bigint")).otherwise(-1)).otherwise(
-            F.when(F.length(F.ltrim(hexadecimal, F.lit("0"))) < 8, F.conv(hexadecimal, 16, 10).cast("bigint")).otherwise(-1))
-        out = F.when(decimal != "", F.concat(_character(digits), F.regexp_replace(part, "^#[0-9]++;?", "")))
-        out = out.when(hexadecimal != "", F.concat(_character(digits), F.regexp_replace(part, "^#[xX][0-9a-fA-F]++;?", "")))
-        for common in _COMMON:
-            out = out.when(name == common, F.concat(F.lit(_NAMED[common]), F.substr(part, F.lit(len(common) + 2))))
-        found = F.when(name != "", F.element_at(table, name))
-        out = out.when(found.isNotNull(), F.concat(found, F.substr(part, F.length(name) + 2)))
-        out = out.when(legacy != "", F.concat(F.element_at(table, legacy), F.substr(part, F.length(legacy) + 1)))
-        return out.otherwise(F.concat(F.lit("&"), part))
-
-    parts = F.split(c, "&", -1)
-    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+        return let(F.substring_index(part, ";", 1), lambda name: let(F.when(name != part, _closed(name)), lambda text: F.when(
+            text.isNotNull(), F.concat(text, F.substr(part, F.length(name) + 2))).when(
+            part.startswith("#"), numeric(part)).otherwise(unclosed(part))))
+
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
+    return F.when(F.contains(c, F.lit("&")), let(F.split(c, "&", -1), decoded)).otherwise(c)
 
 
 def text_in_charset(data: Column, charset: Column) -> Column:

@@ -44,6 +44,14 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BELOW else df
 
 
+def spread_few(df: DataFrame) -> DataFrame:
+    """Even out an input whose rows come in fewer splits than there are cores: a file with one row group is read by one task,
+    whatever its size. The splits are counted without reading a column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.groupBy(F.spark_partition_id()).count().count()
+    return df if splits >= cores else df.repartition(4 * cores)
+
+
 def _as_record(df: DataFrame, keep, value, field, path, structured: bool, context=None, metadata=None) -> DataFrame:
     none_map = F.lit(None).cast("map<string,string>")
     return df.select(
@@ -156,15 +164,18 @@ def _has_extension(path: Column, extensions) -> Column:
 
 
 # White space of the standard, at the ends of a line of text.
-_BLANK = r"[ \t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BLANK = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def html_text(df: DataFrame, html_col: str, source_path: Column, keep: list[str] = ()) -> DataFrame:
     """Text lines of a page: comments, scripts and styles dropped, closed or not, tags become line ends, also those with ">" in
-    quotes, and all named and numeric character references are decoded."""
-    lines = df.select(*keep, source_path.alias("_path"), F.explode(F.split(M.markup_text(F.col(html_col)), "\n")).alias("_line"))
-    bare = F.regexp_replace(M.decode_entities(F.col("_line")), rf"^{_BLANK}++|{_BLANK}+\z", "")
-    return _as_record(lines, list(keep), bare, F.lit("text"), F.col("_path"), False)
+    quotes, and all named and numeric character references are decoded. A line is generated when it is decoded, so that it is
+    decoded once, whatever names it."""
+    parts = F.array_remove(F.split(M.markup_text(F.col(html_col)), "\n"), "")
+    lines = df.select(*keep, source_path.alias("_path"), F.explode(parts).alias("_line"))
+    bare = F.btrim(M.decode_entities(F.col("_line")), F.lit(_BLANK))
+    cells = lines.select(*keep, "_path", F.explode(F.array(bare)).alias("_text"))
+    return _as_record(cells, list(keep), F.col("_text"), F.lit("text"), F.col("_path"), False)
 
 
 def _mail_header(head: Column, name: str) -> Column:
